@@ -92,25 +92,28 @@ def fixed(value: Column, digits: int) -> Column:
     The JVM formatter rounds the shortest decimal form half-up, so 0.705 (which is
     below 0.705 in binary) becomes 0.71 there. Here the fraction is scaled to an
     integer count of 2**-53, where rounding is exact arithmetic. Values outside
-    0 <= value < 2**53 take the JVM formatter.
+    0 <= value < 2**43 take the JVM formatter.
     """
     if digits not in (1, 2, 3):
         raise ValueError("digits must be 1, 2 or 3")
     unit, power = 1 << 53, 10**digits
-    inside = F.when((value >= 0) & (value < float(unit)), value)
+    inside = F.when((value >= 0) & (value < float(1 << 43)), value)
     ones = F.floor(inside).cast("bigint")
     scaled = (inside - ones) * F.lit(float(unit))
     count = scaled.cast("bigint")
-    product = count * F.lit(power)
-    floor = F.shiftright(product, 53)
-    rest = product - floor * F.lit(unit)
-    half = F.lit(unit >> 1)
-    # bits below 2**-53 break a tie upwards; a true tie goes to the even digit
-    up = (rest > half) | ((rest == half) & ((scaled > count) | (floor % 2 == 1)))
-    decimals = floor + F.when(up, 1).otherwise(0)
+    # what the count cut off is a double of few bits, so scaling it is exact as well
+    cut = (scaled - count) * F.lit(float(power))
+    product = count * F.lit(power) + cut.cast("bigint")
+    # Rounding half to even: a tie moves up only from an odd digit, or when some rest
+    # below the product lies above the tie.
+    nudge = F.greatest(
+        F.shiftright(product, 53).bitwiseAND(F.lit(1)), (cut > F.floor(cut)).cast("bigint")
+    )
+    decimals = F.shiftright(product + F.lit((unit >> 1) - 1) + nudge, 53)
+    total = ones * F.lit(power) + decimals
     exact = F.concat(
-        (ones + F.when(decimals == power, 1).otherwise(0)).cast("string"),
+        ((total - total % power) / power).cast("bigint").cast("string"),
         F.lit("."),
-        F.lpad((decimals % power).cast("string"), digits, "0"),
+        F.lpad((total % power).cast("string"), digits, "0"),
     )
     return F.coalesce(exact, F.format_string(f"%.{digits}f", value))

@@ -9,6 +9,7 @@ from parapet.functions.risk import is_toxic
 from parapet.functions.scoring import Scorer, no_score
 from parapet.lexicon import EVAL_SIGNALS, TOXICITY_THRESHOLD
 from parapet.operators.audit import detect
+from parapet.operators.metrics import beside
 
 _PREDICTIONS = {
     "pii": "has_pii",
@@ -91,8 +92,7 @@ def metrics_json(counts: DataFrame, threshold: float, enable_toxicity: bool) ->
     entry = F.struct("signal", F.struct(*fields))
     nested = scored.agg(F.map_from_entries(F.collect_list(entry)).alias("signals"))
     total = combined(counts).select(F.struct(*fields).alias("combined"))
-    joined = nested.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one")
-    return joined.drop("_one").withColumns(
+    return beside(nested, total).withColumns(
         {"threshold": F.lit(threshold), "enable_toxicity": F.lit(enable_toxicity)}
     )
 

@@ -16,8 +16,10 @@ from parapet.functions.text import fixed
 from parapet.lexicon import HISTOGRAM_BINS
 from parapet.operators.filters import present
 
-# Single-task window; only ever used over one row per label.
-_OVERALL = Window.partitionBy(F.lit(0))
+
+def _overall():
+    """Single-task window; only ever used over one row per label."""
+    return Window.partitionBy(F.lit(0))
 
 
 def _rate(flag: str) -> Column:
@@ -62,16 +64,23 @@ def label_counts(df: DataFrame, column: str = "risk_labels", name: str = "label"
 def metrics_document(df: DataFrame, as_of: str) -> DataFrame:
     """The overview with the label counts as one map column.
 
-    Labels come from a fixed list, so the map stays small. Both halves are joined
-    on a constant: one row each.
+    Labels come from a fixed list, so the map stays small.
     """
-    pairs = label_counts(df).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "count")))).alias(
-            "risk_counts"
-        )
-    )
-    left = overview(df, as_of).withColumn("_one", F.lit(1))
-    return left.join(pairs.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    numbers = overview(df, as_of)
+    entries = F.sort_array(F.collect_list(F.struct("label", "count")))
+    counts = label_counts(df).agg(F.map_from_entries(entries).alias("risk_counts"))
+    return beside(numbers, counts)
+
+
+def beside(*rows: DataFrame) -> DataFrame:
+    """One-row frames side by side, by union and aggregate instead of a cross join."""
+    packed = [r.select(F.struct(*r.columns).alias(f"p{i}")) for i, r in enumerate(rows)]
+    merged = packed[0]
+    for other in packed[1:]:
+        merged = merged.unionByName(other, allowMissingColumns=True)
+    names = merged.columns
+    single = merged.agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
+    return single.select(*[f"{n}.*" for n in names])
 
 
 _META_FIELDS = {"projects": "project_name", "models": "model_name", "users": "user_id"}
@@ -87,11 +96,11 @@ def meta_values(df: DataFrame) -> DataFrame:
     def tagged(field: str, value: Column) -> Column:
         return F.struct(F.lit(field).alias("field"), value.alias("value"))
 
+    def items(name: str) -> Column:
+        return F.transform(F.array_distinct(name), lambda value: tagged(name, value))
+
     scalars = F.array(*[tagged(f, F.col(c)) for f, c in _META_FIELDS.items()])
-    lists = [
-        F.transform(F.array_distinct(F.col(c)), lambda v, f=f: tagged(f, v))
-        for f, c in (("tags", "tags"), ("risk_labels", "risk_labels"))
-    ]
+    lists = [items("tags"), items("risk_labels")]
     cells = df.select(F.inline(F.concat(scalars, *lists)))
     # blank names are no choice, but the lists keep whatever they hold
     kept = F.col("value").isNotNull() & (
@@ -164,7 +173,7 @@ def status_counts(df: DataFrame) -> DataFrame:
 
 def signal_breakdown(df: DataFrame) -> DataFrame:
     """Label counts with their share of all label hits, in percent."""
-    share = F.col("count") / F.sum("count").over(_OVERALL) * 100
+    share = F.col("count") / F.sum("count").over(_overall()) * 100
     return (
         label_counts(df, name="signal")
         .withColumn("percent", F.rint(share * 10) / 10)
@@ -174,7 +183,7 @@ def signal_breakdown(df: DataFrame) -> DataFrame:
 
 def label_bars(df: DataFrame) -> DataFrame:
     """Bar width per label: share of the largest count in percent, at least 8."""
-    share = F.col("count") / F.max("count").over(_OVERALL) * 100
+    share = F.col("count") / F.max("count").over(_overall()) * 100
     return label_counts(df).withColumn(
         "width", F.greatest(F.lit(8), F.floor(share + 0.5)).cast("int")
     )

@@ -171,14 +171,21 @@ def assign_ids(df: DataFrame, first: int = 1, column: str = "id") -> DataFrame:
     return dense_numbers(numbered, "_row", column, first)
 
 
+# One (partition, start) pair is 16 bytes, so this many stay below 16 MB.
+_BROADCAST_PARTITIONS = 1_000_000
+
+
 def dense_numbers(df: DataFrame, row: str, column: str, first: int = 1) -> DataFrame:
-    """Turn ``monotonically_increasing_id`` values into dense numbers."""
+    """Turn ``monotonically_increasing_id`` values, stored or not, into dense numbers."""
     partition = F.shiftright(row, 33)
     sizes = df.groupBy(partition.alias("_part")).agg(F.count("*").alias("_rows"))
     # one row per partition of the scan, so a single-task running sum is enough
     starts = sizes.selectExpr(
         "_part", "sum(_rows) over (partition by 0 order by _part) - _rows as _start"
     )
+    # the planner cannot know that the starts are few, and would shuffle the rows
+    few = df.rdd.getNumPartitions() <= _BROADCAST_PARTITIONS
+    starts = F.broadcast(starts) if few else starts
     position = F.col(row).bitwiseAND(F.lit((1 << 33) - 1))
     return (
         df.withColumn("_part", partition)

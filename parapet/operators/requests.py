@@ -79,11 +79,13 @@ def latency_percentiles(
     ranked = newest.agg(F.sort_array(F.collect_list(value)).alias("v"))
 
     def at(ratio: float) -> Column:
-        index = F.rint((F.size("v") - 1) * F.lit(ratio)).cast("int")
-        rounded = fixed(F.get("v", index), 2).cast("double")
-        return F.when(F.size("v") > 0, rounded).otherwise(F.lit(0.0))
+        return F.get("v", F.rint((F.size("v") - 1) * F.lit(ratio)).cast("int"))
 
-    return ranked.select(*[at(r).alias(n) for n, r in ratios.items()])
+    # picked first, as the rounding mentions its argument many times
+    picked = ranked.select(*[at(r).alias(n) for n, r in ratios.items()])
+    return picked.select(
+        *[F.coalesce(fixed(F.col(n), 2).cast("double"), F.lit(0.0)).alias(n) for n in ratios]
+    )
 
 
 def latest_jobs(updates: DataFrame, seq: str = "seq") -> DataFrame:

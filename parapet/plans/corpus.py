@@ -27,6 +27,7 @@ SEED_PREFIXES = [
 ]
 SEED_SIGNALS = {"pii": (0, 1, 6), "refusal": (2,), "self_harm": (3,), "jailbreak": (4,),
                 "bias": (5,)}
+UNION_FIELDS = ["id", "input_text", "output_text", "request_id", "tags"]
 BATCH_TIME = "2024-02-20T00:00:00"
 AS_OF = "2024-02-14T12:00:00"
 

@@ -32,14 +32,12 @@ def read_json_stream(
 
 
 def read_parquet_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, glob: str, max_files: int = 1000
+    spark: SparkSession, path: str, schema: T.StructType | str, max_files: int = 1000
 ) -> DataFrame:
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", max_files)
-        .option("pathGlobFilter", glob)
-        .parquet(folder)
-    )
+    """New Parquet files of a table, be it a folder or a single file, as a stream."""
+    # only a glob may name a single file, so the last letter becomes one
+    glob = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(glob)
 
 
 def stream_time() -> Column:

@@ -116,4 +116,5 @@ def fixed(value: Column, digits: int) -> Column:
         F.lit("."),
         F.lpad((total % power).cast("string"), digits, "0"),
     )
-    return F.coalesce(exact, F.format_string(f"%.{digits}f", value))
+    other = F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
+    return F.coalesce(exact, other)

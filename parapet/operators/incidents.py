@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parapet.functions.text import filled
 from parapet.lexicon import REPORT_ROWS_MAX
 from parapet.operators.filters import AuditFilter
-from parapet.operators.listing import newest_first
+from parapet.operators.listing import late_rows, newest_first
 from parapet.operators.metrics import label_counts
 from parapet.session import cut_lineage
 
@@ -28,7 +28,7 @@ def risk_breakdown(df: DataFrame) -> DataFrame:
     return label_counts(df.filter("flagged"))
 
 
-def timeline(df: DataFrame) -> DataFrame:
+def timeline(df: DataFrame, *keep: str) -> DataFrame:
     """One line per flagged row: time, id, labels, first explanation."""
     risk = filled(F.array_join("risk_labels", ", "), "none")
     explanation = F.coalesce(F.get("risk_explanations", F.lit(0)), F.lit(""))
@@ -43,7 +43,7 @@ def timeline(df: DataFrame) -> DataFrame:
         F.lit(" | "),
         explanation,
     )
-    return df.filter("flagged").select("id", "timestamp", line.alias("line"))
+    return df.filter("flagged").select("id", "timestamp", *keep, line.alias("line"))
 
 
 def shown_filters(flagged_only: bool, limit: int, filters: dict) -> dict[str, str]:
@@ -64,11 +64,12 @@ def report_lines(
 ) -> DataFrame:
     """The markdown report as ``(section, rank, part, line)`` rows.
 
-    The selection (at most 2000 rows) is written once, as four sections read it;
-    everything before it is a distributed top-k over the whole table.
+    The selection is a distributed top-k over the whole stored table. Its rows, at most
+    2000, are written once, as four sections read them.
     """
     spark = df.sparkSession
-    rows = cut_lineage(select_incidents(df, flagged_only, limit, **filters), "incidents")
+    chosen_rows = select_incidents(df, flagged_only, limit, **filters)
+    rows = cut_lineage(late_rows(df, chosen_rows), "incidents")
     flagged = rows.filter("flagged")
     ranked = flagged.withColumn(
         "rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*newest_first()))
@@ -104,11 +105,7 @@ def report_lines(
         "'- No flagged records in selected scope' as line",
     )
     time_head = fixed_lines(4, ["", "## Incident Timeline"])
-    time_rows = (
-        timeline(rows)
-        .join(ranked.select("id", "rank"), "id")
-        .selectExpr("5 as section", "rank", "0 as part", "line")
-    )
+    time_rows = timeline(ranked, "rank").selectExpr("5 as section", "rank", "0 as part", "line")
     no_time = no_hits.selectExpr(
         "5 as section", "0 as rank", "0 as part", "'- No incidents available.' as line"
     )
@@ -165,7 +162,8 @@ def report_documents(
     **filters: str | None,
 ) -> DataFrame:
     """The JSON report as rows: one ``summary`` document and one per record."""
-    rows = cut_lineage(select_incidents(df, flagged_only, limit, **filters), "incidents")
+    chosen_rows = select_incidents(df, flagged_only, limit, **filters)
+    rows = cut_lineage(late_rows(df, chosen_rows), "incidents")
     chosen = shown_filters(flagged_only, limit, filters)
     shown = F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair])
     summary = rows.agg(F.count("*").alias("count")).select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parapet.functions.risk import risk_reason, status_label, titles
 from parapet.functions.text import filled
-from parapet.lexicon import LOG_ROWS_MAX, PAGE_SIZE_MAX, PAGE_TITLES
+from parapet.lexicon import LOG_ROWS_MAX, PAGE_SIZE_MAX, PAGE_TITLES, REPORT_ROWS_MAX
 from parapet.operators.filters import AuditFilter, equals
 
 
@@ -21,6 +21,7 @@ def page(
     """One page of the listing; a top-(offset + size) selection per task, no full sort.
 
     Every task still keeps ``offset + size`` rows: use ``page_after`` for deep pages.
+    To read whole rows of a large stored table, pass the page to ``late_rows``.
     """
     if number < 1 or not 1 <= size <= PAGE_SIZE_MAX:
         raise ValueError(f"page must be >= 1 and size within 1..{PAGE_SIZE_MAX}")
@@ -28,6 +29,27 @@ def page(
     return rows.offset((number - 1) * size).limit(size)
 
 
+def late_rows(df: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The full rows of a stored table for a selection of at most 2000 of them.
+
+    Choosing rows needs only narrow columns, so a first job finds ids and times; the
+    second reads the wide text columns, but just for the days and times found: whole
+    partitions, and row groups of the time-sorted files, are skipped.
+    """
+    keys = chosen.select("id", "timestamp", "audit_date").limit(REPORT_ROWS_MAX + 1).collect()
+    if len(keys) > REPORT_ROWS_MAX:
+        raise ValueError(f"a selection holds at most {REPORT_ROWS_MAX} rows")
+    if not keys:
+        return df.limit(0)
+    times = [k["timestamp"] for k in keys]
+    dated = sorted({k["audit_date"] for k in keys if k["audit_date"] is not None})
+    days = F.col("audit_date").isin(dated)
+    if any(k["audit_date"] is None for k in keys):
+        days = days | F.col("audit_date").isNull()
+    near = days & F.col("timestamp").between(min(times), max(times))
+    return df.filter(near & F.col("id").isin([k["id"] for k in keys])).orderBy(*newest_first())
+
+
 def page_after(
     df: DataFrame, timestamp: str, id_: int, size: int = 25, filters: AuditFilter | None = None
 ) -> DataFrame:

@@ -190,16 +190,19 @@ def label_bars(df: DataFrame) -> DataFrame:
 
 
 def daily_volume(df: DataFrame) -> DataFrame:
-    """Rows per calendar day, with zeros between the first and the last day."""
+    """Rows per calendar day, with zeros between the first and the last day.
+
+    Grouping by ``audit_date``, the table's partition column, reads no row data but the
+    day itself. The gaps are filled from the counted days, one row each.
+    """
     counted = (
-        df.filter(F.col("ts").isNotNull())
-        .groupBy(F.to_date("ts").alias("day"))
-        .agg(F.count("*").alias("count"))
-    )
-    span = counted.agg(F.min("day").alias("low"), F.max("day").alias("high"))
-    days = span.filter(F.col("low").isNotNull()).select(
-        F.explode(F.sequence("low", "high")).alias("day")
+        df.filter(F.col("audit_date").isNotNull())
+        .groupBy(F.col("audit_date").alias("first"))
+        .agg(F.count("*").alias("rows"))
     )
-    return days.join(counted, "day", "left").select(
-        "day", F.coalesce("count", F.lit(0)).alias("count")
+    following = F.lead("first").over(_overall().orderBy("first"))
+    gaps = counted.withColumn("last", F.coalesce(F.date_sub(following, 1), "first"))
+    days = gaps.select("first", "rows", F.explode(F.sequence("first", "last")).alias("day"))
+    return days.select(
+        "day", F.when(F.col("day") == F.col("first"), F.col("rows")).otherwise(0).alias("count")
     )

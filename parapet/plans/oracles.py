@@ -397,6 +397,8 @@ _add(
     list_page_after=f"""{AUDITED} SELECT id, timestamp FROM audited
       WHERE timestamp < '2024-01-20T00:00:00' OR (timestamp = '2024-01-20T00:00:00' AND id < 0)
       {_NEWEST} LIMIT 40""",
+    list_page_rows=f"""{AUDITED} SELECT id, timestamp, {_BODY}, {_LABELS} FROM audited
+      {_NEWEST} LIMIT 50 OFFSET 50""",
     page_count=f"""{AUDITED} SELECT count(*) AS total,
       greatest(1, ceil(count(*) / 20.0))::BIGINT AS pages FROM audited WHERE flagged""",
     latest_logs=f"""{AUDITED} SELECT id, timestamp, {_TAGS} FROM audited WHERE NOT flagged

@@ -683,6 +683,13 @@ def list_page_after(spark, folder):
     return rows.select("id", "timestamp")
 
 
+@query
+def list_page_rows(spark, folder):
+    table = cp.audited(spark, folder)
+    rows = ls.late_rows(table, ls.page(table, number=2, size=50))
+    return rows.select("id", "timestamp", digest("output_text"), joined("risk_labels"))
+
+
 @query
 def page_count(spark, folder):
     return ls.page_count(cp.audited(spark, folder), 20, AuditFilter(flagged=True))

@@ -52,10 +52,13 @@ def match_lexicon(
     for number in range(slices):
         rows = [tuple(r) for r in usable.filter(part == number).collect()]
         found.append(_matcher(spark.sparkContext.broadcast(rows))(F.col(text)))
-    matches = found[0]
-    if slices > 1:
-        matches = _first_per_signal(F.concat(*found))
-    return df.withColumn("matches", matches)
+    if slices == 1:
+        return df.withColumn("matches", found[0])
+    # the Python results need a projection of their own before lambdas may read them
+    parts = {f"_slice{i}": column for i, column in enumerate(found)}
+    joined = F.concat(*[F.col(name) for name in parts])
+    with_parts = df.withColumns(parts).withColumn("_all", joined)
+    return with_parts.withColumn("matches", _first_per_signal(F.col("_all"))).drop("_all", *parts)
 
 
 def _first_per_signal(matches: Column) -> Column:

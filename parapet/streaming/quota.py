@@ -63,7 +63,8 @@ def stream_quota(
 
     Requests count in order of arrival, sorted inside a micro-batch. ``evict`` drops
     the state of clients idle for three windows of wall-clock time: right for live
-    traffic, wrong for replaying a backlog slower than it was recorded.
+    traffic, wrong for replaying a backlog slower than it was recorded. It needs a
+    continuous trigger, as Spark never ends an ``availableNow`` run with expiring state.
     """
     ttl = 3 * window_seconds * 1000 if evict else None
     keyed = log.select(

@@ -1,5 +1,7 @@
 import json
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +91,12 @@ def test_append_stream_and_totals(spark, tmp_path):
     assert got == want
 
 
+def written(spark, path, schema):
+    if not os.path.exists(os.path.join(path, "_spark_metadata")):
+        return 0
+    return spark.read.schema(schema).parquet(path).count()
+
+
 @pytest.mark.parametrize("evict", [False, True])
 def test_quota_stream_equals_batch(spark, tmp_path, evict):
     rng = random.Random(5)
@@ -103,11 +111,16 @@ def test_quota_stream_equals_batch(spark, tmp_path, evict):
     log = si.read_parquet_stream(spark, source, df.schema, max_files=1)
     verdicts = stream_quota(log, limit=4, window_seconds=60, evict=evict)
     path = str(tmp_path / "out")
-    query = (
-        verdicts.writeStream.format("parquet").option("path", path).outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    writer = verdicts.writeStream.format("parquet").option("path", path).outputMode("append")
+    writer = writer.option("checkpointLocation", str(tmp_path / "state"))
+    if evict:  # expiring state keeps a query alive, so stop it once all rows are there
+        query = writer.trigger(processingTime="1 second").start()
+        deadline = time.time() + 60
+        while time.time() < deadline and written(spark, path, verdicts.schema) < len(events):
+            time.sleep(1)
+        query.stop()
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
     names = ["identity", "event_id", "n", "allowed", "remaining", "reset_s", "quota"]
     got = sorted(tuple(r) for r in spark.read.parquet(path).select(*names).collect())
     want = quota_verdicts(df, limit=4, window_seconds=60).select(*names).collect()

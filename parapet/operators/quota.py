@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parapet.lexicon import QUOTA_REQUESTS, QUOTA_WINDOW_SECONDS
@@ -76,6 +76,20 @@ def quota_verdicts(
     )
 
 
+def with_quota_status(
+    log: DataFrame, exempt: Column, identity: str = "identity", order: str = "event_id", **quota
+) -> DataFrame:
+    """The log as a server behind the quota records it: denied requests end in 429.
+
+    Exempt requests neither pass through the quota nor count for it. Requests are told
+    apart by ``order``, which must be unique.
+    """
+    limited = quota_verdicts(log.filter(~exempt), identity=identity, order=order, **quota)
+    denied = limited.filter(~F.col("allowed")).select(order, F.lit(429).alias("denied"))
+    joined = log.join(denied, order, "left")
+    return joined.withColumn("status_code", F.coalesce("denied", "status_code")).drop("denied")
+
+
 def window_runs(
     us: np.ndarray, new_client: np.ndarray, window_us: int, start: int | None, seen: int
 ) -> tuple[np.ndarray, np.ndarray]:

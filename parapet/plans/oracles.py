@@ -528,13 +528,21 @@ _add(
 
 # --- request log and jobs --------------------------------------------------------
 
-_QUOTA = """WITH RECURSIVE r AS (SELECT user_id, event_id, ts,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+
+
+def _quota(condition: str = "true") -> str:
+    """CTE ``w``: every request that meets the condition with its window start and position."""
+    return f"""WITH RECURSIVE r AS (SELECT user_id, event_id, ts,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
+    WHERE {condition}),
   w AS (SELECT user_id, event_id, ts, i, ts AS start, 1::BIGINT AS n FROM r WHERE i = 1
     UNION ALL SELECT r.user_id, r.event_id, r.ts, r.i,
       CASE WHEN r.ts - w.start >= INTERVAL 86400 SECONDS THEN r.ts ELSE w.start END,
       CASE WHEN r.ts - w.start >= INTERVAL 86400 SECONDS THEN 1 ELSE w.n + 1 END
-    FROM w JOIN r ON r.user_id = w.user_id AND r.i = w.i + 1)
+    FROM w JOIN r ON r.user_id = w.user_id AND r.i = w.i + 1)"""
+
+
+_QUOTA = f"""{_quota()}
   SELECT user_id::VARCHAR AS identity, event_id, n, n <= 5 AS allowed,
     greatest(0, 5 - n)::BIGINT AS remaining,
     greatest(0, (86400000000 - (epoch_us(ts) - epoch_us(start))) // 1000000)::BIGINT AS reset_s
@@ -573,6 +581,10 @@ _add(
     quota_exempt="""SELECT event_id, CASE event_id % 5 WHEN 2 THEN '/audit' ELSE '/healthy' END
       AS path FROM events WHERE event_id % 5 IN (2, 4)""",
     quota_verdict=_QUOTA,
+    quota_status_codes=f"""{_quota("event_type <> 'view'")} SELECT
+      CASE WHEN w.n > 5 THEN '429' WHEN event_type = 'error' THEN '500' ELSE '200' END
+      AS status_code, count(*) AS count
+      FROM events LEFT JOIN w USING (event_id) GROUP BY 1""",
     quota_verdict_hot=_QUOTA,
     stream_quota=_QUOTA,
     job_latest=f"""{_JOBS} SELECT job_id, status, strftime(submitted_at, {_STAMP})

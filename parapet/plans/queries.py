@@ -30,7 +30,7 @@ from parapet.operators.filters import (
     text_dates,
 )
 from parapet.operators.lexicon_match import builtin_lexicon, compiled_matches, match_lexicon
-from parapet.operators.quota import quota_verdicts
+from parapet.operators.quota import quota_verdicts, with_quota_status
 from parapet.plans import corpus as cp
 from parapet.plans import flagship
 from parapet.session import shared_folder
@@ -837,6 +837,15 @@ def quota_verdict_hot(spark, folder):
     )
 
 
+@query
+def quota_status_codes(spark, folder):
+    log = with_quota_status(
+        cp.requests(spark, folder), F.col("path") == "/view",
+        limit=QUOTA_LIMIT, window_seconds=DAY_SECONDS,
+    )
+    return rq.status_code_counts(log)
+
+
 @query
 def job_latest(spark, folder):
     jobs = rq.latest_jobs(cp.job_updates(spark, folder))

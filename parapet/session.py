@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 _TUNING = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -25,7 +27,6 @@ def local_session(cores: str = "8", partitions: int = 8, **extra: str) -> SparkS
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.ui.enabled": "false",
         "spark.driver.memory": "16g",
-        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         **extra,
     }
     for key, value in settings.items():
@@ -33,10 +34,6 @@ def local_session(cores: str = "8", partitions: int = 8, **extra: str) -> SparkS
     return builder.getOrCreate()
 
 
-ROCKSDB = (
-    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-)
-
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the folder the cluster names in ``spark.checkpoint.dir``.

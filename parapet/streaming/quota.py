@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from parapet.lexicon import QUOTA_REQUESTS, QUOTA_WINDOW_SECONDS
 from parapet.operators.quota import window_runs
+from parapet.session import ROCKSDB
 
 _OUTPUT = (
     "identity string, ts timestamp, event_id bigint, n bigint, allowed boolean,"
@@ -67,6 +68,8 @@ def stream_quota(
     continuous trigger, as Spark never ends an ``availableNow`` run with expiring state.
     """
     ttl = 3 * window_seconds * 1000 if evict else None
+    # state of this kind is only kept by the RocksDB provider
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     keyed = log.select(
         "identity", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id"
     )

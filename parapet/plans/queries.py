@@ -966,7 +966,8 @@ def document_stream(spark, folder) -> DataFrame:
 
 
 def event_stream(spark, folder) -> DataFrame:
-    events = si.read_parquet_stream(spark, f"{folder}/events.parquet", cp.EVENTS_SCHEMA)
+    path = f"{folder}/events.parquet"
+    events = si.read_parquet_stream(spark, path, cp.EVENTS_SCHEMA, max_bytes=1 << 30)
     return cp.shape_requests(events)
 
 

@@ -108,7 +108,7 @@ def test_quota_stream_equals_batch(spark, tmp_path, evict):
     for low in (0, 100, 200):  # three micro-batches in order of time
         part = df.filter(F.col("event_id").between(low, low + 99))
         part.coalesce(1).write.mode("append").parquet(source)
-    log = si.read_parquet_stream(spark, source, df.schema, max_files=1)
+    log = si.read_parquet_stream(spark, source, df.schema, max_bytes=1)
     verdicts = stream_quota(log, limit=4, window_seconds=60, evict=evict)
     path = str(tmp_path / "out")
     writer = verdicts.writeStream.format("parquet").option("path", path).outputMode("append")

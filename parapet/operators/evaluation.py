@@ -20,28 +20,38 @@ _PREDICTIONS = {
 }
 
 
-def confusion(
-    labeled: DataFrame,
+def predict(
+    df: DataFrame,
     toxicity: Scorer | None = None,
     threshold: float = TOXICITY_THRESHOLD,
     text: str = "output_text",
 ) -> DataFrame:
-    """``(signal, skipped, tp, fp, tn, fn)``, one row per signal.
+    """Replace the texts by one ``guess_<signal>`` flag each.
+
+    Labels that live in another table should be joined to this narrow result, so that
+    the join does not move the texts. Without a toxicity scorer that guess is null.
+    """
+    found = detect(df, text, toxicity or no_score)
+    guesses = {n: F.col(c) for n, c in _PREDICTIONS.items()}
+    toxic = is_toxic(F.col("toxicity_score"), threshold)
+    guesses["toxicity"] = F.lit(None).cast("boolean") if toxicity is None else toxic
+    kept = [c for c in df.columns if c not in (text, "input_text")]
+    return found.select(*kept, *[g.alias(f"guess_{n}") for n, g in guesses.items()])
+
+
+def count_guesses(df: DataFrame, skip_toxicity: bool) -> DataFrame:
+    """``(signal, skipped, tp, fp, tn, fn)`` from ``guess_`` and ``label_`` flags.
 
     All counts of all signals come from one aggregate row, turned upright at the
     end, so rows are not multiplied by the number of signals before the shuffle.
-    Without a toxicity scorer that signal is skipped, with zero counts.
     """
-    found = detect(labeled, text, toxicity or no_score)
-    guesses = {n: F.col(c) for n, c in _PREDICTIONS.items()}
-    guesses["toxicity"] = is_toxic(F.col("toxicity_score"), threshold)
     counts, cells = [], []
     for name in EVAL_SIGNALS:
-        guess = guesses[name]
-        truth = F.coalesce(F.col(f"label_{name}"), F.lit(False))
-        if name == "toxicity" and toxicity is None:
+        if name == "toxicity" and skip_toxicity:
             cells.append("'toxicity', true, 0L, 0L, 0L, 0L")
             continue
+        guess = F.col(f"guess_{name}")
+        truth = F.coalesce(F.col(f"label_{name}"), F.lit(False))
         for cell, hit in (
             ("tp", guess & truth),
             ("fp", guess & ~truth),
@@ -50,7 +60,17 @@ def confusion(
         ):
             counts.append(F.count_if(hit).alias(f"{name}_{cell}"))
         cells.append(f"'{name}', false, {name}_tp, {name}_fp, {name}_tn, {name}_fn")
-    return _upright(found.agg(*counts), cells)
+    return _upright(df.agg(*counts), cells)
+
+
+def confusion(
+    labeled: DataFrame,
+    toxicity: Scorer | None = None,
+    threshold: float = TOXICITY_THRESHOLD,
+    text: str = "output_text",
+) -> DataFrame:
+    """Confusion counts of rows that carry their labels; toxicity is skipped if unscored."""
+    return count_guesses(predict(labeled, toxicity, threshold, text), toxicity is None)
 
 
 def _upright(row: DataFrame, cells: list[str]) -> DataFrame:

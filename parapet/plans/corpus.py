@@ -126,15 +126,14 @@ def audited(spark: SparkSession, folder: str) -> DataFrame:
     return read_audit_table(spark, _tables[key])
 
 
-def labeled(spark: SparkSession, folder: str) -> DataFrame:
-    """Seeded rows with evaluation labels: the prefix rule, and ``labels.toxic``."""
-    raw = seeded_input(spark, folder)
+def with_labels(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Add evaluation labels by ``id``: the prefix rule, and ``labels.toxic``."""
     toxic = table(spark, folder, "labels").select(F.col("doc_id").alias("id"), "toxic")
     labels = {
         f"label_{name}": (F.col("id") % 8).isin(*rests) for name, rests in SEED_SIGNALS.items()
     }
     labels["label_toxicity"] = F.coalesce(F.col("toxic") == 1, F.lit(False))
-    return raw.join(toxic, "id", "left").withColumns(labels)
+    return rows.join(toxic, "id", "left").withColumns(labels)
 
 
 _TURN_BLOCK = 4096

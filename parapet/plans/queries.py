@@ -745,9 +745,17 @@ def incident_documents(spark, folder):
 # --- evaluation ------------------------------------------------------------------
 
 
-def counted(spark, folder, with_toxicity: bool = True) -> DataFrame:
+def counted(spark, folder, with_toxicity: bool = True, seeds: bool = True) -> DataFrame:
+    """Confusion counts over seeded or bare documents; labels join the narrow guesses."""
+    rows = cp.seeded_input(spark, folder)
+    if not seeds:
+        rows = cp.spread(cp.table(spark, folder, "documents")).select(
+            F.col("doc_id").alias("id"), F.col("text").alias("output_text"),
+            ((F.col("doc_id") % 101) / F.lit(100.0)).alias("given_toxicity"),
+        )
     scorer = scoring.stored_score("given_toxicity") if with_toxicity else None
-    return ev.confusion(cp.labeled(spark, folder), scorer)
+    guesses = ev.predict(rows.select("id", "output_text", "given_toxicity"), scorer)
+    return ev.count_guesses(cp.with_labels(guesses, spark, folder), not with_toxicity)
 
 
 @query
@@ -772,13 +780,7 @@ def eval_combined(spark, folder):
 def eval_gate(spark, folder):
     """Seeded rows as the baseline, the bare documents as the current run."""
     baseline = ev.with_scores(counted(spark, folder))
-    bare = cp.labeled(spark, folder).drop("output_text").join(
-        cp.table(spark, folder, "documents").select(
-            F.col("doc_id").alias("id"), F.col("text").alias("output_text")
-        ),
-        "id",
-    )
-    current = ev.with_scores(ev.confusion(bare, scoring.stored_score("given_toxicity")))
+    current = ev.with_scores(counted(spark, folder, seeds=False))
     current = current.withColumn("skipped", F.col("signal") == "toxicity").filter(
         "signal <> 'bias'"
     )
@@ -949,7 +951,7 @@ def metrics_roundtrip(spark, folder):
 def labeled_roundtrip(spark, folder):
     path = shared_folder(spark, "labeled")
     names = [f"label_{s}" for s in lx.EVAL_SIGNALS]
-    rows = cp.labeled(spark, folder)
+    rows = cp.with_labels(cp.seeded_input(spark, folder), spark, folder)
     # a false label is left out, which reads as false again
     sparse = [F.when(F.col(n), F.lit(True)).alias(n) for n in names]
     rows.select("input_text", "output_text", *sparse).write.json(path)

@@ -35,6 +35,22 @@ def local_session(cores: str = "8", partitions: int = 8, **extra: str) -> SparkS
 
 
 
+def cluster_settings(cores: int, shuffle_bytes: int) -> dict[str, str]:
+    """Settings for a cluster job that shuffles about ``shuffle_bytes``.
+
+    Shuffle partitions of 128 MB fit beside each other in an executor, and at least
+    three per core even out their running times; adaptive execution merges small ones.
+    Splits of 128 MB keep text columns, which unpack to several times that, in memory.
+    """
+    partitions = max(3 * cores, -(-shuffle_bytes // (128 << 20)))
+    return {
+        **_TUNING,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.files.maxPartitionBytes": "128m",
+    }
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the folder the cluster names in ``spark.checkpoint.dir``.
 

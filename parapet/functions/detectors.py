@@ -67,11 +67,12 @@ def self_harm_match(lowered: Column) -> Column:
     return F.nullif(F.regexp_extract(lowered, lx.SELF_HARM_REGEX, 0), F.lit(""))
 
 
-def bias_match(lowered: Column) -> Column:
+def bias_descriptor(lowered: Column) -> Column:
+    return first_phrase(lowered, lx.BIAS_DESCRIPTORS)
+
+
+def bias_match(lowered: Column, descriptor: Column) -> Column:
     """``"group + descriptor"`` when the text holds one of each."""
-    # concat is null as soon as one side is; the rarer descriptors guard the groups
-    descriptor = first_phrase(lowered, lx.BIAS_DESCRIPTORS)
-    return F.when(
-        descriptor.isNotNull(),
-        F.concat(first_phrase(lowered, lx.BIAS_GROUPS), F.lit(" + "), descriptor),
-    )
+    # descriptors are rare, so they decide whether the groups are looked for at all
+    group = F.when(descriptor.isNotNull(), first_phrase(lowered, lx.BIAS_GROUPS))
+    return F.concat(group, F.lit(" + "), descriptor)

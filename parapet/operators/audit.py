@@ -35,12 +35,12 @@ def detect(
         }
     )
     lowered = F.col("_lowered")
-    matched = scored.withColumns(
+    matched = scored.withColumn("_descriptor", d.bias_descriptor(lowered)).withColumns(
         {
             "refusal_phrase": d.refusal_phrase(lowered),
             "self_harm_match": d.self_harm_match(lowered),
             "jailbreak_phrase": d.jailbreak_phrase(lowered),
-            "bias_match": d.bias_match(lowered),
+            "bias_match": d.bias_match(lowered, F.col("_descriptor")),
             "pii_data": d.pii_data(F.col("_emails"), F.col("_phones")),
             "pii_types": d.pii_types(F.col("_emails"), F.col("_phones")),
         }
@@ -53,7 +53,7 @@ def detect(
             "jailbreak": F.col("jailbreak_phrase").isNotNull(),
             "bias": F.col("bias_match").isNotNull(),
         }
-    ).drop("_lowered")
+    ).drop("_lowered", "_descriptor")
 
 
 def label(df: DataFrame, threshold: float = TOXICITY_THRESHOLD) -> DataFrame:

@@ -103,7 +103,7 @@ def flagged_of_page(page_rows: DataFrame, limit: int = 10) -> DataFrame:
     )
 
 
-# The dashboard table, in its column order.
+# The dashboard table, in its column order.
 DISPLAY_COLUMNS = [
     "timestamp",
     "project_name",

@@ -40,7 +40,7 @@ def quota_verdicts(
     limit: int = QUOTA_REQUESTS,
     window_seconds: int = QUOTA_WINDOW_SECONDS,
     hot_rows: int = 5_000_000,
-    slot_us: int = 1_000_000,
+    slot_us: int = 4_000_000,
 ) -> DataFrame:
     """One verdict per request: ``(identity, time, order, n, allowed, remaining, reset_s, quota)``.
 

@@ -625,6 +625,9 @@ _add(
       flagged::INTEGER::VARCHAR AS flagged,
       '[' || array_to_string(list_transform(risk_labels, lambda x: '"' || x || '"'), ', ') || ']'
       AS risk_labels, {_JSON_TAGS} AS tags, {_BODY} FROM audited""",
+    export_import=f"""{AUDITED} SELECT id, timestamp, {_BODY}, flagged, has_pii,
+      redaction_count::BIGINT AS redaction_count, round(toxicity_score, 6) AS toxicity_score,
+      {_REASONS}, {_TAGS}, strftime(audit_date, '%Y-%m-%d') AS audit_date FROM audited""",
     export_filtered=f"""{AUDITED} SELECT id::VARCHAR AS id, flagged, is_refusal, {_LABELS}
       FROM audited WHERE NOT flagged AND model_name = 'model-en'""",
     labeled_roundtrip=f"""{RAW} SELECT input_text, coalesce(toxic = 1, false) AS label_toxicity,

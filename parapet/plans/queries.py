@@ -930,6 +930,18 @@ def export_csv(spark, folder):
     return rows.select("id", "timestamp", "flagged", "risk_labels", "tags", digest("output_text"))
 
 
+@query
+def export_import(spark, folder):
+    path = shared_folder(spark, "export")
+    wr.export_csv(cp.audited(spark, folder), path)
+    rows = rd.read_exported(spark, path)
+    return rows.select(
+        "id", "timestamp", digest("output_text"), "flagged", "has_pii", "redaction_count",
+        F.round("toxicity_score", 6).alias("toxicity_score"), joined("risk_explanations"),
+        joined("tags"), day_text("audit_date"),
+    )
+
+
 @query
 def export_filtered(spark, folder):
     path = shared_folder(spark, "export")

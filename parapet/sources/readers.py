@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parapet.operators.normalize import fill_falsy, to_conversations
+from parapet.operators.audit import with_time
+from parapet.operators.normalize import (
+    decode_row,
+    ensure_columns,
+    fill_falsy,
+    to_conversations,
+)
 from parapet.schemas import (
+    AUDIT_COLUMNS,
     AUDIT_SCHEMA,
     CONVERSATION_FIELDS,
     CONVERSATION_SCHEMA,
@@ -101,6 +108,22 @@ def read_audit_table(spark: SparkSession, path: str, **options: str) -> DataFram
     return spark.read.options(**options).schema(AUDIT_SCHEMA).parquet(path)
 
 
+def read_exported(
+    spark: SparkSession, path: str | None = None, source: str = "csv", **options
+) -> DataFrame:
+    """Audit rows from a store that keeps lists as JSON text and flags as 0/1 or text.
+
+    That is the form of a CSV export and of a database table; ``source`` and ``options``
+    may name any Spark data source, such as ``jdbc`` with its partitioning options.
+    Columns an older store lacks get their defaults.
+    """
+    if source == "csv":
+        options = {"header": True, "escape": '"', "multiLine": True, **options}
+    rows = decode_row(ensure_columns(spark.read.format(source).options(**options).load(path)))
+    types = {f.name: f.dataType for f in AUDIT_SCHEMA.fields}
+    return with_time(rows.select(*[F.col(c).cast(types[c]).alias(c) for c in AUDIT_COLUMNS]))
+
+
 def read_labeled(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Labeled rows; a missing label is false, a missing text is ''."""
     rows = spark.read.schema(LABELED_SCHEMA).json(path)

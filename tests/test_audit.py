@@ -6,6 +6,7 @@ from parapet.functions.scoring import model_score, stored_score
 from parapet.functions.text import fixed
 from parapet.operators import audit as au
 from parapet.operators.normalize import to_conversations
+from parapet.plans.corpus import audit_seeded, seeded_input, spread
 from parapet.sources.readers import from_rows
 
 # Own copies of the golden cases: one row per signal, a refusal and a safe one.
@@ -127,6 +128,23 @@ def test_heavy_text_work_runs_once(spark):
     assert "Exchange" not in au.audit(df)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_verdict_filter_does_not_repeat_the_scans(spark, data):
+    raw = seeded_input(spark, data)
+    rows = audit_seeded(raw).filter("flagged and id < 50").select("id", "risk_labels")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("suicide") == 1 and plan.count("should be deported END") == 1
+    assert "LessThan(doc_id,50)" in plan  # the cheap half reaches the scan
+    assert rows.count() == audit_seeded(raw).filter("id < 50").filter("flagged").count()
+
+
+def test_small_scans_are_spread(spark, data):
+    cores = spark.sparkContext.defaultParallelism
+    small = spark.read.parquet(f"{data}/documents.parquet")
+    assert spread(small).rdd.getNumPartitions() == cores
+    wide = spark.range(100, numPartitions=cores + 3)
+    assert spread(wide) is wide
+
+
 def test_result_view(spark):
     view = au.result_view(au.audit(numbered(spark, [("x", "hi")])))
     assert len(view.columns) == 14 and view.first()["record_id"] == 0

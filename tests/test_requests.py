@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parapet.operators import requests as rq
-from parapet.operators.quota import quota_verdicts
+from parapet.operators.quota import quota_verdicts, with_quota_status
 
 WINDOW, LIMIT = 60, 3
 
@@ -74,6 +74,15 @@ def test_second_request_is_denied(spark):
                    4: (1, True, 0, 60)}
 
 
+def test_denied_requests_end_in_429(spark):
+    rows = [("a", 0, 1), ("a", 1, 2), ("a", 2, 3), ("b", 0, 4)]
+    log = as_log(spark, rows).withColumn("status_code", F.lit(200))
+    log = log.withColumn("path", F.when(F.col("event_id") == 1, "/health").otherwise("/audit"))
+    got = with_quota_status(log, rq.is_exempt(F.col("path")), limit=1, window_seconds=60)
+    codes = {r["event_id"]: r["status_code"] for r in got.collect()}
+    assert codes == {1: 200, 2: 200, 3: 429, 4: 200}
+
+
 def test_identity(spark):
     import hashlib
 

@@ -117,3 +117,9 @@ def test_csv_export(spark, audited, tmp_path):
     assert row["tags"] == '["t", "\\u00E9"]'
     assert row["output_text"] == '[REDACTED_EMAIL], "quoted"\nline'
     assert row["project_name"] is None
+
+    again = rd.read_exported(spark, path)
+    assert again.dtypes == [(n, t) for n, t in audited.dtypes]
+    texts = ["id", "output_text", "flagged", "risk_labels", "tags", "ts"]
+    want = audited.filter("flagged").select(*texts).collect()
+    assert sorted(map(str, again.select(*texts).collect())) == sorted(map(str, want))

@@ -127,10 +127,10 @@ _add(
     detect_pii_pages=f"""{PAGES} SELECT page_id, has_pii,
       array_to_string(pii_data, '|') AS pii_data FROM found""",
     redact_pii=f"""{FOUND} SELECT id, md5(redacted) AS output_text_md5,
-      redaction_count::BIGINT AS redaction_count, redaction_count > 0 AS redaction_applied
+      redaction_count::INTEGER AS redaction_count, redaction_count > 0 AS redaction_applied
       FROM found""",
     redact_pages=f"""{PAGES} SELECT page_id, md5(redacted) AS html_md5,
-      redaction_count::BIGINT AS redaction_count FROM found""",
+      redaction_count::INTEGER AS redaction_count FROM found""",
     detect_refusal=f"{FOUND} SELECT id, is_refusal, refusal_phrase FROM found",
     detect_self_harm=f"{FOUND} SELECT id, self_harm, self_harm_match FROM found",
     detect_jailbreak=f"{FOUND} SELECT id, jailbreak, jailbreak_phrase FROM found",
@@ -162,11 +162,11 @@ _add(
     risk_explanations=f"{AUDITED} SELECT id, {_REASONS} FROM audited",
     audit_rows=f"""{AUDITED} SELECT id, timestamp, input_text, {_BODY}, {_SCORES}, {_FLAGS},
       {_LABELS}, {_REASONS}, array_to_string(pii_types, '|') AS pii_types, flagged,
-      redaction_applied, redaction_count::BIGINT AS redaction_count, project_name, model_name,
+      redaction_applied, redaction_count::INTEGER AS redaction_count, project_name, model_name,
       user_id, request_id, {_TAGS}, strftime(ts, {_STAMP}) AS ts,
       strftime(audit_date, '%Y-%m-%d') AS audit_date FROM audited""",
     audit_unredacted=f"""{RAW} SELECT id, {_BODY}, false AS redaction_applied,
-      0::BIGINT AS redaction_count FROM seeded""",
+      0::INTEGER AS redaction_count FROM seeded""",
     audit_threshold=f"{FOUND}, {labels(0.45)} SELECT id, flagged, {_REASONS} FROM judged",
     batch_summary=f"""{AUDITED} SELECT count(*) AS processed,
       count(*) FILTER (flagged) AS flagged FROM audited""",
@@ -240,7 +240,7 @@ _add(
       FROM documents""",
     result_view=f"""{AUDITED} SELECT id AS record_id, flagged, {_LABELS}, {_REASONS}, {_SCORES},
       {_FLAGS}, array_to_string(pii_types, '|') AS pii_types, redaction_applied,
-      redaction_count::BIGINT AS redaction_count FROM audited""",
+      redaction_count::INTEGER AS redaction_count FROM audited""",
     parse_timestamps=f"""{RAW} SELECT id,
       CASE WHEN id % 9 <> 0 THEN strftime(raw_time::TIMESTAMP, {_STAMP}) END AS ts,
       CASE WHEN id % 9 <> 0 THEN strftime(raw_time::TIMESTAMP, '%Y-%m-%d') END AS audit_date
@@ -258,7 +258,7 @@ _add(
       FROM events""",
     ensure_columns=f"""{AUDITED} SELECT id, flagged, '' AS project_name, '' AS request_id,
       '' AS tags, '' AS risk_labels, false AS self_harm, false AS jailbreak, false AS bias,
-      false AS redaction_applied, 0::BIGINT AS redaction_count FROM audited""",
+      false AS redaction_applied, 0::INTEGER AS redaction_count FROM audited""",
     assign_ids="""SELECT count(*) AS rows, count(*) AS ids, 1::BIGINT AS low, count(*) AS high
       FROM documents""",
     union_sources=f"""WITH {SEEDED}, {_PAIRS}
@@ -375,7 +375,7 @@ _add(
     incident_breakdown=f"""{AUDITED}, items AS (SELECT unnest(risk_labels) AS label FROM audited
       WHERE flagged) SELECT label, count(*) AS count FROM items GROUP BY label""",
     label_bars=f"""{AUDITED}, {_ITEMS} SELECT label, count(*) AS count,
-      greatest(8, floor(count(*)::DOUBLE / max(count(*)) OVER () * 100 + 0.5))::BIGINT AS width
+      greatest(8, floor(count(*)::DOUBLE / max(count(*)) OVER () * 100 + 0.5))::INTEGER AS width
       FROM items GROUP BY label""",
 )
 
@@ -626,7 +626,7 @@ _add(
       '[' || array_to_string(list_transform(risk_labels, lambda x: '"' || x || '"'), ', ') || ']'
       AS risk_labels, {_JSON_TAGS} AS tags, {_BODY} FROM audited""",
     export_import=f"""{AUDITED} SELECT id, timestamp, {_BODY}, flagged, has_pii,
-      redaction_count::BIGINT AS redaction_count, round(toxicity_score, 6) AS toxicity_score,
+      redaction_count::INTEGER AS redaction_count, round(toxicity_score, 6) AS toxicity_score,
       {_REASONS}, {_TAGS}, strftime(audit_date, '%Y-%m-%d') AS audit_date FROM audited""",
     export_filtered=f"""{AUDITED} SELECT id::VARCHAR AS id, flagged, is_refusal, {_LABELS}
       FROM audited WHERE NOT flagged AND model_name = 'model-en'""",

@@ -19,6 +19,15 @@ def sql(data):
     return connection
 
 
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
 def cells(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted(tuple(repr(row[i]) for i in order) for row in rows)
@@ -29,7 +38,8 @@ def test_query_equals_sql(spark, data, sql, name):
     df = entry_points.queries()[name](spark, data)
     result = sql.execute(entry_points.oracle_sql()[name])
     names = [c[0] for c in result.description]
-    assert sorted(df.columns) == sorted(names)
+    types = {c[0]: str(c[1]) for c in result.description}
+    assert {name: TYPES[kind] for name, kind in df.dtypes} == types
     assert cells(df.columns, df.collect()) == cells(names, result.fetchall())
 
 

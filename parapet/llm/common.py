@@ -90,11 +90,14 @@ def ranked(
     return df.drop("_cell", "_r", "_n")
 
 
-def blocks(lengths: list[int], most: int = BLOCK_CHARS) -> Iterator[slice]:
-    """Cut a batch into runs of rows of about ``most`` characters; a longer row stands alone."""
+def blocks(lengths: list[int], most: int = BLOCK_CHARS, rows: int = 1 << 30) -> Iterator[slice]:
+    """Cut a batch into runs of rows of about ``most`` characters and at most ``rows`` rows.
+
+    A longer row stands alone.
+    """
     start = held = 0
     for i, n in enumerate(lengths):
-        if i > start and held + n > most:
+        if i > start and (held + n > most or i - start >= rows):
             yield slice(start, i)
             start, held = i, 0
         held += n

@@ -2,4 +2,63 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+#: A word as DuckDB's regular expressions write it.
+_WORD = r"[^\x20\x09-\x0D]+"
+_SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+_MIX = rf"""
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size
+  from documents
+), sources as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as number
+  from sized group by source
+), weighed as (
+  select *, [5, 2, 1][(number % 3) + 1] as weight, source_size * 2 as most,
+    source_size * 2 / [5, 2, 1][(number % 3) + 1] as stop
+  from sources
+), levels as (
+  select *, (sum(source_size) over () * 1.5::double
+      - coalesce(sum(most) over (order by stop, number rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by stop, number rows between current row and unbounded following) as level
+  from weighed
+), targets as (
+  select source, source_size, number,
+    case when level >= stop then most::double
+      else weight * max(case when level < stop then level end) over () end as target
+  from levels
+), total as (
+  select sum(target) as total, greatest(1, least(1024, floor(sum(target))::bigint // 131072)) as block from targets
+), edges as (
+  select number, coalesce(lag(high) over (order by number), 0) as low, high
+  from (
+    select number, case when number = max(number) over () then 2147483648
+      else floor(sum(target) over (order by number) / (select total from total) * 2147483648)::bigint end as high
+    from targets
+  )
+), slots as (
+  select slot, slot * 1327217885 % 2147483648 as point
+  from range((select case when total > 0 then ceil(total / block)::bigint else 0 end from total)) t(slot)
+), ranks as (
+  select number, row_number() over (partition by number order by slot) - 1 as rank
+  from slots join edges on point >= low and point < high
+), filled as (
+  select number, count(*) * (select block from total) as words from ranks group by number
+), passes as (
+  select doc_id, number, source_size, target, size, epoch,
+    ('0x' || substr(md5(epoch || ':' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as place
+  from sized join targets on sized.source is not distinct from targets.source, (values (0), (1)) e(epoch)
+  where size > 0 and (epoch = 0 or target > source_size)
+), streams as (
+  select *, epoch * source_size + coalesce(sum(size) over (
+    partition by number, epoch order by place, doc_id rows between unbounded preceding and 1 preceding), 0) as start
+  from passes
+), taken as (
+  select doc_id, sum(greatest(0, least(size, words - start)))::bigint as taken
+  from streams join filled using (number) group by doc_id
+)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken
+from sized join targets on sized.source is not distinct from targets.source left join taken using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op6_source_mix": _MIX}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parapet.llm import mixing, packing, sharding, simhash
+from parapet.llm import langid, mixing, packing, pseudonyms, quality, sharding, simhash, wrappers
 from parapet.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +16,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hyperdimensional_languages(spark, folder):
+    return langid.predict(table(spark, folder, "documents"))
+
+
+def op2_wrapper_text(spark, folder):
+    return wrappers.extract(table(spark, folder, "pages"))
+
+
 def op3_ring_shards(spark, folder):
     placed = sharding.shard(table(spark, folder, "documents"))
     return placed.select(
@@ -24,6 +32,10 @@ def op3_ring_shards(spark, folder):
     )
 
 
+def op4_robust_outliers(spark, folder):
+    return quality.judged(table(spark, folder, "documents")).drop("distance")
+
+
 def op5_simhash_groups(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -38,7 +50,17 @@ def op8_best_fit_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op10_feistel_pseudonyms(spark, folder):
+    key = spark.conf.get("parapet.pseudonym.key", None)
+    key = key.encode() if key else pseudonyms.EXAMPLE_KEY
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, key, count="n_values")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op3_ring_shards, op5_simhash_groups, op6_source_mix, op8_best_fit_packing)
+    for f in (
+        op1_hyperdimensional_languages, op2_wrapper_text, op3_ring_shards, op4_robust_outliers,
+        op5_simhash_groups, op6_source_mix, op8_best_fit_packing, op10_feistel_pseudonyms,
+    )
 }

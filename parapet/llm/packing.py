@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm.common import WORD, blocks, order_hash, ranked, spread_repeats
+from parapet.llm.common import blocks, order_hash, ranked, spread_repeats
 from parapet.session import cut_lineage
 
 CAPACITY = 2048
@@ -20,30 +20,36 @@ END_ID = 0
 _RANK_BITS = 44
 
 
-class Encoder:
+class Encoder(dict):
     """Token ids of texts, as little-endian 32-bit numbers.
 
     No token crosses a space, so a text's ids are those of its space-separated parts in a row.
     Parts met before are looked up; ``keep`` bounds how many are remembered.
     """
 
-    def __init__(self, path: str, keep: int = 1 << 18):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.keep, self.known, self.word = keep, {}, re.compile(WORD)
+        super().__init__()
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [self.word.findall(text) for text in texts]
-        fresh = set().union(*parts)
-        if len(self.known) + len(fresh) > self.keep:
-            self.known = {}
-        fresh = list(fresh.difference(self.known))
-        found = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-        known = self.known
-        for part, encoding in zip(fresh, found):
-            known[part] = np.array(encoding.ids, "<u4").tobytes()
-        return [b"".join([known[part] for part in row]) for row in parts]
+    def __missing__(self, part: bytes) -> bytes:
+        text = part.decode()
+        if len(part) > 1 and text[-1] in ".,;:!?" and text[:-1].isalpha():
+            found = self[text[:-1].encode()] + self[text[-1].encode()]  # letters and marks never join
+        elif text.isalpha() and text != text.lower() and max(text) < "\u0130":
+            found = self[text.lower().encode()]  # up to there case depends on no neighbour
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            found = array("I", ids).tobytes()
+        if len(part) < 256:
+            self[part] = found
+        return found
+
+    def __call__(self, text: str) -> bytes:
+        if len(self) > self.keep:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.encode().split()))
 
 
 def pieces(
@@ -65,8 +71,8 @@ def pieces(
             names = batch.column("doc_id")
             for part in blocks([len(text) for text in texts]):
                 out, of = [], []
-                for at, ids in zip(range(part.start, part.stop), encode(texts[part])):
-                    ids += end
+                for at in range(part.start, part.stop):
+                    ids = encode(texts[at]) + end
                     for i, start in enumerate(range(0, len(ids), step)):
                         own = ids[start : start + step]
                         of.append(at)

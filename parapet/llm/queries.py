@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parapet.llm import langid, mixing, packing, pseudonyms, quality, sharding, simhash, wrappers
+from parapet.llm import langid, mixing, neighbours, packing, passages, pseudonyms, quality, sharding, simhash, wrappers
 from parapet.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -57,10 +57,19 @@ def op10_feistel_pseudonyms(spark, folder):
     return pseudonyms.pseudonymise(docs, key, count="n_values")
 
 
+def op7_projected_neighbours(spark, folder):
+    return neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_repeated_passages(spark, folder):
+    return passages.deduplicated(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hyperdimensional_languages, op2_wrapper_text, op3_ring_shards, op4_robust_outliers,
-        op5_simhash_groups, op6_source_mix, op8_best_fit_packing, op10_feistel_pseudonyms,
+        op5_simhash_groups, op6_source_mix, op7_projected_neighbours, op8_best_fit_packing,
+        op9_repeated_passages, op10_feistel_pseudonyms,
     )
 }

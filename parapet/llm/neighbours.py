@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parapet.session import cut_lineage
@@ -20,8 +20,8 @@ PROJECTED = 8
 CERTAINTY = 0.99
 LEAF = 512
 #: Vectors in one index shard, and queries in one block.
-SHARD_ROWS = 1 << 14
-QUERY_ROWS = 1 << 9
+SHARD_ROWS = 1 << 13
+QUERY_ROWS = 1 << 13
 
 
 def chi_square_quantile(probability: float, degrees: int) -> float:
@@ -157,19 +157,20 @@ def search(
     def run(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(wanted):
-            own, wanted = own.drop_duplicates("vec_id"), wanted.drop_duplicates("vec_id")
-            index = Index(own["vec_id"].to_numpy(), np.stack(own["v"].to_list()), own["longest"].iloc[0])
+            own, wanted = own.drop_duplicates("p_vec_id"), wanted.drop_duplicates("vec_id")
+            index = Index(own["p_vec_id"].to_numpy(), np.stack(own["p_v"].to_list()), own["p_longest"].iloc[0])
             for name, query in zip(wanted["vec_id"], wanted["v"]):
                 names, scores = index.search(name, np.asarray(query), many, certainty)
                 out += [(name, i, float(s)) for i, s in zip(names, scores)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
+    # Both sides come from one table: names of its own keep their columns apart.
     columns = [*key, "vec_id", "v", "longest"]
-    found = points.select(columns).groupBy(*key).cogroup(asked.select(columns).groupBy(*key)).applyInPandas(
+    points = points.select(columns).toDF(*[f"p_{c}" for c in columns])
+    found = points.groupBy(*[f"p_{c}" for c in key]).cogroup(asked.select(columns).groupBy(*key)).applyInPandas(
         run, "query_id bigint, vec_id bigint, score double"
     )
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, many)
-    merged = found.groupBy("query_id").agg(best.alias("best"))
-    return merged.select("query_id", F.posexplode("best").alias("i", "b")).select(
-        "query_id", (F.col("i") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.less")).alias("score")
-    )
+    # Spark keeps the best of each task before it shuffles.
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= many)
+    return ranked.select("query_id", "rank", "vec_id", "score")

@@ -61,4 +61,92 @@ select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken
 from sized join targets on sized.source is not distinct from targets.source left join taken using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_source_mix": _MIX}
+#: Four statistics, each with its least standard deviation.
+_FLOORS = [0.07, 0.6, 0.6, 1.0]
+
+
+def _double(value: float) -> str:
+    return f"{value!r}::double"
+
+
+def _distance() -> str:
+    """The squared Mahalanobis distance by forward substitution."""
+    solved = []
+    for i in range(4):
+        rest = "".join(f" - l{i}{j} * ({solved[j]})" for j in range(i))
+        solved.append(f"(x{i} / 1000::double - m{i}{rest}) / l{i}{i}")
+    return " + ".join(f"({y}) * ({y})" for y in solved)
+
+
+def _robust(steps: int = 4) -> str:
+    """Base counts, concentration steps from medians on, and the verdict."""
+    pairs = [(i, j) for i in range(4) for j in range(i + 1)]
+    factor = ", ".join(f"l{i}{j}" for i, j in pairs)
+    same = "k1 is not distinct from e.k1 and r.k2 is not distinct from e.k2"
+    start = ", ".join(f"quantile_cont(x{i}, 0.5) / 1000::double as m{i}" for i in range(4))
+    floors = ", ".join(f"{_double(_FLOORS[i] if i == j else 0.0)} as l{i}{j}" for i, j in pairs)
+    sums = ", ".join(
+        [f"sum(x{i})::double as s{i}" for i in range(4)]
+        + [f"sum(x{i}::hugeint * x{j})::double as s{i}{j}" for i, j in pairs]
+    )
+    means = ", ".join(f"s{i} / n / 1000::double as m{i}" for i in range(4))
+    spread = []
+    for i, j in pairs:
+        own = f"(s{i}{j} / n - s{i} / n * (s{j} / n)) / 1000000::double * {_double(2.1146)}"
+        own = f"greatest({own}, 0::double) + {_double(_FLOORS[i] * _FLOORS[i])}" if i == j else own
+        spread.append(f"{own} as c{i}{j}")
+    parts = [f"estimate0 as (select k1, k2, {start}, {floors} from good group by k1, k2)"]
+    for step in range(steps):
+        parts.append(f"""far{step} as (
+  select r.*, floor(sqrt({_distance()}) * 64)::bigint as bin from good r join estimate{step} e on r.{same}
+), bound{step} as (select k1, k2, quantile_cont(bin, 0.5) as most from far{step} group by k1, k2
+), sums{step} as (
+  select r.k1, r.k2, count(*)::double as n, {sums}
+  from far{step} r join bound{step} e on r.{same} where bin <= most group by r.k1, r.k2
+), spread{step} as (select k1, k2, {means}, {', '.join(spread)} from sums{step})""")
+        last = f"spread{step}"
+        for i, j in pairs:  # one expression each, as a column is named only one select later
+            rest = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            value = f"sqrt(c{i}{j}{rest})" if i == j else f"(c{i}{j}{rest}) / l{j}{j}"
+            parts.append(f"factor{step}_{i}{j} as (select *, {value} as l{i}{j} from {last})")
+            last = f"factor{step}_{i}{j}"
+        parts.append(f"estimate{step + 1} as (select k1, k2, m0, m1, m2, m3, {factor} from {last})")
+    return f"""
+with docs as materialized (
+  select row_number() over () as rid, doc_id, lang as k1, source as k2, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '{_WORD}') as words
+  from documents
+), windows as materialized (
+  select rid, i, array_to_string(words[i:i + 7], ' ') as w
+  from (select rid, words, unnest(range(1, len(words) - 6)) as i from docs where len(words) >= 8)
+), repeats as (
+  select rid, count(distinct i + k) as n
+  from windows join (select rid, w from windows group by rid, w having count(*) > 1) using (rid, w),
+    range(0, 8) t(k)
+  group by rid
+), counted as (
+  select docs.rid, doc_id, k1, k2, len(words)::bigint as n_words,
+    length(translate(text, {_SPACES}, ''))::bigint as word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols,
+    (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')))
+      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')))))::bigint
+      as n_dup_lines,
+    coalesce(repeats.n, 0)::bigint as n_repeat_words
+  from docs left join repeats using (rid)
+), marked as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from counted
+), good as materialized (
+  select rid, k1, k2, round(ln(word_chars / n_words) * 1000)::bigint as x0,
+    round(ln(1 + 100 * n_symbols / n_words) * 1000)::bigint as x1,
+    round(ln(1 + 100 * n_dup_lines / n_words) * 1000)::bigint as x2,
+    round(ln(1 + 100 * n_repeat_words / n_words) * 1000)::bigint as x3
+  from marked where not base_failed
+), {', '.join(parts)}, kept as (
+  select rid from good r join estimate{steps} e on r.{same} where {_distance()} <= {_double(23.513)}
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.rid is not null as kept
+from marked left join kept using (rid)
+"""
+
+
+ORACLES: dict[str, str] = {"op4_robust_outliers": _robust(), "op6_source_mix": _MIX}

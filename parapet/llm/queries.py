@@ -16,6 +16,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def pseudonym_key(spark) -> bytes:
+    """The key set for the session, or the example key."""
+    key = spark.conf.get("parapet.pseudonym.key", None)
+    return key.encode() if key else pseudonyms.EXAMPLE_KEY
+
+
 def op1_hyperdimensional_languages(spark, folder):
     return langid.predict(table(spark, folder, "documents"))
 
@@ -51,10 +57,8 @@ def op8_best_fit_packing(spark, folder):
 
 
 def op10_feistel_pseudonyms(spark, folder):
-    key = spark.conf.get("parapet.pseudonym.key", None)
-    key = key.encode() if key else pseudonyms.EXAMPLE_KEY
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymise(docs, key, count="n_values")
+    return pseudonyms.pseudonymise(docs, pseudonym_key(spark), count="n_values")
 
 
 def op7_projected_neighbours(spark, folder):

@@ -26,12 +26,15 @@ def stored_score(column: str) -> Scorer:
     return lambda _: F.coalesce(F.nanvl(F.col(column).cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
-def model_score(load: Callable[[], Callable[[list[str]], list]], label: str = "toxicity") -> Scorer:
-    """Score with a model that ``load`` builds once per task.
+_RESULT = "score double, failed boolean"
 
-    The model maps a list of texts to a list of ``[{"label": .., "score": ..}, ..]``
-    rows or plain numbers. Whatever fails scores 0: loading, a text, or a missing label.
-    """
+
+def model_result(
+    load: Callable[[], Callable[[list[str]], list]], label: str = "toxicity", on_error: str = "raise"
+) -> Scorer:
+    """As ``model_score``, but ``(score, failed)``: a text that fails scores 0 and says so."""
+    if on_error not in ("raise", "zero"):
+        raise ValueError("on_error is 'raise' or 'zero'")
 
     def value(result) -> float:
         if isinstance(result, (int, float)):
@@ -41,9 +44,9 @@ def model_score(load: Callable[[], Callable[[list[str]], list]], label: str = "t
                 return float(entry.get("score", 0.0))
         return 0.0
 
-    def score_batch(model, texts: list[str]) -> list[float]:
+    def score_batch(model, texts: list[str]) -> list[tuple[float, bool]]:
         try:
-            results = [value(r) for r in model(texts)]
+            results = [(value(r), False) for r in model(texts)]
             if len(results) == len(texts):
                 return results
         except Exception:
@@ -51,27 +54,46 @@ def model_score(load: Callable[[], Callable[[list[str]], list]], label: str = "t
         scores = []
         for text in texts:  # one bad text must not zero its whole batch
             try:
-                scores.append(value(model([text])[0]))
+                scores.append((value(model([text])[0]), False))
             except Exception:
-                scores.append(0.0)
+                scores.append((0.0, True))
         return scores
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(_RESULT)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         try:
             model = load()
         except Exception:
+            if on_error == "raise":
+                raise
             model = None
         for texts in batches:
-            out = pd.Series(0.0, index=texts.index)
+            out = pd.DataFrame({"score": 0.0, "failed": False}, index=texts.index)
             wanted = texts.notna() & texts.fillna("").str.strip().ne("")
-            if model is not None and wanted.any():
-                out[wanted] = score_batch(model, texts[wanted].tolist())
+            if wanted.any():
+                own = texts[wanted].tolist()
+                found = score_batch(model, own) if model else [(0.0, True)] * len(own)
+                out.loc[wanted, "score"] = [s for s, _ in found]
+                out.loc[wanted, "failed"] = [f for _, f in found]
             yield out
 
     return score
 
 
+def model_score(
+    load: Callable[[], Callable[[list[str]], list]], label: str = "toxicity", on_error: str = "raise"
+) -> Scorer:
+    """Score with a model that ``load`` builds once per task.
+
+    The model maps a list of texts to a list of ``[{"label": .., "score": ..}, ..]``
+    rows or plain numbers. A text that fails, or a missing label, scores 0. A model that does not
+    load fails the task, which Spark tries again elsewhere; with ``on_error='zero'`` all texts
+    of the task score 0 instead. ``model_result`` tells failed texts from real zeros.
+    """
+    result = model_result(load, label, on_error)
+    return lambda text: result(text)["score"]
+
+
 def guarded(scorer: Scorer, text: Column) -> Column:
     """Blank text always scores 0."""
     return F.when(blank(text), F.lit(0.0)).otherwise(scorer(text)).cast("double")

@@ -139,6 +139,8 @@ def audit(
     ``batch_time`` is the timestamp text for rows that have none; a batch should
     pass a literal so that a retried task writes the same value.
     """
+    if "_corrupt_record" in df.columns:
+        raise ValueError("set malformed rows aside first (see split_valid)")
     detected = label(detect(df, "output_text", toxicity, sentiment), threshold)
     if redact_pii:
         stored = redact(detected)

@@ -122,8 +122,10 @@ def gate(baseline: DataFrame, current: DataFrame, allowed_drop: float = 0.0) ->
 
     A signal fails when it is missing or skipped now, or when its precision or
     recall fell by more than ``allowed_drop``. Signals the baseline skipped pass,
-    unless they are missing.
+    unless they are missing. A baseline without signals is an error, not a pass.
     """
+    if baseline.isEmpty():
+        raise ValueError("the baseline holds no signals")
     old = baseline.select(
         "signal",
         F.col("skipped").alias("old_skipped"),

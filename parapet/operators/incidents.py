@@ -14,11 +14,12 @@ from parapet.session import cut_lineage
 
 
 def select_incidents(
-    df: DataFrame, flagged_only: bool = True, limit: int = 200, **filters: str | None
+    df: DataFrame, flagged_only: bool = True, limit: int = 200, most: int = REPORT_ROWS_MAX,
+    **filters: str | None,
 ) -> DataFrame:
-    """The newest (flagged) rows that pass the filters; limit within 1..2000."""
-    if not 1 <= limit <= REPORT_ROWS_MAX:
-        raise ValueError(f"limit must be within 1..{REPORT_ROWS_MAX}")
+    """The newest (flagged) rows that pass the filters; limit within 1..``most``."""
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be within 1..{most}")
     chosen = AuditFilter(flagged=True if flagged_only else None, **filters)
     return chosen.apply(df).orderBy(*newest_first()).limit(limit)
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parapet import lexicon as lx
 from parapet.functions.text import first_phrase
+from parapet.session import cut_lineage
 
 MATCHES = "array<struct<signal:string,ord:bigint,phrase:string>>"
 
@@ -32,33 +30,77 @@ def compiled_matches(text: Column, lexicon: dict[str, list[str]]) -> dict[str, C
     return {signal: first_phrase(lowered, phrases) for signal, phrases in lexicon.items()}
 
 
+# Phrases that are matched by expressions; beyond, by a join over grams of this length.
+COMPILED_PHRASES = 200
+GRAM = 8
+
+
 def match_lexicon(
-    df: DataFrame, lexicon: DataFrame, text: str = "text", slice_rows: int = 100_000
+    df: DataFrame, lexicon: DataFrame, text: str = "text", compiled: int = COMPILED_PHRASES
 ) -> DataFrame:
     """Add ``matches``: per signal the first phrase (lowest ``ord``) found in the text.
 
-    Phrases are substrings of the lower-cased text. The text never moves: the lexicon
-    is cut into slices of at most about ``slice_rows`` phrases, each broadcast as one
-    automaton that finds all its phrases in a single pass. A larger lexicon gives more
-    slices over the same scan, never a larger broadcast. Counts the lexicon first.
+    Phrases are substrings of the lower-cased text. A lexicon of at most ``compiled`` phrases
+    becomes column expressions in one narrow plan; a larger one stays a table, see
+    ``_joined``. Both give the same matches, and nothing runs outside the JVM.
     """
-    spark = df.sparkSession
     usable = lexicon.select("signal", F.col("ord").cast("bigint").alias("ord"), "phrase").filter(
         "phrase != ''"
     )
-    slices = max(1, -(-usable.count() // slice_rows))
-    part = F.pmod(F.xxhash64("phrase"), F.lit(slices))
+    rows = usable.limit(compiled + 1).collect()
+    return _compiled(df, rows, text) if len(rows) <= compiled else _joined(df, usable, text)
+
+
+def _compiled(df: DataFrame, rows: list, text: str) -> DataFrame:
+    lists: dict[str, list] = {}
+    for row in sorted(rows, key=lambda r: (r["ord"], r["phrase"])):
+        lists.setdefault(row["signal"], []).append(row)
     found = []
-    for number in range(slices):
-        rows = [tuple(r) for r in usable.filter(part == number).collect()]
-        found.append(_matcher(spark.sparkContext.broadcast(rows))(F.col(text)))
-    if slices == 1:
-        return df.withColumn("matches", found[0])
-    # the Python results need a projection of their own before lambdas may read them
-    parts = {f"_slice{i}": column for i, column in enumerate(found)}
-    joined = F.concat(*[F.col(name) for name in parts])
-    with_parts = df.withColumns(parts).withColumn("_all", joined)
-    return with_parts.withColumn("matches", _first_per_signal(F.col("_all"))).drop("_all", *parts)
+    for signal, own in sorted(lists.items()):
+        entry = lambda r: F.struct(
+            F.lit(r["signal"]).alias("signal"), F.lit(r["ord"]).cast("bigint").alias("ord"),
+            F.lit(r["phrase"]).alias("phrase"),
+        )
+        lowered = F.col("_lowered")
+        found.append(F.coalesce(*[F.when(lowered.contains(r["phrase"]), entry(r)) for r in own]))
+    matches = F.array_compact(F.array(*found)) if found else F.array()
+    lowered = df.withColumn("_lowered", F.lower(text))
+    return lowered.withColumn("matches", matches.cast(MATCHES)).drop("_lowered")
+
+
+def _grams(lowered: Column, lengths: list[int]) -> Column:
+    """The distinct substrings of the given lengths, each found in one pass."""
+    found = [
+        F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        for n in lengths
+    ]
+    return F.concat(*found)
+
+
+def _joined(df: DataFrame, lexicon: DataFrame, text: str) -> DataFrame:
+    """Texts and phrases meet on grams: a phrase's first ``GRAM`` letters, or all of it.
+
+    Only ``(row, gram)`` pairs are shuffled for that. A row's candidate phrases then join
+    its text once, where those longer than a gram are verified. Rows are stored with a
+    number first, so that both joins see the same one.
+    """
+    size = F.length("phrase")
+    keyed = lexicon.withColumn("_gram", F.left("phrase", F.lit(GRAM)))
+    lengths = [r[0] for r in lexicon.select(F.least(size, F.lit(GRAM)).alias("n")).distinct().collect()]
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()), "lexicon")
+    grams = rows.select("_row", F.explode(_grams(F.lower(text), sorted(lengths))).alias("_gram"))
+    entry = F.struct("signal", "ord", "phrase")
+    candidates = grams.join(keyed, "_gram").groupBy("_row").agg(F.collect_set(entry).alias("_found"))
+    joined = rows.join(candidates, "_row", "left").withColumn("_lowered", F.lower(text))
+    sure = F.filter(
+        "_found", lambda m: (F.length(m["phrase"]) <= GRAM) | F.col("_lowered").contains(m["phrase"])
+    )
+    kept = F.coalesce(sure, F.array().cast(MATCHES)).cast(MATCHES)
+    # a projection of its own, as the lambdas below read it several times
+    joined = joined.withColumn("_all", F.explode(F.array(kept)))
+    return joined.withColumn("matches", _first_per_signal(F.col("_all"))).drop(
+        "_row", "_found", "_lowered", "_all"
+    )
 
 
 def _first_per_signal(matches: Column) -> Column:
@@ -68,34 +110,3 @@ def _first_per_signal(matches: Column) -> Column:
         return F.array_min(F.filter(matches, lambda m: m["signal"] == signal))
 
     return F.transform(signals, first)
-
-
-def _matcher(broadcast):
-    @F.pandas_udf(MATCHES)
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        entries: dict[str, list] = {}
-        for signal, order, phrase in broadcast.value:
-            entries.setdefault(phrase, []).append((signal, order, phrase))
-        automaton = ahocorasick.Automaton()
-        for phrase, owners in entries.items():
-            automaton.add_word(phrase, owners)
-        if entries:
-            automaton.make_automaton()
-
-        def first_matches(value: str | None) -> list[dict]:
-            best: dict[str, tuple] = {}
-            if value and entries:
-                for _, owners in automaton.iter(value.lower()):
-                    for owner in owners:
-                        if owner[0] not in best or owner < best[owner[0]]:
-                            best[owner[0]] = owner
-            return [
-                {"signal": s, "ord": o, "phrase": p} for s, o, p in sorted(best.values())
-            ]
-
-        for texts in batches:
-            yield texts.map(first_matches)
-
-    return match

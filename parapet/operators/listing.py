@@ -16,46 +16,56 @@ def newest_first() -> list[Column]:
 
 
 def page(
-    df: DataFrame, number: int = 1, size: int = 25, filters: AuditFilter | None = None
+    df: DataFrame, number: int = 1, size: int = 25, filters: AuditFilter | None = None,
+    most: int = PAGE_SIZE_MAX,
 ) -> DataFrame:
     """One page of the listing; a top-(offset + size) selection per task, no full sort.
 
     Every task still keeps ``offset + size`` rows: use ``page_after`` for deep pages.
     To read whole rows of a large stored table, pass the page to ``late_rows``.
     """
-    if number < 1 or not 1 <= size <= PAGE_SIZE_MAX:
-        raise ValueError(f"page must be >= 1 and size within 1..{PAGE_SIZE_MAX}")
+    if number < 1 or not 1 <= size <= most:
+        raise ValueError(f"page must be >= 1 and size within 1..{most}")
     rows = (filters or AuditFilter()).apply(df).orderBy(*newest_first())
     return rows.offset((number - 1) * size).limit(size)
 
 
-def late_rows(df: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The full rows of a stored table for a selection of at most 2000 of them.
+def late_rows(df: DataFrame, chosen: DataFrame, most: int = REPORT_ROWS_MAX) -> DataFrame:
+    """The full rows of a stored table for a selection of at most ``most`` of them.
 
     Choosing rows needs only narrow columns, so a first job finds ids and times; the
     second reads the wide text columns, but just for the days and times found: whole
-    partitions, and row groups of the time-sorted files, are skipped.
+    partitions, and row groups of the time-sorted files, are skipped. Rows match on id and
+    time together, as an imported store may repeat ids; a missing time matches a missing one.
     """
-    keys = chosen.select("id", "timestamp", "audit_date").limit(REPORT_ROWS_MAX + 1).collect()
-    if len(keys) > REPORT_ROWS_MAX:
-        raise ValueError(f"a selection holds at most {REPORT_ROWS_MAX} rows")
+    keys = chosen.select("id", "timestamp", "audit_date").limit(most + 1).collect()
+    if len(keys) > most:
+        raise ValueError(f"a selection holds at most {most} rows")
     if not keys:
         return df.limit(0)
-    times = [k["timestamp"] for k in keys]
     dated = sorted({k["audit_date"] for k in keys if k["audit_date"] is not None})
     days = F.col("audit_date").isin(dated)
     if any(k["audit_date"] is None for k in keys):
         days = days | F.col("audit_date").isNull()
-    near = days & F.col("timestamp").between(min(times), max(times))
-    return df.filter(near & F.col("id").isin([k["id"] for k in keys])).orderBy(*newest_first())
+    times = [k["timestamp"] for k in keys if k["timestamp"] is not None]
+    span = F.col("timestamp").between(min(times), max(times)) if times else F.lit(False)
+    if len(times) < len(keys):
+        span = span | F.col("timestamp").isNull()
+    pairs = df.sparkSession.createDataFrame(
+        sorted({(k["id"], k["timestamp"]) for k in keys}, key=str), "_id bigint, _time string"
+    )
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("timestamp").eqNullSafe(F.col("_time"))
+    near = df.filter(days & span)
+    return near.join(F.broadcast(pairs), same, "left_semi").orderBy(*newest_first())
 
 
 def page_after(
-    df: DataFrame, timestamp: str, id_: int, size: int = 25, filters: AuditFilter | None = None
+    df: DataFrame, timestamp: str, id_: int, size: int = 25, filters: AuditFilter | None = None,
+    most: int = PAGE_SIZE_MAX,
 ) -> DataFrame:
     """The page behind the row ``(timestamp, id)``; costs the same at any depth."""
-    if not 1 <= size <= PAGE_SIZE_MAX:
-        raise ValueError(f"size must be within 1..{PAGE_SIZE_MAX}")
+    if not 1 <= size <= most:
+        raise ValueError(f"size must be within 1..{most}")
     behind = (F.col("timestamp") < timestamp) | (
         (F.col("timestamp") == timestamp) & (F.col("id") < id_)
     )
@@ -77,12 +87,13 @@ def latest(
     project_name: str | None = None,
     model_name: str | None = None,
     user_id: str | None = None,
+    most: int = LOG_ROWS_MAX,
 ) -> DataFrame:
-    """The newest rows; the limit is clamped to 1..1000."""
+    """The newest rows; the limit is clamped to 1..``most``, by default as the log view does."""
     rows = AuditFilter(
         flagged=flagged, project_name=project_name, model_name=model_name, user_id=user_id
     ).apply(df)
-    return rows.orderBy(*newest_first()).limit(min(max(limit, 1), LOG_ROWS_MAX))
+    return rows.orderBy(*newest_first()).limit(min(max(limit, 1), most))
 
 
 def by_id(df: DataFrame, id_: int) -> DataFrame:

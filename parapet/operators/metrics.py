@@ -109,18 +109,13 @@ def meta_values(df: DataFrame) -> DataFrame:
     return cells.filter(kept).distinct()
 
 
-def meta_document(df: DataFrame, max_values: int = 100_000) -> DataFrame:
+def meta_document(df: DataFrame) -> DataFrame:
     """The distinct values as one row of sorted arrays.
 
-    Runs a count first: beyond ``max_values`` one row cannot hold them, and the
-    caller should read ``meta_values`` instead. Nothing is cut off.
+    One row has to hold them all; ``meta_values`` is the form for very many values.
     """
-    values = meta_values(df)
-    size = values.count()
-    if size > max_values:
-        raise ValueError(f"{size} distinct values; use meta_values for the long form")
     fields = [*_META_FIELDS, "tags", "risk_labels"]
-    return values.agg(
+    return meta_values(df).agg(
         *[
             F.sort_array(F.collect_set(F.when(F.col("field") == f, F.col("value")))).alias(f)
             for f in fields

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parapet.functions.text import fixed, strip
@@ -14,6 +14,8 @@ from parapet.lexicon import (
     LATENCY_SAMPLE,
     SPACE_CLASS,
 )
+from parapet.operators.metrics import beside
+from parapet.session import cut_lineage
 
 
 def client_identity(
@@ -88,6 +90,47 @@ def latency_percentiles(
     )
 
 
+def percentiles_of_all(
+    log: DataFrame, ratios: dict[str, float] | None = None, value: str = "latency_ms"
+) -> DataFrame:
+    """Nearest-rank percentiles over the whole log, exact; 0 for none.
+
+    Equal values are counted first; the counts are range-partitioned by value and stored, so each
+    partition's total gives the rank it starts at, and only the partitions that hold a wanted
+    rank are looked into. Null values take no part.
+    """
+    ratios = ratios or {"latency_ms_p50": 0.50, "latency_ms_p95": 0.95}
+    counts = log.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v"))
+    ordered = counts.agg(F.count("*").alias("n")).repartitionByRange("v")
+    ordered = cut_lineage(ordered.withColumn("part", F.spark_partition_id()), "ranks")
+    totals = ordered.groupBy("part").agg(F.sum("n").alias("n")).collect()  # one row per partition
+    total, before, starts = sum(r["n"] for r in totals), 0, []
+    for r in sorted(totals, key=lambda r: r["part"]):
+        starts.append((r["part"], before, before + r["n"]))
+        before += r["n"]
+    columns = []
+    inside = Window.partitionBy("part").orderBy("v")
+    for name, ratio in ratios.items():
+        rank = round((total - 1) * ratio) if total else 0  # half to even
+        part, start, _ = next((s for s in starts if s[1] <= rank < s[2]), (-1, 0, 0))
+        own = ordered.filter(F.col("part") == part).withColumn("upto", F.sum("n").over(inside))
+        found = own.filter(F.col("upto") > rank - start).agg(F.min("v")).first()[0]
+        columns.append(F.coalesce(fixed(F.lit(found).cast("double"), 2).cast("double"), F.lit(0.0)).alias(name))
+    return log.sparkSession.range(1).select(*columns)
+
+
+def runtime_snapshot(log: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The runtime section of the metrics document, one row: requests, latency, jobs.
+
+    All parts are single rows but the counts by status code, one row for each code.
+    """
+    codes = status_code_counts(log).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("status_code", "count")))).alias("status_codes")
+    )
+    whole = beside(request_totals(log), latency_percentiles(log))
+    return beside(beside(whole, codes), job_status_counts(jobs))
+
+
 def latest_jobs(updates: DataFrame, seq: str = "seq") -> DataFrame:
     """Current state of each job from its updates ``(job_id, status, ts, seq, error)``.
 

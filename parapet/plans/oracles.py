@@ -137,8 +137,16 @@ _add(
     detect_bias=f"{FOUND} SELECT id, bias, bias_match FROM found",
     detect_toxicity=f"{RAW} SELECT id, round(toxicity_score, 6) AS toxicity_score FROM seeded",
     detect_sentiment=f"{RAW} SELECT id, round(sentiment_score, 6) AS sentiment_score FROM seeded",
-    model_scores="""SELECT doc_id, round(((length(text) - length(replace(text, 'e', ''))) % 101)
-      ::DOUBLE / 100, 6) AS toxicity_score FROM documents""",
+    model_scores="""SELECT doc_id, CASE WHEN length(text) % 7 = 3 THEN 0 ELSE
+      round(((length(text) - length(replace(text, 'e', ''))) % 101)::DOUBLE / 100, 6) END
+      AS toxicity_score, length(text) % 7 = 3 AS score_failed FROM documents""",
+    lexicon_terms=r"""WITH terms AS (SELECT DISTINCT phrase FROM (
+      SELECT unnest(regexp_split_to_array(lower(text), '[^\pL]+')) AS phrase FROM benchmark)
+      WHERE length(phrase) >= 7),
+    hits AS (SELECT doc_id, 'term ' || left(phrase, 1) AS signal, phrase
+      FROM documents JOIN terms ON contains(lower(text), phrase))
+    SELECT doc_id, signal, phrase FROM hits
+      QUALIFY row_number() OVER (PARTITION BY doc_id, signal ORDER BY length(phrase), phrase) = 1""",
     analyze_output=f"{PLAIN} SELECT doc_id, {_FLAGS}, toxicity_score, sentiment_score FROM found",
     signal_totals=f"""{PLAIN} SELECT lang, count(*) AS texts,
       count(*) FILTER (has_pii) AS has_pii, count(*) FILTER (is_refusal) AS is_refusal,
@@ -173,11 +181,11 @@ _add(
 )
 
 _PAIRS = """turns AS (SELECT conv_id, turn, role, text,
-    lag(text) OVER w AS said, lag(role) OVER w AS said_by FROM conversations
-    WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-  pairs AS (SELECT conv_id * 1000 + turn AS id, said AS input_text, text AS output_text,
-    'c' || conv_id || '-t' || turn AS request_id
-    FROM turns WHERE role = 'assistant' AND said_by = 'user')"""
+    last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id
+      ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS said FROM conversations),
+  pairs AS (SELECT conv_id * 4294967296 + turn AS id, coalesce(said, '') AS input_text,
+    text AS output_text, 'c' || conv_id || '-t' || turn AS request_id
+    FROM turns WHERE role = 'assistant')"""
 _add(
     audit_conversations=f"""WITH {_PAIRS}, {signals('pairs', 'output_text', '*')}, {labels()}
       SELECT id, md5(input_text) AS input_text_md5, md5(redacted) AS output_text_md5, request_id,
@@ -550,9 +558,9 @@ _QUOTA = f"""{_quota()}
 _NEWEST_EVENTS = "(SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 2000)"
 
 
-def _rank(ratio: float) -> str:
+def _rank(ratio: float, source: str = _NEWEST_EVENTS) -> str:
     return f"""(SELECT printf('%.2f', v)::DOUBLE FROM (SELECT value AS v,
-      row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM {_NEWEST_EVENTS})
+      row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM {source})
       WHERE i = round_even((n - 1)::DOUBLE * {ratio}, 0)::BIGINT)"""
 
 
@@ -576,6 +584,8 @@ _add(
       FROM events""",
     request_status_codes="""SELECT CASE WHEN event_type = 'error' THEN '500' ELSE '200' END
       AS status_code, count(*) AS count FROM events GROUP BY 1""",
+    latency_percentiles_all=f"""SELECT {_rank(0.50, 'events')} AS latency_ms_p50,
+      {_rank(0.95, 'events')} AS latency_ms_p95""",
     latency_percentiles=f"""SELECT {_rank(0.50)} AS latency_ms_p50,
       {_rank(0.95)} AS latency_ms_p95""",
     quota_exempt="""SELECT event_id, CASE event_id % 5 WHEN 2 THEN '/audit' ELSE '/healthy' END
@@ -595,6 +605,19 @@ _add(
       count(*) FILTER (status = 'processing') AS processing,
       count(*) FILTER (status = 'completed') AS completed,
       count(*) FILTER (status = 'failed') AS failed FROM jobs""",
+    runtime_snapshot=f"""{_JOBS} SELECT request_count, error_count,
+      round(error_count::DOUBLE / request_count, 6) AS error_rate, latency_ms_p50, latency_ms_p95,
+      status_codes, queued, processing, completed, failed
+      FROM (SELECT count(*) AS request_count, count(*) FILTER (event_type = 'error') AS error_count
+        FROM events),
+      (SELECT {_rank(0.50)} AS latency_ms_p50, {_rank(0.95)} AS latency_ms_p95),
+      (SELECT string_agg(code || '=' || n, '|' ORDER BY code) AS status_codes FROM (
+        SELECT CASE WHEN event_type = 'error' THEN '500' ELSE '200' END AS code, count(*) AS n
+        FROM events GROUP BY 1)),
+      (SELECT count(*) FILTER (status = 'queued') AS queued,
+        count(*) FILTER (status = 'processing') AS processing,
+        count(*) FILTER (status = 'completed') AS completed,
+        count(*) FILTER (status = 'failed') AS failed FROM jobs)""",
     job_ttl=f"""{_JOBS} SELECT job_id, status FROM jobs WHERE finished_at IS NULL
       OR finished_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1 DAY""",
 )
@@ -615,6 +638,26 @@ _add(
     ),
     jsonl_roundtrip=_TRIP,
     payload_batch=_TRIP,
+    payload_quarantine=f"""{RAW} SELECT id AS number, outcome, output_text_md5 FROM (
+      SELECT id, 'kept' AS outcome, {_BODY}, unnest([1, 2]) AS copy FROM seeded WHERE id % 9 <> 0
+      UNION ALL SELECT id, 'malformed document', NULL, 1 FROM seeded WHERE id % 9 = 0)""",
+    export_padded=f"""{AUDITED} SELECT id,
+      md5(chr(32) || chr(32) || chr(9) || redacted || chr(32) || chr(10) || chr(32)) AS output_text_md5
+      FROM audited""",
+    append_twice="""SELECT count(*) AS stored, count(*) AS ids, count(*) AS requests,
+      (1099511627776 + 1)::BIGINT AS first_id, count(*) FILTER (doc_id % 2 = 1) AS second_batch
+      FROM documents""",
+    labeled_reject="""SELECT outcome, count(*) AS count FROM (
+      SELECT CASE WHEN doc_id % 13 = 0 THEN 'malformed record'
+        WHEN doc_id % 8 IN (0, 1, 6) THEN 'true' ELSE 'false' END AS outcome FROM documents)
+      GROUP BY outcome""",
+    ingest_jobs=f"""{RAW} SELECT CASE WHEN reason IS NULL THEN 'completed' ELSE 'failed' END
+      AS status, reason AS error, count(*) AS count FROM (
+      SELECT CASE WHEN id % 11 = 0 THEN 'malformed record'
+        WHEN id % 35 = 0 THEN 'input_text is required; output_text is required'
+        WHEN id % 5 = 0 THEN 'input_text is required'
+        WHEN id % 7 = 0 THEN 'output_text is required' END AS reason FROM seeded)
+      GROUP BY reason""",
     upload_defaults=_TRIP.replace(
         "project_name, model_name",
         "coalesce(nullif(project_name, ''), 'uploads') AS project_name, model_name",

@@ -33,6 +33,7 @@ from parapet.operators.lexicon_match import builtin_lexicon, compiled_matches, m
 from parapet.operators.quota import quota_verdicts, with_quota_status
 from parapet.plans import corpus as cp
 from parapet.plans import flagship
+from parapet.schemas import CSV_READ, CSV_WRITE
 from parapet.session import shared_folder
 from parapet.sources import readers as rd
 from parapet.sources import writers as wr
@@ -140,9 +141,14 @@ def detect_sentiment(spark, folder):
 
 
 def letter_model():
-    """A stand-in model: the share of the letter e in hundredths, modulo 101."""
+    """A stand-in model: the count of the letter e in hundredths, modulo 101.
+
+    It fails on some texts.
+    """
 
     def score(texts):
+        if any(len(t) % 7 == 3 for t in texts):
+            raise ValueError("a text this model cannot take")
         return [[{"label": "toxicity", "score": t.count("e") % 101 / 100}] for t in texts]
 
     return score
@@ -151,8 +157,13 @@ def letter_model():
 @query
 def model_scores(spark, folder):
     documents = cp.spread(cp.table(spark, folder, "documents"))
-    found = au.detect(documents, "text", toxicity=scoring.model_score(letter_model))
-    return found.select("doc_id", F.round("toxicity_score", 6).alias("toxicity_score"))
+    result = scoring.model_result(letter_model)(F.col("text"))
+    scored = documents.select("doc_id", "text", result.alias("r"))
+    found = au.detect(scored, "text", toxicity=scoring.stored_score("r.score"))
+    return found.select(
+        "doc_id", F.round("toxicity_score", 6).alias("toxicity_score"),
+        F.col("r.failed").alias("score_failed"),
+    )
 
 
 @query
@@ -182,6 +193,20 @@ def lexicon_join(spark, folder):
     return matched.select("doc_id", F.inline("matches")).select("doc_id", "signal", "phrase")
 
 
+@query
+def lexicon_terms(spark, folder):
+    """A lexicon from a table: the long words of all benchmark items."""
+    words = F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("phrase")
+    terms = cp.table(spark, folder, "benchmark").select(words).filter(F.length("phrase") >= 7)
+    lexicon = terms.distinct().select(
+        F.concat(F.lit("term "), F.left("phrase", F.lit(1))).alias("signal"),
+        F.length("phrase").alias("ord"), "phrase",
+    )
+    documents = cp.table(spark, folder, "documents").select("doc_id", "text")
+    matched = match_lexicon(documents, lexicon, compiled=0)
+    return matched.select("doc_id", F.inline("matches")).select("doc_id", "signal", "phrase")
+
+
 @query
 def lexicon_compiled(spark, folder):
     documents = cp.spread(cp.table(spark, folder, "documents"))
@@ -806,6 +831,21 @@ def latency_percentiles(spark, folder):
     return rq.latency_percentiles(cp.requests(spark, folder))
 
 
+@query
+def latency_percentiles_all(spark, folder):
+    return rq.percentiles_of_all(cp.requests(spark, folder))
+
+
+@query
+def runtime_snapshot(spark, folder):
+    jobs = rq.latest_jobs(cp.job_updates(spark, folder))
+    row = rounded(rq.runtime_snapshot(cp.requests(spark, folder), jobs), "error_rate")
+    codes = F.array_join(
+        F.transform(F.map_entries("status_codes"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|"
+    )
+    return row.withColumn("status_codes", codes)
+
+
 @query
 def quota_exempt(spark, folder):
     paths = F.element_at(
@@ -887,8 +927,8 @@ def round_trip(rows: DataFrame) -> DataFrame:
 @query
 def csv_roundtrip(spark, folder):
     path = shared_folder(spark, "csv")
-    raw_text_rows(spark, folder).write.options(header=True, escape='"').csv(path)
-    return round_trip(rd.read_csv(spark, path))
+    raw_text_rows(spark, folder).write.options(**CSV_WRITE).csv(path)
+    return round_trip(rd.read_csv(spark, path, multi_line=True))
 
 
 @query
@@ -906,10 +946,49 @@ def payload_batch(spark, folder):
     return round_trip(rd.payload_rows(documents, "records"))
 
 
+@query
+def payload_quarantine(spark, folder):
+    """Every ninth document is cut off; records of the others are kept, and all are counted."""
+    rows = raw_text_rows(spark, folder).withColumns(
+        {"tags": F.split("tags", ","), "number": F.regexp_extract("request_id", "[0-9]+", 0).cast("bigint")}
+    )
+    record = F.struct(*[c for c in rows.columns if c != "number"])
+    text = F.to_json(F.array(record, record))
+    cut = F.when(F.col("number") % 9 == 0, F.expr("left(text, length(text) - 3)")).otherwise(F.col("text"))
+    documents = rows.select("number", text.alias("text")).select("number", cut.alias("text"))
+    records, rejects = rd.split_payload(documents, "text")
+    kept = records.select("number", F.lit("kept").alias("outcome"), digest("output_text"))
+    gone = rejects.select("number", F.col("reject_reason").alias("outcome"), F.lit(None).cast("string").alias("output_text_md5"))
+    return kept.unionByName(gone)
+
+
+@query
+def export_padded(spark, folder):
+    """Blanks and line breaks at both ends of a text survive export and import."""
+    path = shared_folder(spark, "export")
+    padded = F.concat(F.lit("  \t"), F.col("output_text"), F.lit(" \n "))
+    wr.export_csv(cp.audited(spark, folder).withColumn("output_text", padded), path)
+    return rd.read_exported(spark, path).select("id", digest("output_text"))
+
+
+@query
+def append_twice(spark, folder):
+    """Two batches, one of them repeated: no row twice, no id twice."""
+    path = shared_folder(spark, "table")
+    rows = fresh_audit(spark, folder)
+    for batch, rest in ((1, 0), (2, 1), (2, 1)):
+        wr.append_batch(rows.filter(F.col("id") % 2 == rest), path, batch)
+    return rd.read_audit_table(spark, path).agg(
+        F.count("*").alias("stored"), F.countDistinct("id").alias("ids"),
+        F.countDistinct("request_id").alias("requests"), F.min("id").alias("first_id"),
+        F.count_if(F.col("id") > 2 << wr.BATCH_ID_BITS).alias("second_batch"),
+    )
+
+
 @query
 def upload_defaults(spark, folder):
     path = shared_folder(spark, "upload") + ".csv"
-    raw_text_rows(spark, folder).write.options(header=True, escape='"').csv(path)
+    raw_text_rows(spark, folder).write.options(**CSV_WRITE).csv(path)
     return round_trip(rd.read_upload(spark, path, tags=["up"], project_name="uploads"))
 
 
@@ -926,7 +1005,7 @@ def audit_table_roundtrip(spark, folder):
 def export_csv(spark, folder):
     path = shared_folder(spark, "export")
     wr.export_csv(cp.audited(spark, folder), path)
-    rows = spark.read.options(header=True, escape='"', multiLine=True).csv(path)
+    rows = spark.read.options(**CSV_READ, multiLine=True).csv(path)
     return rows.select("id", "timestamp", "flagged", "risk_labels", "tags", digest("output_text"))
 
 
@@ -947,7 +1026,7 @@ def export_filtered(spark, folder):
     path = shared_folder(spark, "export")
     chosen = AuditFilter(flagged=False, model_name="model-en")
     wr.export_csv(cp.audited(spark, folder), path, chosen)
-    rows = spark.read.options(header=True, escape='"', multiLine=True).csv(path)
+    rows = spark.read.options(**CSV_READ, multiLine=True).csv(path)
     return nz.decode_row(rows).select("id", "flagged", "is_refusal", joined("risk_labels"))
 
 
@@ -970,13 +1049,31 @@ def labeled_roundtrip(spark, folder):
     return rd.read_labeled(spark, path).select("input_text", *names)
 
 
+@query
+def labeled_reject(spark, folder):
+    """Labels of several spellings; every thirteenth line is cut off and set aside."""
+    path = shared_folder(spark, "labeled")
+    rows = cp.with_labels(cp.seeded_input(spark, folder), spark, folder)
+    spelled = F.when(F.col("id") % 3 == 0, F.lit("1")).when(F.col("id") % 3 == 1, F.lit("true"))
+    pii = F.when(F.col("label_pii"), spelled.otherwise(F.lit('"yes"'))).otherwise(F.lit("0"))
+    line = F.concat(
+        F.lit('{"input_text": '), F.get(F.split(F.to_json(F.array("input_text")), r"^\[|\]$"), F.lit(1)),
+        F.lit(', "label_pii": '), pii, F.when(F.col("id") % 13 == 0, F.lit("")).otherwise(F.lit("}")),
+    )
+    rows.select(line.alias("value")).write.text(path)
+    kept, rejects = rd.split_labeled(spark, path)
+    one = F.count("*").alias("count")
+    good = kept.groupBy(F.col("label_pii").cast("string").alias("outcome")).agg(one)
+    return good.union(rejects.groupBy(F.col("reject_reason").alias("outcome")).agg(one))
+
+
 # --- streams ---------------------------------------------------------------------
 
 
 def document_stream(spark, folder) -> DataFrame:
     path = f"{folder}/documents.parquet"
     documents = si.read_parquet_stream(spark, path, cp.DOCUMENTS_SCHEMA)
-    return cp.seeded(documents)
+    return si.by_day(cp.seeded(documents))
 
 
 def event_stream(spark, folder) -> DataFrame:
@@ -993,7 +1090,7 @@ def stream_audit(spark, folder):
     return rows.select("id", "timestamp", digest("output_text"), "flagged", joined("risk_labels"))
 
 
-def ingested(spark, folder) -> tuple[str, str]:
+def ingested(spark, folder) -> tuple[str, str, str]:
     source, table = shared_folder(spark, "source"), shared_folder(spark, "table")
     bad, state = shared_folder(spark, "bad"), shared_folder(spark, "state")
     rows = blanked(spark, folder).select("id", *rd.CONVERSATION_FIELDS)
@@ -1001,25 +1098,35 @@ def ingested(spark, folder) -> tuple[str, str]:
     # every eleventh line is cut off
     cut = F.when(F.col("id") % 11 == 0, F.expr("left(value, length(value) - 2)"))
     lines.select(F.coalesce(cut, F.col("value")).alias("value")).write.text(source)
-    stream = si.read_json_stream(spark, source, glob="part-*")
-    si.ingest(stream, table, bad, state).awaitTermination()
-    return table, bad
+    stream = si.read_json_stream(spark, source, glob="part-*", quarantine=True)
+    jobs = shared_folder(spark, "jobs")
+    si.ingest(stream, table, bad, state, jobs=jobs).awaitTermination()
+    return table, bad, jobs
 
 
 @query
 def stream_ingest(spark, folder):
-    table, _ = ingested(spark, folder)
+    table, _, _ = ingested(spark, folder)
     rows = si.read_ingested(spark, table)
     return rows.select("request_id", "input_text", digest("output_text"), joined("risk_labels"))
 
 
 @query
 def stream_quarantine(spark, folder):
-    _, bad = ingested(spark, folder)
+    _, bad, _ = ingested(spark, folder)
     rows = spark.read.schema("reject_reason string").json(bad)
     return rows.groupBy("reject_reason").agg(F.count("*").alias("count"))
 
 
+@query
+def ingest_jobs(spark, folder):
+    """The last state of each ingested row's job."""
+    _, _, jobs = ingested(spark, folder)
+    updates = si.read_jobs(spark, jobs)
+    last = updates.groupBy("job_id").agg(F.max_by(F.struct("status", "error"), "seq").alias("u"))
+    return last.groupBy("u.status", "u.error").agg(F.count("*").alias("count"))
+
+
 @query
 def stream_quota(spark, folder):
     path, state = shared_folder(spark, "stream"), shared_folder(spark, "state")

@@ -65,8 +65,19 @@ LABEL_COLUMNS = [
 ]
 LABELED_SCHEMA = T.StructType(
     _fields(T.StringType(), "input_text", "output_text")
-    + _fields(T.BooleanType(), *LABEL_COLUMNS)
+    + _fields(T.StringType(), *LABEL_COLUMNS)
 )
+# JSON texts of a label that mean false, in lower case.
+FALSE_TEXTS = ["", "false", "0", "0.0", "-0.0", "[]", "{}"]
+
+# Texts keep blanks at both ends; '""' is the escaped quote.
+CSV_READ = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+CSV_WRITE = {**CSV_READ, "emptyValue": ""}
 
 _SCORE = T.StructType(
     _fields(T.BooleanType(), "skipped")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parapet.functions.text import strip
 from parapet.operators.audit import with_time
 from parapet.operators.normalize import (
     decode_row,
@@ -18,27 +19,30 @@ from parapet.schemas import (
     AUDIT_SCHEMA,
     CONVERSATION_FIELDS,
     CONVERSATION_SCHEMA,
+    CSV_READ,
+    FALSE_TEXTS,
     LABEL_COLUMNS,
     LABELED_SCHEMA,
     METRICS_DOCUMENT_SCHEMA,
     RAW_CONVERSATION_SCHEMA,
     REQUIRED_FIELDS,
 )
+from parapet.session import cut_lineage
 
 
 def missing_columns(present: list[str]) -> list[str]:
     return sorted(set(REQUIRED_FIELDS) - set(present))
 
 
-def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """Conversations from CSV with a header, columns matched by name.
 
-    ``multi_line`` allows line breaks inside quoted fields, at the price of one task
-    per file; switch it off for huge files without them. Files whose header differs
-    from the first one's fail rather than shift columns. Blank cells are null.
+    Large files are split over tasks. ``multi_line`` allows line breaks inside quoted
+    fields, at the price of one task per file; without it such a row fails the read, as
+    do files whose header differs from the first one's, rather than shift columns.
+    Blank cells are null.
     """
-    # '""' is the escaped quote
-    options = {"header": True, "escape": '"', "multiLine": multi_line, "inferSchema": False}
+    options = {**CSV_READ, "multiLine": multi_line, "inferSchema": False, "mode": "FAILFAST"}
     header = spark.read.options(**options).csv(path).columns  # reads one header line
     absent = missing_columns(header)
     if absent:
@@ -60,24 +64,53 @@ def read_jsonl(
     return to_conversations(rows)
 
 
-def read_payload(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Conversations from batch documents ``{"records": [..]}``, one per file."""
-    schema = T.StructType([T.StructField("records", T.ArrayType(CONVERSATION_SCHEMA))])
-    documents = spark.read.schema(schema).option("multiLine", True).json(path)
+_RECORDS = T.ArrayType(RAW_CONVERSATION_SCHEMA)
+
+
+def read_payload(
+    spark: SparkSession, path: str | list[str], mode: str = "FAILFAST"
+) -> DataFrame:
+    """Conversations from batch documents ``{"records": [..]}``, one per file.
+
+    ``tags`` may be an array or a comma string. A malformed document fails the read
+    unless ``mode`` says otherwise; ``split_payload`` quarantines instead.
+    """
+    schema = T.StructType([T.StructField("records", _RECORDS)])
+    documents = spark.read.schema(schema).options(multiLine=True, mode=mode).json(path)
     return to_conversations(documents.select(F.inline("records")))
 
 
 def payload_rows(df: DataFrame, column: str) -> DataFrame:
-    """The same from a text column that holds a JSON array of records."""
-    records = F.from_json(F.col(column), T.ArrayType(CONVERSATION_SCHEMA))
+    """The same from a text column that holds a JSON array of records.
+
+    A malformed document fails the query; null documents have no records.
+    """
+    records = F.from_json(F.col(column), _RECORDS, {"mode": "FAILFAST"})
     return to_conversations(df.select(F.inline(records)))
 
 
+def split_payload(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``(records, rejects)`` of a text column with JSON arrays of records.
+
+    Records keep the other columns of ``df``. Rejected are documents that do not parse,
+    whole and with their text, so every document is in one of the two.
+    """
+    parsed = df.withColumn("_records", F.from_json(F.col(column), _RECORDS))
+    whole = F.col("_records").isNotNull()
+    others = [c for c in df.columns if c != column]
+    records = parsed.filter(whole).select(*others, F.inline("_records"))
+    rejects = parsed.filter(~whole).drop("_records")
+    return to_conversations(records), rejects.withColumn("reject_reason", F.lit("malformed document"))
+
+
 def read_upload(
     spark: SparkSession, path: str, tags: list[str] | None = None, **defaults: str | None
 ) -> DataFrame:
-    """An uploaded CSV or JSONL file, by its suffix, with batch defaults."""
-    rows = read_csv(spark, path) if path.endswith(".csv") else read_jsonl(spark, path)
+    """An uploaded CSV or JSONL file, by its suffix, with batch defaults.
+
+    A CSV upload may hold line breaks in its fields, so it is read by one task.
+    """
+    rows = read_csv(spark, path, True) if path.endswith(".csv") else read_jsonl(spark, path)
     return fill_falsy(rows, tags, **defaults)
 
 
@@ -104,8 +137,12 @@ def from_rows(spark: SparkSession, rows) -> DataFrame:
 
 
 def read_audit_table(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """The stored audit table; filters on ``audit_date`` skip whole partitions."""
-    return spark.read.options(**options).schema(AUDIT_SCHEMA).parquet(path)
+    """The stored audit table; filters on ``audit_date`` skip whole partitions.
+
+    A ``batch_id`` level below the days, as ``append_batch`` and ``ingest`` write it, is dropped.
+    """
+    rows = spark.read.options(**options).schema(AUDIT_SCHEMA).parquet(path)
+    return rows.select(*AUDIT_SCHEMA.names)
 
 
 def read_exported(
@@ -118,24 +155,46 @@ def read_exported(
     Columns an older store lacks get their defaults.
     """
     if source == "csv":
-        options = {"header": True, "escape": '"', "multiLine": True, **options}
+        options = {**CSV_READ, "multiLine": True, "mode": "FAILFAST", **options}
     rows = decode_row(ensure_columns(spark.read.format(source).options(**options).load(path)))
     types = {f.name: f.dataType for f in AUDIT_SCHEMA.fields}
     return with_time(rows.select(*[F.col(c).cast(types[c]).alias(c) for c in AUDIT_COLUMNS]))
 
 
-def read_labeled(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Labeled rows; a missing label is false, a missing text is ''."""
-    rows = spark.read.schema(LABELED_SCHEMA).json(path)
+def _labels(rows: DataFrame) -> DataFrame:
+    labels = [F.coalesce(~F.lower(strip(F.col(c))).isin(FALSE_TEXTS), F.lit(False)) for c in LABEL_COLUMNS]
     return rows.select(
         *[F.coalesce(c, F.lit("")).alias(c) for c in REQUIRED_FIELDS],
-        *[F.coalesce(c, F.lit(False)).alias(c) for c in LABEL_COLUMNS],
+        *[label.alias(c) for label, c in zip(labels, LABEL_COLUMNS)],
     )
 
 
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """The per-signal rows of a nested metrics document."""
-    document = (
-        spark.read.schema(METRICS_DOCUMENT_SCHEMA).option("multiLine", True).json(path)
+def read_labeled(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Labeled rows; a missing label is false, a missing text is ''.
+
+    Labels go by truth: ``true``, ``1`` and ``"yes"`` are true; null, zero, ``false``, empty
+    texts and lists are false. A malformed line fails the read.
+    """
+    return _labels(spark.read.schema(LABELED_SCHEMA).option("mode", "FAILFAST").json(path))
+
+
+def split_labeled(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)``: malformed lines are set aside with their text.
+
+    Lines are parsed once and stored, so both parts come from one reading.
+    """
+    schema = T.StructType([*LABELED_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    rows = cut_lineage(rows, "labeled")
+    broken = F.col("_corrupt_record").isNotNull()
+    rejects = rows.filter(broken).select(
+        F.col("_corrupt_record").alias("line"), F.lit("malformed record").alias("reject_reason")
     )
+    return _labels(rows.filter(~broken)), rejects
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The per-signal rows of a nested metrics document; a malformed one fails the read."""
+    reader = spark.read.schema(METRICS_DOCUMENT_SCHEMA).options(multiLine=True, mode="FAILFAST")
+    document = reader.json(path)
     return document.select(F.explode("signals").alias("signal", "m")).select("signal", "m.*")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from parapet.functions.text import encode_list
 from parapet.operators.filters import AuditFilter
-from parapet.schemas import AUDIT_COLUMNS, LIST_COLUMNS
+from parapet.operators.normalize import dense_numbers
+from parapet.schemas import AUDIT_COLUMNS, CSV_WRITE, LIST_COLUMNS
+from parapet.session import cut_lineage
+from parapet.sources.readers import read_audit_table
 
 
 def write_audit_table(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -26,6 +29,44 @@ def write_audit_table(df: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+# Room for the rows of one batch in an id.
+BATCH_ID_BITS = 40
+
+
+def append_batch(df: DataFrame, path: str, batch: int) -> None:
+    """Append audited rows as batch number ``batch``, with ids that stay unique over batches.
+
+    Ids are ``(batch << 40) + 1, + 2, ...``. The batch owns a ``batch_id`` level below each
+    day and overwrites just that, so repeating a batch after a failure leaves no second
+    copy. A batch number must not be used for other rows. Rows are written once with
+    their place, and numbered from there: no second run of the audit decides an id.
+    """
+    placed = df.drop("id").withColumn("_row", F.monotonically_increasing_id())
+    rows = dense_numbers(cut_lineage(placed, "batch"), "_row", "id", (batch << BATCH_ID_BITS) + 1)
+    write_day_batches(rows.select(*df.columns) if "id" in df.columns else rows, path, batch)
+
+
+def write_day_batches(rows: DataFrame, path: str, batch: int) -> None:
+    """Write rows below ``audit_date=../batch_id=..``, replacing what the batch had there."""
+    (
+        rows.withColumn("batch_id", F.lit(batch).cast("long"))
+        .hint("rebalance", F.col("audit_date"))
+        .sortWithinPartitions("audit_date", "timestamp")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("audit_date", "batch_id")
+        .parquet(path)
+    )
+
+
+def compact(spark, source: str, target: str) -> None:
+    """Rewrite a table of many small batch files with few files per day, as a new table.
+
+    The source stays as it is, so readers switch over when the new table is complete.
+    """
+    write_audit_table(read_audit_table(spark, source), target, mode="errorifexists")
+
+
 def csv_form(df: DataFrame) -> DataFrame:
     """The stored columns with lists as JSON text and flags as 0/1."""
     columns = []
@@ -40,9 +81,9 @@ def csv_form(df: DataFrame) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str, filters: AuditFilter | None = None) -> None:
-    """Export the (filtered) table as CSV shards, each with a header."""
+    """Export the (filtered) table as CSV shards, each with a header; texts keep their blanks."""
     rows = csv_form((filters or AuditFilter()).apply(df))
-    rows.write.mode("errorifexists").options(header=True, escape='"', emptyValue="").csv(path)
+    rows.write.mode("errorifexists").options(**CSV_WRITE).csv(path)
 
 
 def write_metrics(document: DataFrame, path: str) -> None:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from parapet.operators.audit import detect
 from parapet.operators.lexicon_match import builtin_lexicon, match_lexicon
-from parapet.plans.corpus import previous_turns
+from parapet.plans.corpus import prompted_turns
 
 
 def matches(df):
@@ -11,21 +11,22 @@ def matches(df):
     return {r["i"]: [(m["signal"], m["ord"], m["phrase"]) for m in r["matches"]] for r in rows}
 
 
-@pytest.mark.parametrize("slice_rows", [1000, 2, 1])
-def test_first_phrase_per_signal(spark, slice_rows):
+@pytest.mark.parametrize("compiled", [1000, 0])
+def test_first_phrase_per_signal(spark, compiled):
     lexicon = spark.createDataFrame(
-        [("x", 2, "bad"), ("x", 1, "worse"), ("y", 0, "bad"), ("y", 1, "a b"), ("z", 0, "")],
+        [("x", 2, "bad"), ("x", 1, "worse"), ("y", 0, "bad"), ("y", 1, "a b"), ("z", 0, ""), ("z", 1, "long phrase, verified"), ("z", 2, "long phrase")],
         "signal string, ord bigint, phrase string",
     )
-    texts = [(0, "BAD and worse"), (1, "xa bx"), (2, "none"), (3, None), (4, "embadded")]
+    texts = [(0, "BAD and worse"), (1, "xa bx"), (2, "none"), (3, None), (4, "embadded"), (5, "A Long Phrase.")]
     df = spark.createDataFrame(texts, "i int, text string")
-    got = matches(match_lexicon(df, lexicon, slice_rows=slice_rows))
+    got = matches(match_lexicon(df, lexicon, compiled=compiled))
     assert got == {
         0: [("x", 1, "worse"), ("y", 0, "bad")],
         1: [("y", 1, "a b")],
         2: [],
         3: [],
         4: [("x", 2, "bad"), ("y", 0, "bad")],
+        5: [("z", 2, "long phrase")],
     }
 
 
@@ -36,7 +37,9 @@ def test_large_lexicon_equals_brute_force(spark):
     )
     texts = ["".join(f"p{(i * 31 + j * 977) % 100003}q" for j in range(20)) for i in range(50)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = matches(match_lexicon(df, lexicon, slice_rows=1700))
+    found = match_lexicon(df, lexicon)
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    got = matches(found)
     for i, text in enumerate(texts):
         first = next(((j, p) for j, p in enumerate(phrases) if p in text), None)
         assert got[i] == ([("s", *first)] if first else [])
@@ -54,14 +57,13 @@ def test_table_equals_compiled_lists(spark, data):
 
 
 @pytest.mark.parametrize("block", [1, 3, 4096])
-def test_previous_turn_across_blocks(spark, block):
-    turns = [(c, t, f"r{t}", f"{c}-{t}") for c in (1, 2) for t in (0, 1, 2, 5, 6, 11, 12)]
+def test_every_reply_has_its_last_prompt(spark, block):
+    said = [(0, "system"), (1, "assistant"), (2, "user"), (3, "assistant"), (4, "assistant"),
+            (7, "user"), (8, "user"), (9, "assistant"), (1500, "assistant"), (1501, "user")]
+    turns = [(c, t, role, f"{c}-{t}") for c in (1, 2) for t, role in said]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    rows = previous_turns(df, block).collect()
+    rows = prompted_turns(df, block).collect()
     assert len(rows) == len(turns)
-    order = [0, 1, 2, 5, 6, 11, 12]
     for r in rows:
-        at = order.index(r["turn"])
-        want = None if at == 0 else f"{r['conv_id']}-{order[at - 1]}"
-        assert r["before_text"] == want
-        assert r["before_role"] == (None if at == 0 else f"r{order[at - 1]}")
+        before = [t for t, role in said if role == "user" and t < r["turn"]]
+        assert r["prompt"] == (f"{r['conv_id']}-{before[-1]}" if before else None)

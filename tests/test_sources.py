@@ -21,7 +21,9 @@ def test_csv(spark, tmp_path):
         '007,"line one\nline ""two""",hi,"pii, example"\n'
         ",,x,\n",
     )
-    rows = rd.read_csv(spark, path).orderBy("input_text").collect()
+    with pytest.raises(Exception):
+        rd.read_csv(spark, path).collect()  # a line break in a field needs multi_line
+    rows = rd.read_csv(spark, path, multi_line=True).orderBy("input_text").collect()
     assert rows[0]["user_id"] == "007" and rows[0]["output_text"] == 'line one\nline "two"'
     assert rows[0]["tags"] == ["pii", "example"] and rows[0]["project_name"] is None
     # blank cells: null for meta fields, '' for texts
@@ -65,6 +67,21 @@ def test_payload_file(spark, tmp_path):
     assert [(r["output_text"], r["tags"]) for r in rows] == [("b", []), ("d", ["t"])]
 
 
+def test_broken_payloads(spark, tmp_path):
+    broken = put(tmp_path, "p.json", '{"records": [{"input_text": "a", "output_text": "call 4')
+    with pytest.raises(Exception):
+        rd.read_payload(spark, broken).collect()
+    rows = ['[{"output_text": "x", "tags": "a, b"}, {"output_text": "y"}]', '[{"output_text": "z', "[]", None, "7"]
+    df = spark.createDataFrame(list(enumerate(rows)), "n int, body string")
+    with pytest.raises(Exception):
+        rd.payload_rows(df, "body").collect()
+    records, rejects = rd.split_payload(df, "body")
+    assert sorted((r["n"], r["output_text"], tuple(r["tags"])) for r in records.collect()) == [
+        (0, "x", ("a", "b")), (0, "y", ()),
+    ]
+    assert sorted((r["n"], r["body"]) for r in rejects.collect()) == [(1, rows[1]), (3, None), (4, "7")]
+
+
 def test_upload(spark, tmp_path):
     csv = put(tmp_path, "u.csv", "input_text,output_text,project_name\na,b,\na,b,own\n")
     rows = rd.read_upload(spark, csv, tags=["t"], project_name="given").collect()
@@ -80,6 +97,30 @@ def test_labeled(spark, tmp_path):
     assert row["label_pii"] and not row["label_bias"] and row["input_text"] == ""
 
 
+def test_labels_by_truth(spark, tmp_path):
+    values = ["true", "1", '"yes"', "2.5", "false", "0", '""', "null", "[]"]
+    lines = [f'{{"input_text": "{i}", "label_pii": {v}}}' for i, v in enumerate(values)]
+    path = put(tmp_path, "l.jsonl", "\n".join(lines) + "\n")
+    rows = sorted(rd.read_labeled(spark, path).collect(), key=lambda r: int(r["input_text"]))
+    assert [r["label_pii"] for r in rows] == [True] * 4 + [False] * 5
+    bad = put(tmp_path, "bad.jsonl", lines[0] + "\n" + lines[1][:-3] + "\n")
+    with pytest.raises(Exception):
+        rd.read_labeled(spark, bad).collect()
+    kept, rejects = rd.split_labeled(spark, bad)
+    assert kept.count() == 1 and [r["line"] for r in rejects.collect()] == [lines[1][:-3]]
+
+
+def test_broken_baseline_fails(spark, tmp_path):
+    from parapet.operators.evaluation import gate
+
+    path = put(tmp_path, "m.json", '{"signals": {"pii": {"precision": 1.0, "rec')
+    with pytest.raises(Exception):
+        rd.read_metrics(spark, path).collect()
+    empty = rd.read_metrics(spark, put(tmp_path, "e.json", "{}"))
+    with pytest.raises(ValueError, match="no signals"):
+        gate(empty, empty)
+
+
 @pytest.fixture(scope="module")
 def audited(spark):
     rows = [
@@ -107,6 +148,18 @@ def test_table_append_and_pruning(spark, audited, tmp_path):
     assert "output_text" not in read and "id:bigint" in read
 
 
+def test_append_batch(spark, audited, tmp_path):
+    path = str(tmp_path / "table")
+    for batch in (0, 3, 3):
+        wr.append_batch(audited, path, batch)
+    table = rd.read_audit_table(spark, path)
+    ids = [r["id"] for r in table.select("id").collect()]
+    assert len(ids) == len(set(ids)) == 62 and table.columns == audited.columns
+    assert sorted(i - (3 << 40) for i in ids if i > 3 << 40) == list(range(1, 32))
+    wr.compact(spark, path, str(tmp_path / "compact"))
+    assert sorted(r["id"] for r in rd.read_audit_table(spark, str(tmp_path / "compact")).collect()) == sorted(ids)
+
+
 def test_csv_export(spark, audited, tmp_path):
     path = str(tmp_path / "export")
     wr.export_csv(audited, path, AuditFilter(flagged=True))

@@ -41,8 +41,8 @@ def test_ingest_matches_batch_and_is_idempotent(spark, tmp_path):
     write_lines(source, "2.json", records(10, 15) + ['{"broken', ""])
 
     def run():
-        stream = si.read_json_stream(spark, str(source), max_files=1)
-        si.ingest(stream, table, bad, state).awaitTermination()
+        stream = si.read_json_stream(spark, str(source), max_files=1, quarantine=True)
+        si.ingest(stream, table, bad, state, jobs=str(tmp_path / "jobs")).awaitTermination()
 
     run()
     got = si.read_ingested(spark, table)
@@ -56,19 +56,38 @@ def test_ingest_matches_batch_and_is_idempotent(spark, tmp_path):
     numbers = [r["id"] for r in got.select("id").collect()]
     assert len(set(numbers)) == 15
 
+    jobs = si.read_jobs(spark, str(tmp_path / "jobs"))
+    last = jobs.groupBy("job_id").agg(F.max_by("status", "seq").alias("status")).groupBy("status").count()
+    assert {r[0]: r[1] for r in last.collect()} == {"completed": 15, "failed": 2}
+
     # a later file continues from the checkpoint; nothing is audited twice
     write_lines(source, "3.json", records(15, 18))
     run()
     assert si.read_ingested(spark, table).count() == 18
 
 
+def test_malformed_lines_stop_a_plain_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    write_lines(source, "1.json", records(0, 3) + ['{"input_text": "x", "output_text": "415-555-0'])
+
+    def start(**options):
+        raw = si.read_json_stream(spark, str(source), **options)
+        audited = audit(to_conversations(raw).withColumn("id", F.lit(1).cast("bigint")))
+        return si.append_stream(audited, str(tmp_path / "out"), str(tmp_path / "state"))
+
+    with pytest.raises(Exception):
+        start().awaitTermination()
+    with pytest.raises(ValueError, match="malformed"):
+        start(quarantine=True)
+
+
 def test_append_stream_and_totals(spark, tmp_path):
     source = tmp_path / "in"
     write_lines(source, "1.json", records(0, 10))
     write_lines(source, "2.json", records(10, 20))
 
     def stream():
-        raw = si.read_json_stream(spark, str(source), max_files=1).drop("_corrupt_record")
+        raw = si.read_json_stream(spark, str(source), max_files=1)
         return audit(to_conversations(raw).withColumn("id", F.col("request_id").cast("bigint")))
 
     path = str(tmp_path / "out")

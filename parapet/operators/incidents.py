@@ -68,6 +68,7 @@ def report_lines(
     The selection is a distributed top-k over the whole stored table. Its rows, at most
     2000, are written once, as four sections read them.
     """
+    # Headings and line formats of the report, here and below.
     spark = df.sparkSession
     chosen_rows = select_incidents(df, flagged_only, limit, **filters)
     rows = cut_lineage(late_rows(df, chosen_rows), "incidents")

@@ -1,7 +1,7 @@
 """Aggregates over the audit table.
 
-All of them are partial-then-final hash aggregates, so a hot project, label or day
-shrinks to one row per task before it is shuffled.
+All of them combine per task before the shuffle, so a hot project, label or day shrinks to
+one row per task. Maxima of text columns plan as sort aggregates, the others as hash ones.
 """
 
 from __future__ import annotations

@@ -26,6 +26,7 @@ from parapet.schemas import (
     META_FIELDS,
     REQUIRED_FIELDS,
 )
+from parapet.session import cut_lineage
 
 
 def normalize_tags(df: DataFrame, column: str = "tags") -> DataFrame:
@@ -163,11 +164,12 @@ def decode_row(df: DataFrame) -> DataFrame:
 def assign_ids(df: DataFrame, first: int = 1, column: str = "id") -> DataFrame:
     """Dense ids ``first, first+1, ...`` in scan order, without a global sort.
 
-    Rows are numbered inside their partition; the only shared fact is one row count
-    per partition. ``df`` must deliver the same partitions when it is read twice, as a
-    file scan does; write the result once and read the ids from there.
+    Rows are written once with their place inside their partition and numbered from there,
+    so ids hold whatever partitions a second run of ``df`` would give. The only
+    shared fact is one row count per partition. For tables that are appended to, see
+    ``append_batch``.
     """
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    numbered = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()), "ids")
     return dense_numbers(numbered, "_row", column, first)
 
 
@@ -176,7 +178,7 @@ _BROADCAST_PARTITIONS = 1_000_000
 
 
 def dense_numbers(df: DataFrame, row: str, column: str, first: int = 1) -> DataFrame:
-    """Turn ``monotonically_increasing_id`` values, stored or not, into dense numbers."""
+    """Turn stored ``monotonically_increasing_id`` values into dense numbers."""
     partition = F.shiftright(row, 33)
     sizes = df.groupBy(partition.alias("_part")).agg(F.count("*").alias("_rows"))
     # one row per partition of the scan, so a single-task running sum is enough
@@ -184,7 +186,8 @@ def dense_numbers(df: DataFrame, row: str, column: str, first: int = 1) -> DataF
         "_part", "sum(_rows) over (partition by 0 order by _part) - _rows as _start"
     )
     # the planner cannot know that the starts are few, and would shuffle the rows
-    few = df.rdd.getNumPartitions() <= _BROADCAST_PARTITIONS
+    starts = cut_lineage(starts, "starts")
+    few = starts.limit(_BROADCAST_PARTITIONS + 1).count() <= _BROADCAST_PARTITIONS
     starts = F.broadcast(starts) if few else starts
     position = F.col(row).bitwiseAND(F.lit((1 << 33) - 1))
     return (

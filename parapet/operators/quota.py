@@ -30,6 +30,8 @@ from parapet.operators.normalize import dense_numbers
 from parapet.session import cut_lineage
 
 _SALTS = 32
+# Stands for a missing identity, which is a client of its own, apart from ''.
+_NOBODY = "\0"
 
 
 def quota_verdicts(
@@ -45,14 +47,19 @@ def quota_verdicts(
     """One verdict per request: ``(identity, time, order, n, allowed, remaining, reset_s, quota)``.
 
     ``n`` is the request's position in its window. Runs one count per identity first,
-    to tell the hot ones.
+    to tell the hot ones. Requests without an identity share one quota; requests without a
+    time fall in no window and have null verdicts.
     """
     window_us = window_seconds * 1_000_000
     events = log.select(
-        F.coalesce(F.col(identity).cast("string"), F.lit("")).alias("k"),
+        F.coalesce(F.col(identity).cast("string"), F.lit(_NOBODY)).alias("k"),
         F.unix_micros(F.col(time).cast("timestamp")).alias("us"),
         F.col(order).cast("bigint").alias("o"),
     )
+    timeless = events.filter(F.col("us").isNull())
+    none = F.lit(None).cast("bigint")
+    timeless = timeless.withColumns({"start": none, "n": none})
+    events = events.filter(F.col("us").isNotNull())
     hot = events.groupBy("k").count().filter(F.col("count") > hot_rows).select("k")
     if hot.isEmpty():
         counted = _fold(events, window_us)
@@ -61,15 +68,18 @@ def quota_verdicts(
         counted = _fold(events.join(hot, "k", "left_anti"), window_us).unionByName(
             _jump(events.join(hot, "k", "left_semi"), window_us, slot_us)
         )
-    elapsed = F.col("us") - F.col("start")
+    counted = counted.unionByName(timeless)
+    elapsed, placed = F.col("us") - F.col("start"), F.col("n").isNotNull()
     return counted.select(
-        F.col("k").alias(identity),
+        F.nullif("k", F.lit(_NOBODY)).alias(identity),
         F.timestamp_micros("us").alias(time),
         F.col("o").alias(order),
         "n",
         (F.col("n") <= limit).alias("allowed"),
-        F.greatest(F.lit(0), F.lit(limit) - F.col("n")).cast("bigint").alias("remaining"),
-        F.greatest(F.lit(0), F.floor((F.lit(window_us) - elapsed) / 1_000_000))
+        F.when(placed, F.greatest(F.lit(0), F.lit(limit) - F.col("n")))
+        .cast("bigint")
+        .alias("remaining"),
+        F.when(placed, F.greatest(F.lit(0), F.floor((F.lit(window_us) - elapsed) / 1_000_000)))
         .cast("bigint")
         .alias("reset_s"),
         F.lit(limit).cast("bigint").alias("quota"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -54,12 +55,14 @@ def cluster_settings(cores: int, shuffle_bytes: int) -> dict[str, str]:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of this machine.
+    Only a local master may fall back to a folder of this machine; on a cluster a temporary
+    folder is refused, as each machine has its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
+    if not local and (not root or re.match(r"(file:/*|/)(var/)?tmp(/|$)", root)):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="parapet-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"parapet-{purpose}-{uuid.uuid4().hex[:12]}")

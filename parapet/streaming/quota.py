@@ -70,7 +70,8 @@ def stream_quota(
 ) -> DataFrame:
     """Verdicts for a streaming request log ``(identity, ts, event_id)``.
 
-    Requests count in order of arrival, sorted inside a micro-batch. ``evict`` drops
+    Requests count in order of arrival, sorted inside a micro-batch; those without a time
+    fall in no window and get no verdict. ``evict`` drops
     the state of clients idle for three windows of wall-clock time: right for live
     traffic, wrong for replaying a backlog slower than it was recorded. It needs a
     continuous trigger, as Spark never ends an ``availableNow`` run with expiring state.
@@ -80,7 +81,7 @@ def stream_quota(
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     keyed = log.select(
         "identity", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id"
-    )
+    ).filter(F.col("us").isNotNull())
     return keyed.groupBy("identity").transformWithStateInPandas(
         _QuotaWindow(limit, window_seconds * 1_000_000, ttl),
         outputStructType=_OUTPUT,

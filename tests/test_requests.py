@@ -166,3 +166,30 @@ def test_jobs(spark):
     assert rq.job_status_counts(jobs).first() == (1, 0, 1, 1)
     kept = rq.live_jobs(jobs, F.timestamp_seconds(F.lit(12)), ttl_seconds=10)
     assert sorted(r["job_id"] for r in kept.collect()) == ["a", "b"]
+
+
+def test_quota_without_identity_or_time(spark):
+    rows = [(None, 1, 1), (None, 2, 2), ("", 1, 3), ("", None, 4), (None, None, 5)]
+    log = spark.createDataFrame(rows, "identity string, s long, event_id long")
+    log = log.withColumn("ts", F.timestamp_seconds("s"))
+    for hot_rows in (100, 0):
+        got = quota_verdicts(log, limit=1, window_seconds=60, hot_rows=hot_rows).collect()
+        found = {r["event_id"]: (r["identity"], r["n"], r["allowed"], r["remaining"]) for r in got}
+        assert found == {
+            1: (None, 1, True, 0), 2: (None, 2, False, 0), 3: ("", 1, True, 0),
+            4: ("", None, None, None), 5: (None, None, None, None),
+        }
+
+
+def test_percentiles_of_all_values(spark):
+    import random
+
+    from parapet.operators.requests import percentiles_of_all
+
+    rng = random.Random(4)
+    values = [rng.choice((0.5, round(rng.random() * 100, 2))) for _ in range(501)]
+    log = spark.createDataFrame([(v,) for v in values] + [(None,)], "latency_ms double").repartition(7)
+    row = percentiles_of_all(log, {"low": 0.0, "p50": 0.5, "p95": 0.95, "high": 1.0}).first()
+    order = sorted(values)
+    assert tuple(row) == tuple(order[round(500 * p)] for p in (0.0, 0.5, 0.95, 1.0))
+    assert tuple(percentiles_of_all(log.filter("latency_ms < 0")).first()) == (0.0, 0.0)

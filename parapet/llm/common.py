@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,3 +104,10 @@ def blocks(lengths: list[int], most: int = BLOCK_CHARS, rows: int = 1 << 30) ->
         held += n
     if start < len(lengths):
         yield slice(start, len(lengths))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Another 64-bit hash of each unsigned 64-bit number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm.common import blocks
+from parapet.llm.common import blocks, mixed
 from parapet.session import cut_lineage
 
 WINDOW = 20
@@ -61,13 +61,7 @@ class Ranges:
 
     def __call__(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
         found = (self.sums[which][end] - self.sums[which][start]) * self.inverses[which][start]
-        return _mixed(found + (end - start).astype(np.uint64))
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+        return mixed(found + (end - start).astype(np.uint64))
 
 
 def phrases(ranges: Ranges, n: int) -> np.ndarray:
@@ -179,7 +173,7 @@ def _occurrences(docs: DataFrame, keep: bool = False) -> DataFrame:
                     high = np.minimum(at + PHRASE + _SIDE, len(words))
                     wide = high - low >= WINDOW
                     low, high, at, name = low[wide], high[wide], at[wide], name[wide]
-                    context = _mixed(ranges(low, high, 1) + ((at - low) * 64 + high - low).astype(np.uint64))
+                    context = mixed(ranges(low, high, 1) + ((at - low) * 64 + high - low).astype(np.uint64))
                     parts.append((name, context, at, low, high - low))
                     starts.append(starts[-1] + len(at))
                     rows[0].append(len(words))

@@ -105,6 +105,16 @@ def statistics(rows: DataFrame) -> DataFrame:
     })
 
 
+#: Groups whose estimates are sent to all tasks; 20 numbers each, so about ten megabytes. More are joined by shuffle.
+BROADCAST_GROUPS = 50_000
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """Join stored values of each key; with few enough keys, rows stay where they are."""
+    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    return rows.join(F.broadcast(groups) if few else groups, "key", how)
+
+
 def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(STATISTICS)) for j in range(i + 1)]
 
@@ -162,13 +172,13 @@ def minimum_covariance(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """
     estimate = cut_lineage(_start(rows), "estimate")
     for _ in range(steps):
-        far = rows.join(estimate, "key").select(
+        far = _with_groups(rows, estimate).select(
             "key", *STATISTICS, F.floor(F.sqrt(_squared_distance()) * BINS).alias("bin")
         )
         # Counts by step first: then the median needs one row for each step and not each row.
         bounds = far.groupBy("key", "bin").agg(F.count("*").alias("many"))
         bounds = bounds.groupBy("key").agg(F.percentile("bin", F.lit(SUPPORT), F.col("many")).alias("most"))
-        near = far.join(cut_lineage(bounds, "bounds"), "key").filter("bin <= most")
+        near = _with_groups(far, cut_lineage(bounds, "bounds")).filter("bin <= most")
         estimate = cut_lineage(_estimate(near), "estimate")
     return estimate
 
@@ -186,7 +196,7 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> DataF
     rows = counts(docs.select("doc_id", key.alias("key"), "text")).drop("text")
     rows = cut_lineage(statistics(rows), "statistics")
     estimate = minimum_covariance(rows.filter("not base_failed").select("key", *STATISTICS), steps)
-    known = rows.join(estimate, "key", "left")
+    known = _with_groups(rows, estimate, "left")
     distance = F.when(~F.col("base_failed"), _squared_distance())
     return known.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -201,5 +211,5 @@ def accepted(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> Dat
     rows = statistics(counts(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("key"), "text")))
     rows = cut_lineage(rows.filter("not base_failed").select("_row", "key", *STATISTICS), "statistics")
     estimate = minimum_covariance(rows.select("key", *STATISTICS), steps)
-    kept = rows.join(estimate, "key").filter(_squared_distance() <= cutoff)
+    kept = _with_groups(rows, estimate).filter(_squared_distance() <= cutoff)
     return kept.select("_row.*")

@@ -5,31 +5,54 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parapet.llm.common import mixed
 from parapet.llm.components import components
 from parapet.session import cut_lineage
 
 SEED = 42
 HALF = 32
 LOW = (1 << HALF) - 1
+#: Text hashes that are sent to all tasks, 16 megabytes at most; more are joined by shuffle.
+BROADCAST_TEXTS = 1_000_000
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The 64-bit fingerprint of a text, as a signed number; 0 without words."""
-    words = (text or "").encode().lower().split()  # bytes: ASCII letters and spaces only
-    if not words:
-        return 0
-    runs = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
-    hashes = b"".join([xxhash.xxh64_digest(b" ".join(run), SEED) for run in runs])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+def _split(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # bytes: ASCII letters and spaces only
+
+
+def _shingles(words: list[bytes], size: int) -> list[bytes]:
+    runs = zip(*(words[i:] for i in range(size))) if len(words) >= size else [words]
+    return [b" ".join(run) for run in runs] if words else []
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set where they are in over half of the hashes."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     over = 2 * bits.sum(axis=0, dtype=np.int64) > len(bits)
     return int.from_bytes(np.packbits(over).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, shingle: int = 3, tables: int = 1) -> int | list[int]:
+    """The 64-bit fingerprint of a text, as a signed number; 0 without words.
+
+    With several ``tables``, a list: the first and others from the same hashes, mixed anew.
+    """
+    parts = _shingles(_split(text), shingle)
+    if not parts:
+        return 0 if tables == 1 else [0] * tables
+    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(part, SEED) for part in parts]), ">u8")
+    if tables == 1:
+        return _majority(hashes)
+    found = [hashes] + [mixed(hashes.astype(np.uint64) + np.uint64(i)) for i in range(1, tables)]
+    return [_majority(own) for own in found]
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``(doc_id, text_hash, fp)`` of each document; ``text_hash`` tells equal ids apart."""
 
@@ -57,15 +80,14 @@ def _ball(half: int, value: Column, flips: Column) -> Column:
 
 
 def links(prints: DataFrame, most: int = 3) -> DataFrame:
-    """Pairs ``(a, b)``, ``a < b``, of distinct fingerprints at most ``most`` (3 or less) bits apart.
+    """Pairs ``(a, b)``, ``a < b``, of distinct fingerprints at most ``most`` bits apart.
 
     A multi-index: two words of 64 bits that differ in three bits or fewer differ in one bit
-    or none in one of their halves. So each fingerprint enters the table under both
+    or none in one of their halves. So all such pairs are found; of those four or more bits apart, the ones with
+    a half that close. So each fingerprint enters the table under both
     halves, and looks up the ball of radius one (33 values) around each half. Matches are
     verified by their complete distance inside the join, so only true links leave it.
     """
-    if not 0 <= most <= 3:
-        raise ValueError("two halves with balls of radius 1 cover distances 0 to 3")
     fp = prints.select("fp").distinct()
     table = fp.select(
         F.col("fp").alias("b"),
@@ -100,20 +122,82 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFra
     return rows.join(cut_lineage(groups, "groups"), "fp")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
-    """``docs`` with one row of each group: its smallest ``doc_id``, then text hash.
+def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs of text hashes ``(a, b)`` whose texts share enough of their word shingles."""
+
+    @F.pandas_udf("boolean")
+    def alike(one: pd.Series, two: pd.Series) -> pd.Series:
+        def check(x: str | None, y: str | None) -> bool:
+            x, y = (set(_shingles(_split(t), words)) for t in (x, y))
+            return len(x & y) >= similarity * max(1, len(x | y)) or not (x or y)
 
-    All columns are kept. Of rows equal in id and text one stays, too.
+        return pd.Series([check(x, y) for x, y in zip(one, two)], dtype=bool)
+
+    left = texts.select(F.col("text_hash").alias("a"), F.col("text").alias("_a"))
+    right = texts.select(F.col("text_hash").alias("b"), F.col("text").alias("_b"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.filter(alike("_a", "_b")).select("a", "b")
+
+
+def similar_texts(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, shingle: int = 3, tables: int = 6, most: int = 5
+) -> DataFrame:
+    """Verified links ``(a, b)`` between hashes of different texts that are near copies.
+
+    One fingerprint of 64 bits meets few copies with edits all over; several, from hashes mixed anew, meet most, and
+    each links only a thin part of the pairs in a large group. For each table, texts of one fingerprint link to the
+    least of them, and fingerprints close by link their least texts. Links count if the texts share
+    ``similarity`` (Jaccard) of their shingles of ``words`` words; texts with fewer words are one shingle.
     """
-    found = near_duplicates(docs, shingle, most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(text.as_py(), shingle, tables) for text in batch.column("text")]
+            columns = [pa.array(own, pa.int64()) for own in zip(*found)] or [pa.array([], pa.int64())] * tables
+            yield pa.RecordBatch.from_arrays([batch.column("text_hash"), *columns], names)
+
+    names = ["text_hash", *[f"fp{i}" for i in range(tables)]]
+    rows = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    prints = cut_lineage(rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names)), "prints")
+    pairs = None
+    for i in range(tables):
+        own = prints.select(F.col(f"fp{i}").alias("fp"), "text_hash").distinct()
+        least = cut_lineage(own.groupBy("fp").agg(F.min("text_hash").alias("least")), "least")
+        same = own.join(least, "fp").filter("text_hash <> least")
+        same = same.select(F.col("least").alias("a"), F.col("text_hash").alias("b"))
+        close = links(least, most).join(least.withColumnsRenamed({"fp": "a", "least": "x"}), "a")
+        close = close.join(least.withColumnsRenamed({"fp": "b", "least": "y"}), "b")
+        close = close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        found = cut_lineage(same.union(close), "pairs")
+        pairs = found if pairs is None else pairs.union(found)
+    pairs = cut_lineage(pairs.filter("a <> b").distinct(), "pairs")
+    named = pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()
+    named = cut_lineage(named, "named")
+    few = named.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+    texts = rows.join(F.broadcast(named) if few else named, "text_hash").dropDuplicates(["text_hash"])
+    return _similar(pairs, cut_lineage(texts, "texts"), words, similarity)
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 6) -> DataFrame:
+    """``docs`` with one row of each group of near copies: its smallest ``doc_id``, then text hash.
+
+    Copies are equal texts and verified links (see ``similar_texts``), over any number of steps. All columns are
+    kept. A null text is a copy of other null and wordless ones; null ids count as larger than all others; of rows equal in
+    id and text one stays; an empty table gives no rows.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    edges = similar_texts(docs, words, similarity, tables=tables)
+    labels = components(edges).withColumnsRenamed({"node": "text_hash"})
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    keep = found.groupBy("label").agg(F.min(order).alias("k")).select(
-        F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")
-    )
-    rows = docs.withColumn("_own", F.xxhash64("text"))
-    kept = rows.join(
+    # The first row of each text, then of each group of texts: a text of many copies is one row by then.
+    first = cut_lineage(rows.groupBy("text_hash").agg(F.min(order).alias("k")), "first")
+    first = first.join(labels, "text_hash", "left")
+    keep = first.groupBy(F.coalesce("label", "text_hash").alias("label")).agg(F.min("k").alias("k"))
+    keep = keep.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    own = docs.withColumn("_own", F.xxhash64("text"))
+    kept = own.join(
         cut_lineage(keep, "keep"),
-        rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")),
+        own["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")),
         "left_semi",
     )
     return kept.dropDuplicates(["doc_id", "_own"]).drop("_own")

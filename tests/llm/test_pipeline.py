@@ -1,0 +1,169 @@
+"""The pipeline against a plain version of each stage, on a small fixture."""
+
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from parapet.llm import mixing, quality
+from parapet.llm.pseudonyms import EXAMPLE_KEY, Permutation, pseudonymised
+from .test_mixing import targets_by_rounds
+from .test_quality import brute as base_counts
+
+COLUMNS = corpus_pipeline.COLUMNS
+
+
+def texts(rng):
+    vocabulary = ["".join(rng.choice("aeiourstln") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    out = [prose(rng.choice((30, 60, 150))) for _ in range(70)]
+    out += [out[3], out[3], out[9], f"{out[12]} end", out[20] + " mail ann.lee@example.com"]
+    out += [prose(60).replace(" ", " | ") for _ in range(6)]
+    out += ["too short", "", None, "loop it again and once more so that it repeats " * 20, prose(40) + " 212-555-0187"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    return [(i, t, rng.choice(("en", "en", "de")), rng.choice(("a", "b", "hot", "hot", None)), None if t is None else len(t))
+            for i, t in enumerate(texts(rng))]
+
+
+def plain_quality(rows):
+    """Concentration steps with arrays, group by group."""
+    groups, kept = defaultdict(list), []
+    for row in rows:
+        n, chars, symbols, lines, repeats = base_counts(row[1])
+        if n >= 20 and 100 * repeats <= 30 * n:
+            logs = [math.log(chars / n), *[math.log(1 + 100 * c / n) for c in (symbols, lines, repeats)]]
+            groups[row[2], row[3]].append((row, [round(1000 * x) / 1000 for x in logs]))
+    for members in groups.values():
+        data = np.array([x for _, x in members])
+        floor = np.diag(np.square(quality.FLOORS))
+
+        def distance(centre, spread):
+            apart = data - centre
+            return np.einsum("ij,jk,ik->i", apart, np.linalg.inv(spread), apart)
+
+        far = distance(np.median(data, axis=0), floor)
+        for _ in range(quality.STEPS):
+            bins = np.floor(np.sqrt(far) * quality.BINS)
+            near = data[bins <= np.percentile(bins, 50)]
+            far = distance(near.mean(axis=0), np.cov(near.T, bias=True) * quality.CONSISTENCY + floor)
+        kept += [row for (row, _), d in zip(members, far) if d <= quality.CUTOFF]
+    return kept
+
+
+def plain_near_duplicates(rows):
+    sets = [{tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for _, t, *_ in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i][1] == rows[j][1] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    first = {}
+    for row, x in sorted(zip(rows, label), key=lambda p: p[0][0]):
+        first.setdefault(x, row)
+    return list(first.values())
+
+
+def plain_mix(rows):
+    """Shuffled passes laid out word by word, slots counted one after the other."""
+    sizes = defaultdict(int)
+    for row in rows:
+        sizes[row[3]] += len(row[1].split())
+    wanted, out = targets_by_rounds(sizes), []
+    total = sum(wanted.values())
+    block, point, edges, upto = mixing.block_length(total), 0, [], 0.0
+    for source in sorted(sizes, key=lambda s: (s is None, s or "")):
+        upto += wanted[source]
+        edges.append((math.floor(upto / total * 2**31), source))
+    edges[-1] = (2**31, edges[-1][1])
+    slots = Counter()
+    for i in range(math.ceil(total / block)):
+        point = i * mixing.GOLDEN % 2**31
+        slots[next(s for high, s in edges if point < high)] += 1
+    import hashlib
+
+    for source in sizes:
+        left = slots[source] * block
+        for epoch in (0, 1):
+            own = [r for r in rows if r[3] == source]
+            own.sort(key=lambda r: int(hashlib.md5(f"{epoch}:{r[0]}".encode()).hexdigest()[:15], 16))
+            for row in own if epoch == 0 or wanted[source] > sizes[source] else []:
+                n = len(row[1].split())
+                if left > 0:
+                    words, text = min(left, n), row[1]
+                    if words < n:
+                        text = " ".join(row[1].split(" ")[:words])
+                    out.append((*row[:1], text, row[2], row[3], len(text)))
+                left -= n
+    return out
+
+
+def plain_pack(rows):
+    from tokenizers import Tokenizer
+
+    tokenizer, out = Tokenizer.from_file(packing_path()), []
+    for row in rows:
+        ids = tokenizer.encode(row[1], add_special_tokens=False).ids + [0]
+        for piece, start in enumerate(range(0, len(ids), 2048)):
+            own = ids[start : start + 2048]
+            out.append((row[0], piece, start, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+    return out
+
+
+def packing_path():
+    from parapet.llm.queries import tokenizer_path
+
+    return tokenizer_path()
+
+
+def test_stages_and_run(spark, rows, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    permute = Permutation(EXAMPLE_KEY)
+
+    def plain_pseudonyms(rows):
+        new = [(r[0], pseudonymised(r[1], permute)[0], *r[2:4]) for r in rows]
+        return [(*r, len(r[1])) for r in new]
+
+    plain = [plain_quality, plain_near_duplicates, plain_pseudonyms, plain_mix]
+    docs, wanted = spark.read.parquet(str(tmp_path / "documents.parquet")), rows
+    for (name, stage), version in zip(corpus_pipeline.STAGES, plain):
+        docs, wanted = stage(spark, docs, str(tmp_path)), version(wanted)
+        assert docs.columns == COLUMNS and docs.dtypes == spark.createDataFrame([], schema).dtypes
+        path = str(tmp_path / name)
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert sorted(map(str, map(tuple, docs.collect()))) == sorted(map(str, wanted)), name
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    pieces = sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found)
+    assert pieces == sorted(plain_pack(wanted))
+    slots = defaultdict(list)
+    for r in found:
+        slots[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in slots.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_empty_documents(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_further_columns_pass(spark, rows, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    df = spark.createDataFrame(rows[:40], schema).selectExpr("*", "'x' as key", "1 as row", "2 as fp", "3 as size", "4 as label")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

@@ -91,6 +91,33 @@ def test_keeps_one_of_each_group(spark, documents):
     assert kept.columns == docs.columns
     found = sorted(((r["doc_id"] or 0), r["text"]) for r in kept.collect())
     assert found == [(0, "only null id"), (3, "a b c d"), (8, None)]
+    assert simhash.deduplicated(documents([])).collect() == []
+
+
+def jaccard(x, y, words=5):
+    x, y = ({tuple(t.split()[i : i + words]) for i in range(len(t.split()) - words + 1)} for t in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_go_and_others_stay(spark, documents):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(500)]
+    rows, near, apart = [], set(), set()
+    for i in range(60):
+        base = [rng.choice(vocabulary) for _ in range(300)]
+        rows.append((10 * i, " ".join(base), "en", "s"))
+        copy = list(base)
+        for at in rng.sample(range(300), 3):
+            copy[at] = "edited"
+        near.add(10 * i + 1)
+        rows.append((10 * i + 1, " ".join(copy), "en", "s"))
+        other = base[:200] + [rng.choice(vocabulary) for _ in range(100)]
+        apart.add(10 * i + 2)
+        rows.append((10 * i + 2, " ".join(other), "en", "s"))
+        assert jaccard(rows[-3][1], rows[-2][1]) > 0.8 > jaccard(rows[-3][1], rows[-1][1])
+    kept = {r["doc_id"] for r in simhash.deduplicated(documents(rows)).collect()}
+    assert {10 * i for i in range(60)} | apart <= kept
+    assert len(kept & near) <= 3
 
 
 def test_empty_table_and_long_text(spark, documents):

@@ -134,13 +134,15 @@ def audit(
     redact_pii: bool = True,
     batch_time: Column | str | None = None,
 ) -> DataFrame:
-    """Conversation rows (with an ``id``) to rows of the audit table.
+    """Conversation rows to rows of the audit table; without an ``id`` that is null.
 
     ``batch_time`` is the timestamp text for rows that have none; a batch should
     pass a literal so that a retried task writes the same value.
     """
     if "_corrupt_record" in df.columns:
         raise ValueError("set malformed rows aside first (see split_valid)")
+    if "id" not in df.columns:
+        df = df.withColumn("id", F.lit(None).cast("bigint"))
     detected = label(detect(df, "output_text", toxicity, sentiment), threshold)
     if redact_pii:
         stored = redact(detected)

@@ -647,6 +647,9 @@ _add(
     append_twice="""SELECT count(*) AS stored, count(*) AS ids, count(*) AS requests,
       (1099511627776 + 1)::BIGINT AS first_id, count(*) FILTER (doc_id % 2 = 1) AS second_batch
       FROM documents""",
+    batch_job=f"""{FOUND} SELECT count(*) AS processed,
+      count(*) FILTER (has_pii OR self_harm OR jailbreak OR bias) AS flagged, count(*) AS stored,
+      count(*) AS ids, 0::BIGINT AS no_project, count(*) AS exported FROM found""",
     labeled_reject="""SELECT outcome, count(*) AS count FROM (
       SELECT CASE WHEN doc_id % 13 = 0 THEN 'malformed record'
         WHEN doc_id % 8 IN (0, 1, 6) THEN 'true' ELSE 'false' END AS outcome FROM documents)

@@ -30,9 +30,11 @@ from parapet.operators.filters import (
     text_dates,
 )
 from parapet.operators.lexicon_match import builtin_lexicon, compiled_matches, match_lexicon
+from parapet.operators.normalize import to_conversations
 from parapet.operators.quota import quota_verdicts, with_quota_status
 from parapet.plans import corpus as cp
 from parapet.plans import flagship
+from parapet.plans.batch import audit_batch
 from parapet.schemas import CSV_READ, CSV_WRITE
 from parapet.session import shared_folder
 from parapet.sources import readers as rd
@@ -1049,6 +1051,25 @@ def labeled_roundtrip(spark, folder):
     return rd.read_labeled(spark, path).select("input_text", *names)
 
 
+@query
+def batch_job(spark, folder):
+    """Two sources, one of them without a project, in one batch; the counts come from the write."""
+    rows = to_conversations(raw_text_rows(spark, folder))
+    even = F.pmod(F.xxhash64("request_id"), F.lit(2)) == 0
+    sources = [rows.filter(even), rows.filter(~even).withColumn("project_name", F.lit(None).cast("string"))]
+    table, export = shared_folder(spark, "table"), shared_folder(spark, "export")
+    counts = audit_batch(sources, table, 7, cp.BATCH_TIME, export=export, project_name="batch")
+    stored = rd.read_audit_table(spark, table).agg(
+        F.count("*").alias("stored"), F.countDistinct("id").alias("ids"),
+        F.count_if(F.col("project_name").isNull()).alias("no_project"),
+    )
+    exported = rd.read_exported(spark, export).agg(F.count("*").alias("exported"))
+    return mt.beside(stored, exported).select(
+        *[F.lit(counts[c]).cast("bigint").alias(c) for c in ("processed", "flagged")],
+        "stored", "ids", "no_project", "exported",
+    )
+
+
 @query
 def labeled_reject(spark, folder):
     """Labels of several spellings; every thirteenth line is cut off and set aside."""

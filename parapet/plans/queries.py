@@ -25,7 +25,6 @@ from parapet.operators.filters import (
     AuditFilter,
     BoardFilter,
     calendar_dates,
-    has_all,
     present,
     text_dates,
 )
@@ -36,7 +35,7 @@ from parapet.plans import corpus as cp
 from parapet.plans import flagship
 from parapet.plans.batch import audit_batch
 from parapet.schemas import CSV_READ, CSV_WRITE
-from parapet.session import shared_folder
+from parapet.session import cut_lineage, shared_folder
 from parapet.sources import readers as rd
 from parapet.sources import writers as wr
 from parapet.streaming import ingest as si
@@ -806,7 +805,7 @@ def eval_combined(spark, folder):
 @query
 def eval_gate(spark, folder):
     """Seeded rows as the baseline, the bare documents as the current run."""
-    baseline = ev.with_scores(counted(spark, folder))
+    baseline = cut_lineage(ev.with_scores(counted(spark, folder)), "baseline")  # stored, as always
     current = ev.with_scores(counted(spark, folder, seeds=False))
     current = current.withColumn("skipped", F.col("signal") == "toxicity").filter(
         "signal <> 'bias'"

@@ -40,6 +40,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def sent_if_few(df: DataFrame, most: int) -> DataFrame:
+    """A stored table marked for broadcast if it has at most ``most`` rows; else joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def order_hash(*columns: Column) -> Column:
     """A number of ``ORDER_BITS`` bits that puts rows into an even, repeatable order."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 64 - ORDER_BITS)

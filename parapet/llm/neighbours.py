@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parapet.llm.common import sent_if_few
 from parapet.session import cut_lineage
 
 NEAREST = 20
@@ -22,6 +23,8 @@ LEAF = 512
 #: Vectors in one index shard, and queries in one block.
 SHARD_ROWS = 1 << 13
 QUERY_ROWS = 1 << 13
+#: Queries of a block that are searched side by side.
+TOGETHER = 512
 
 
 def chi_square_quantile(probability: float, degrees: int) -> float:
@@ -60,17 +63,19 @@ class Tree:
         self.low = np.array([points[own].min(axis=0) for own in self.leaves])
         self.high = np.array([points[own].max(axis=0) for own in self.leaves])
 
-    def near(self, point: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """Leaves by growing squared distance of their boxes from ``point``."""
-        apart = np.maximum(np.maximum(self.low - point, point - self.high), 0)
-        bounds = (apart * apart).sum(axis=1)
-        for i in np.argsort(bounds, kind="stable"):
-            yield bounds[i], self.leaves[i]
+    def bounds(self, points: np.ndarray) -> np.ndarray:
+        """Squared distances of leaf boxes, one row for each of ``points``."""
+        found = np.zeros((len(points), len(self.leaves)))
+        for axis in range(points.shape[1]):
+            own = points[:, axis, None]
+            apart = np.maximum(np.maximum(self.low[:, axis] - own, own - self.high[:, axis]), 0)
+            found += apart * apart
+        return found
 
 
-def inner(rows: np.ndarray, vector: np.ndarray) -> np.ndarray:
-    """Inner products in double precision; a row's value depends on that row alone."""
-    return (rows * vector).sum(axis=1)
+def inner(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Row by row inner products in double precision; each depends on its two rows alone."""
+    return (rows * others).sum(axis=1)
 
 
 class Index:
@@ -87,28 +92,48 @@ class Index:
         self.points = vectors @ self.matrix[:-1] + rest[:, None] * self.matrix[-1]
         self.tree = Tree(self.points)
 
-    def search(self, name: int, query: np.ndarray, many: int, certainty: float = CERTAINTY):
-        """``(name, score)`` of the ``many`` best found but ``name`` itself, best first.
+    def search(self, names: np.ndarray, queries: np.ndarray, many: int, certainty: float = CERTAINTY):
+        """``(query, name, score)``: the ``many`` best found for each query but its own name, best first.
 
-        Projected neighbours come in growing distance and are verified by their inner product. The squared projected
-        distance over the squared distance is chi-square distributed; so the search ends where it
-        exceeds the quantile times the squared distance of the worst of the ``many`` best.
+        Each query takes leaves by growing projected distance and verifies their vectors by inner product. The
+        squared projected distance over the squared distance is chi-square distributed; so a query ends
+        where the former exceeds the quantile times the squared distance of the worst of its ``many``
+        best. Queries that take the same leaf in the same round are worked on together.
         """
         limit = chi_square_quantile(certainty, self.points.shape[1])
-        point, whole = query @ self.matrix[:-1], float(query @ query) + self.longest**2
-        names, scores, radius = np.zeros(0, np.int64), np.zeros(0), np.inf
-        for bound, leaf in self.tree.near(point):
-            if bound > radius:
+        points = queries @ self.matrix[:-1]
+        whole = (queries * queries).sum(axis=1) + self.longest**2
+        slack = 1e-9 * (1 + whole)  # more than matrix products may be off; exact values decide
+        bounds = self.tree.bounds(points)
+        order = np.argsort(bounds, axis=1, kind="stable")
+        own = np.arange(len(queries))
+        worst, radius = np.full(len(queries), -np.inf), np.full(len(queries), np.inf)
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for turn in range(order.shape[1]):
+            leaf = order[:, turn]
+            active = own[bounds[own, leaf[own]] <= radius[own]]
+            own, parts = active, [best]
+            for number in np.unique(leaf[active]):
+                asked, members = active[leaf[active] == number], self.tree.leaves[number]
+                apart = (points[asked] ** 2).sum(axis=1)[:, None] - 2 * points[asked] @ self.points[members].T
+                apart += (self.points[members] ** 2).sum(axis=1)
+                close = apart <= (radius + slack)[asked, None]
+                near = queries[asked] @ self.vectors[members].T >= (worst - slack)[asked, None]
+                i, j = np.nonzero(close & near & (self.names[members] != names[asked, None]))
+                found = asked[i], members[j]
+                parts.append((found[0], self.names[found[1]], inner(self.vectors[found[1]], queries[found[0]])))
+            which, found, scores = (np.concatenate(x) for x in zip(*parts))
+            by = np.lexsort((found, -scores, which))
+            which, found, scores = which[by], found[by], scores[by]
+            starts = np.searchsorted(which, which)
+            kept = np.arange(len(which)) - starts < many
+            which, found, scores = best = which[kept], found[kept], scores[kept]
+            last = np.flatnonzero(np.arange(len(which)) - np.searchsorted(which, which) == many - 1)
+            worst[which[last]] = scores[last]
+            radius[which[last]] = limit * np.maximum(whole[which[last]] - 2 * scores[last], 0.0)
+            if not len(own):
                 break
-            apart = self.points[leaf] - point
-            own = leaf[((apart * apart).sum(axis=1) <= radius) & (self.names[leaf] != name)]
-            names = np.concatenate([names, self.names[own]])
-            scores = np.concatenate([scores, inner(self.vectors[own], query)])
-            best = np.lexsort((names, -scores))[:many]
-            names, scores = names[best], scores[best]
-            if len(best) == many:
-                radius = limit * max(whole - 2 * scores[-1], 0.0)
-        return names, scores
+        return names[which] if len(which) else which, found, scores
 
 
 def usable(vector: Column) -> Column:
@@ -144,7 +169,7 @@ def search(
         "dim", F.sqrt("top").alias("longest"), F.ceil(F.col("n") / shard_rows).alias("shards"),
         F.greatest(F.lit(1), F.ceil(F.col("q") / QUERY_ROWS)).alias("blocks"),
     )
-    known = rows.join(F.broadcast(shape), "dim")  # a handful of lengths
+    known = rows.join(sent_if_few(cut_lineage(shape, "shape"), 10_000), "dim")
     points = known.withColumns({
         "shard": F.pmod(F.xxhash64("vec_id"), "shards"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)),
     })
@@ -159,10 +184,12 @@ def search(
         if len(own) and len(wanted):
             own, wanted = own.drop_duplicates("p_vec_id"), wanted.drop_duplicates("vec_id")
             index = Index(own["p_vec_id"].to_numpy(), np.stack(own["p_v"].to_list()), own["p_longest"].iloc[0])
-            for name, query in zip(wanted["vec_id"], wanted["v"]):
-                names, scores = index.search(name, np.asarray(query), many, certainty)
-                out += [(name, i, float(s)) for i, s in zip(names, scores)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            asked, names = np.stack(wanted["v"].to_list()), wanted["vec_id"].to_numpy()
+            for at in range(0, len(names), TOGETHER):
+                part = slice(at, at + TOGETHER)
+                out.append(np.rec.fromarrays(index.search(names[part], asked[part], many, certainty)))
+        found = np.concatenate(out) if out else np.zeros(0, [("f0", "i8"), ("f1", "i8"), ("f2", "f8")])
+        return pd.DataFrame({"query_id": found["f0"], "vec_id": found["f1"], "score": found["f2"]})
 
     # Both sides come from one table: names of its own keep their columns apart.
     columns = [*key, "vec_id", "v", "longest"]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm.common import SPACES, SPLIT, let, words
+from parapet.llm.common import SPACES, let, sent_if_few, words
 from parapet.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
@@ -111,8 +111,7 @@ BROADCAST_GROUPS = 50_000
 
 def _with_groups(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
     """Join stored values of each key; with few enough keys, rows stay where they are."""
-    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    return rows.join(F.broadcast(groups) if few else groups, "key", how)
+    return rows.join(sent_if_few(groups, BROADCAST_GROUPS), "key", how)
 
 
 def _pairs() -> list[tuple[int, int]]:

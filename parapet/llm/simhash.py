@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm.common import mixed
+from parapet.llm.common import mixed, sent_if_few
 from parapet.llm.components import components
 from parapet.session import cut_lineage
 
@@ -79,26 +79,50 @@ def _ball(half: int, value: Column, flips: Column) -> Column:
     return F.transform(flips, lambda flip: _key(half, value.bitwiseXOR(flip)))
 
 
-def links(prints: DataFrame, most: int = 3) -> DataFrame:
+def links(
+    prints: DataFrame, most: int = 3, within: tuple[str, ...] = (), apart: str | None = None
+) -> DataFrame:
     """Pairs ``(a, b)``, ``a < b``, of distinct fingerprints at most ``most`` bits apart.
 
     A multi-index: two words of 64 bits that differ in three bits or fewer differ in one bit
     or none in one of their halves. So all such pairs are found; of those four or more bits apart, the ones with
-    a half that close. So each fingerprint enters the table under both
+    a half that close. Each fingerprint enters the table under both
     halves, and looks up the ball of radius one (33 values) around each half. Matches are
-    verified by their complete distance inside the join, so only true links leave it.
+    verified by their complete distance inside the join, so only true links leave it. Pairs have equal values
+    in the columns ``within`` and keep them; with ``apart``, a column fixed for each fingerprint, only those that
+    differ in it are given.
     """
-    fp = prints.select("fp").distinct()
+    extra = [apart] if apart else []
+    fp = prints.select(*within, *extra, "fp").distinct()
+    halves = _halves(F.col("fp"))
     table = fp.select(
-        F.col("fp").alias("b"),
-        F.explode(F.array(*[_key(i, h) for i, h in enumerate(_halves(F.col("fp")))])).alias("key"),
+        *[F.col(c).alias(f"_{c}") for c in (*within, *extra)], F.col("fp").alias("b"),
+        F.explode(F.array(*[_key(i, h) for i, h in enumerate(halves)])).alias("key"),
     )
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << bit) for bit in range(HALF)])
-    probes = [_ball(i, h, flips) for i, h in enumerate(_halves(F.col("fp")))]
-    probe = fp.select(F.col("fp").alias("a"), F.explode(F.concat(*probes)).alias("key"))
+    probes = [_ball(i, h, flips) for i, h in enumerate(halves)]
+    probe = fp.select(*within, *extra, F.col("fp").alias("a"), F.explode(F.concat(*probes)).alias("key"))
+    match = (probe["key"] == table["key"]) & (F.col("a") < F.col("b"))
+    for c in within:
+        match = match & (F.col(c) == F.col(f"_{c}"))
+    if apart:
+        match = match & (F.col(apart) != F.col(f"_{apart}"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most
-    found = probe.join(table, (probe["key"] == table["key"]) & (F.col("a") < F.col("b")) & near)
-    return found.select("a", "b").distinct()
+    return probe.join(table, match & near).select(*within, "a", "b").distinct()
+
+
+def stars(prints: DataFrame, most: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """Some of the links: between a fingerprint and the least and largest that share one of its halves.
+
+    Linear in the number of fingerprints, however many share a half.
+    """
+    halves = F.array(*[_key(i, h) for i, h in enumerate(_halves(F.col("fp")))])
+    rows = prints.select(*within, "fp", F.explode(halves).alias("key"))
+    ends = rows.groupBy(*within, "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+    ends = cut_lineage(ends.filter("low <> high"), "ends")
+    found = rows.join(ends, [*within, "key"]).select(*within, F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most
+    return found.filter((F.col("a") != F.col("b")) & near).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
@@ -144,10 +168,14 @@ def similar_texts(
 ) -> DataFrame:
     """Verified links ``(a, b)`` between hashes of different texts that are near copies.
 
-    One fingerprint of 64 bits meets few copies with edits all over; several, from hashes mixed anew, meet most, and
-    each links only a thin part of the pairs in a large group. For each table, texts of one fingerprint link to the
-    least of them, and fingerprints close by link their least texts. Links count if the texts share
-    ``similarity`` (Jaccard) of their shingles of ``words`` words; texts with fewer words are one shingle.
+    One fingerprint of 64 bits meets few copies with edits all over; several, from hashes mixed anew, meet most. Links
+    count if the texts share ``similarity`` (Jaccard) of their shingles of ``words`` words; texts with fewer words
+    are one shingle.
+
+    First, texts of one fingerprint link to the least of them, and fingerprints to the ends of their half's
+    table entry (``stars``); groups of many copies mostly join up by that, in linear work. Then the multi-index
+    looks for links between texts that are not in one group yet. Links inside a group change nothing, so
+    they are not listed, however many there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,23 +187,29 @@ def similar_texts(
     names = ["text_hash", *[f"fp{i}" for i in range(tables)]]
     rows = docs.select(F.xxhash64("text").alias("text_hash"), "text")
     prints = cut_lineage(rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names)), "prints")
-    pairs = None
-    for i in range(tables):
-        own = prints.select(F.col(f"fp{i}").alias("fp"), "text_hash").distinct()
-        least = cut_lineage(own.groupBy("fp").agg(F.min("text_hash").alias("least")), "least")
-        same = own.join(least, "fp").filter("text_hash <> least")
-        same = same.select(F.col("least").alias("a"), F.col("text_hash").alias("b"))
-        close = links(least, most).join(least.withColumnsRenamed({"fp": "a", "least": "x"}), "a")
-        close = close.join(least.withColumnsRenamed({"fp": "b", "least": "y"}), "b")
-        close = close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        found = cut_lineage(same.union(close), "pairs")
-        pairs = found if pairs is None else pairs.union(found)
-    pairs = cut_lineage(pairs.filter("a <> b").distinct(), "pairs")
-    named = pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()
-    named = cut_lineage(named, "named")
-    few = named.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
-    texts = rows.join(F.broadcast(named) if few else named, "text_hash").dropDuplicates(["text_hash"])
-    return _similar(pairs, cut_lineage(texts, "texts"), words, similarity)
+    once = prints.dropDuplicates(["text_hash"])  # a text of many copies is one row from here on
+    own = once.select("text_hash", F.posexplode(F.array(*names[1:])).alias("t", "fp"))
+    least = cut_lineage(own.groupBy("t", "fp").agg(F.min("text_hash").alias("least")), "least")
+    same = own.join(least, ["t", "fp"]).filter("text_hash <> least")
+    same = same.select(F.col("least").alias("a"), F.col("text_hash").alias("b"))
+
+    def between(found: DataFrame) -> DataFrame:
+        """Pairs of texts for pairs of fingerprints: the least text of each."""
+        found = found.join(least.withColumnsRenamed({"fp": "a", "least": "x"}), ["t", "a"])
+        found = found.join(least.withColumnsRenamed({"fp": "b", "least": "y"}), ["t", "b"])
+        return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut_lineage(pairs.filter("a <> b").distinct(), "pairs")
+        named = pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()
+        named = sent_if_few(cut_lineage(named, "named"), BROADCAST_TEXTS)
+        texts = rows.join(named, "text_hash").dropDuplicates(["text_hash"])
+        return cut_lineage(_similar(pairs, cut_lineage(texts, "texts"), words, similarity), "links")
+
+    first = verified(same.union(between(stars(least, most, ("t",)))))
+    groups = cut_lineage(components(first), "groups").withColumnRenamed("node", "least")
+    grouped = least.join(groups, "least", "left").withColumn("label", F.coalesce("label", "least"))
+    return first.union(verified(between(links(cut_lineage(grouped, "grouped"), most, ("t",), "label"))))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 6) -> DataFrame:

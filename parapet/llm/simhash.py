@@ -229,9 +229,10 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, table
     keep = first.groupBy(F.coalesce("label", "text_hash").alias("label")).agg(F.min("k").alias("k"))
     keep = keep.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     own = docs.withColumn("_own", F.xxhash64("text"))
-    kept = own.join(
-        cut_lineage(keep, "keep"),
-        own["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")),
-        "left_semi",
-    )
-    return kept.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    keep = sent_if_few(cut_lineage(keep, "keep"), BROADCAST_TEXTS)
+    same = own["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))
+    kept = own.join(keep, same, "left_semi")
+    # Only where rows repeat in id and text do texts have to meet to leave one.
+    if not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_own"])
+    return kept.drop("_own")

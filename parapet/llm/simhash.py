@@ -17,7 +17,6 @@ from parapet.session import cut_lineage
 
 SEED = 42
 HALF = 32
-LOW = (1 << HALF) - 1
 #: Text hashes that are sent to all tasks, 16 megabytes at most; more are joined by shuffle.
 BROADCAST_TEXTS = 1_000_000
 
@@ -66,17 +65,24 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
-def _halves(fp: Column) -> tuple[Column, Column]:
-    return F.shiftrightunsigned(fp, HALF), fp.bitwiseAND(F.lit(LOW))
+def _segments(fp: Column, many: int) -> list[tuple[Column, int]]:
+    """The 64 bits cut into ``many`` numbers from the top, each with its width; the first ones take what is over."""
+    out, below = [], 64
+    for i in range(many):
+        width = 64 // many + (i < 64 % many)
+        below -= width
+        out.append((F.shiftrightunsigned(fp, below).bitwiseAND(F.lit((1 << width) - 1)), width))
+    return out
 
 
-def _key(half: int, value: Column) -> Column:
-    # Half 0 keeps its number, half 1 is marked by a bit above it.
-    return value.bitwiseOR(F.lit(half << HALF))
+def _key(segment: int, value: Column) -> Column:
+    # Segment 0 keeps its number, the others are marked by bits above it.
+    return value.bitwiseOR(F.lit(segment << HALF))
 
 
-def _ball(half: int, value: Column, flips: Column) -> Column:
-    return F.transform(flips, lambda flip: _key(half, value.bitwiseXOR(flip)))
+def _ball(segment: int, value: Column, width: int) -> Column:
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << bit).cast("long") for bit in range(width)])
+    return F.transform(flips, lambda flip: _key(segment, value.bitwiseXOR(flip)))
 
 
 def links(
@@ -84,23 +90,21 @@ def links(
 ) -> DataFrame:
     """Pairs ``(a, b)``, ``a < b``, of distinct fingerprints at most ``most`` bits apart.
 
-    A multi-index: two words of 64 bits that differ in three bits or fewer differ in one bit
-    or none in one of their halves. So all such pairs are found; of those four or more bits apart, the ones with
-    a half that close. Each fingerprint enters the table under both
-    halves, and looks up the ball of radius one (33 values) around each half. Matches are
+    A multi-index: of bits that differ, at most ``most`` in all, one of ``most // 2 + 1`` segments has one or none:
+    two halves for three bits, three segments for five. So all such pairs are found. Each fingerprint enters the
+    table under all its segments (two at least), and looks up the ball of radius one around each. Matches are
     verified by their complete distance inside the join, so only true links leave it. Pairs have equal values
     in the columns ``within`` and keep them; with ``apart``, a column fixed for each fingerprint, only those that
     differ in it are given.
     """
     extra = [apart] if apart else []
     fp = prints.select(*within, *extra, "fp").distinct()
-    halves = _halves(F.col("fp"))
+    segments = _segments(F.col("fp"), max(2, most // 2 + 1))
     table = fp.select(
         *[F.col(c).alias(f"_{c}") for c in (*within, *extra)], F.col("fp").alias("b"),
-        F.explode(F.array(*[_key(i, h) for i, h in enumerate(halves)])).alias("key"),
+        F.explode(F.array(*[_key(i, s) for i, (s, _) in enumerate(segments)])).alias("key"),
     )
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << bit) for bit in range(HALF)])
-    probes = [_ball(i, h, flips) for i, h in enumerate(halves)]
+    probes = [_ball(i, s, width) for i, (s, width) in enumerate(segments)]
     probe = fp.select(*within, *extra, F.col("fp").alias("a"), F.explode(F.concat(*probes)).alias("key"))
     match = (probe["key"] == table["key"]) & (F.col("a") < F.col("b"))
     for c in within:
@@ -116,7 +120,7 @@ def stars(prints: DataFrame, most: int, within: tuple[str, ...] = ()) -> DataFra
 
     Linear in the number of fingerprints, however many share a half.
     """
-    halves = F.array(*[_key(i, h) for i, h in enumerate(_halves(F.col("fp")))])
+    halves = F.array(*[_key(i, h) for i, (h, _) in enumerate(_segments(F.col("fp"), 2))])
     rows = prints.select(*within, "fp", F.explode(halves).alias("key"))
     ends = rows.groupBy(*within, "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
     ends = cut_lineage(ends.filter("low <> high"), "ends")

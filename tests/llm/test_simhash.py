@@ -131,3 +131,21 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(7, 3), (7, 7), (100, 99)], "a bigint, b bigint")
     found = {r["node"]: r["label"] for r in components(edges).collect()}
     assert found == {**{i: 0 for i in range(61)}, 99: 99, 100: 99}
+
+
+def test_links_of_five_bits_equal_brute_force(spark):
+    rng = random.Random(11)
+    prints = set()
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        prints.add(base)
+        for high, low in ((2, 2), (2, 3), (3, 2), (4, 1), (5, 0), (3, 3), (2, 4), (2, 1)):
+            flips = rng.sample(range(32, 64), high) + rng.sample(range(32), low)
+            prints.add(base ^ sum(1 << bit for bit in flips))
+    signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    frame = spark.createDataFrame([(p,) for p in signed], "fp bigint")
+    for most in (3, 4, 5, 6):
+        found = simhash.links(frame, most).collect()
+        near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= most
+        wanted = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if near(a, b)}
+        assert {(r["a"], r["b"]) for r in found} == wanted and len(found) == len(wanted)

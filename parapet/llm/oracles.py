@@ -149,4 +149,87 @@ from marked left join kept using (rid)
 """
 
 
-ORACLES: dict[str, str] = {"op4_robust_outliers": _robust(), "op6_source_mix": _MIX}
+#: The crc32 of a text in ASCII, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split({0}, ''),
+  lambda ch: list_transform(range(8), lambda i: ((ascii(ch) >> i::int) & 1)::bigint)))),
+  lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
+
+
+def _least(*edits: tuple[str, str, int, str, str]) -> str:
+    """The first of the edits ``(condition, letter, cost, line, state after)`` by cost, then letters."""
+    found = ", ".join(
+        f"{{'cost': {then}.cost + {cost} + (case when {can} then 0 else 1000000 end),"
+        f" 'audit': '{letter}' || {then}.audit, 'lines': {line} || {then}.lines}}"
+        for can, letter, cost, line, then in edits
+    )
+    return f"list_sort([{found}])[1]"
+
+
+def _turn_edits(state: int) -> str:
+    gone, stays = "fault in ('blank', 'duplicate')", "(fault = 'truncated')::int"
+    after = {0: 2, 1: 2, 2: 3, 3: 2}[state]
+    role = {2: "user", 3: "assistant"}[after]
+    edits = [
+        ("true", "D", 3, "''", f"s{state}"),
+        (f"not {gone}", "R", f"2 + {stays}", f"chr(10) || '{role}:' || text", f"s{after}"),
+        (f"not {gone} and left(role, 1) = '{role[0]}'", "K", stays, "chr(10) || role || ':' || text", f"s{after}"),
+    ]
+    if state == 0:
+        edits.append((f"not {gone} and left(role, 1) = 's'", "K", stays, "chr(10) || role || ':' || text", "s1"))
+    return _least(*edits)
+
+
+_END = "{{'cost': {}::bigint, 'audit': '{}', 'lines': {}}}"
+
+_CONVERSATIONS = f"""
+with recursive coded as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {_CRC32.format("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as c
+  from conversations
+), hurt as (
+  select conv_id, turn, case when c = 4 then 'user' else role end as role,
+    case when c = 1 then '' when c = 2 then translate(text, '.!?', '') else text end as text
+  from coded, unnest(case when c = 0 then [] when c = 3 then [1, 2] else [1] end) as u(copy)
+), told as (
+  select *, row_number() over (partition by conv_id, role, text order by turn nulls first) as seen from hurt
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, seen) as n from told
+), marked as (
+  select *, coalesce(case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank' when seen > 1 then 'duplicate'
+      when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') then 'truncated' end, '') as fault,
+    lag(left(role, 1)) over (partition by conv_id order by n) as before
+  from placed
+), counted as (
+  select conv_id, max(n) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count_if(fault = 'blank') as blank, count_if(fault = 'duplicate') as duplicate,
+    count_if(fault = 'truncated') as truncated,
+    count_if(before || left(role, 1) not in ('su', 'ua', 'au')) as illegal
+  from marked group by conv_id
+), steps as (
+  select conv_id, n, {_END.format(0, "", "''")} as s0,
+    {_END.format(4, "II", "chr(10) || 'user:' || chr(10) || 'assistant:'")} as s1,
+    {_END.format(2, "I", "chr(10) || 'assistant:'")} as s2, {_END.format(0, "", "''")} as s3
+  from counted
+  union all
+  select conv_id, n,
+    {_least(("true", "", 0, "''", "b0"), ("true", "I", 2, "chr(10) || 'user:'", "b2"))},
+    {_least(("true", "", 0, "''", "b1"), ("true", "I", 2, "chr(10) || 'user:'", "b2"))},
+    {_least(("true", "", 0, "''", "b2"), ("true", "I", 2, "chr(10) || 'assistant:'", "b3"))},
+    {_least(("true", "", 0, "''", "b3"), ("true", "I", 2, "chr(10) || 'user:'", "b2"))}
+  from (
+    select steps.conv_id, steps.n - 1 as n, {", ".join(f"{_turn_edits(i)} as b{i}" for i in range(4))}
+    from steps join marked on steps.conv_id is not distinct from marked.conv_id and steps.n = marked.n
+  )
+)
+select k.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank,
+  coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(s0.cost, 0)::bigint as cost, coalesce(s0.audit, '') as audit,
+  sha256(substr(coalesce(s0.lines, ''), 2)) as repaired_sha256
+from (select distinct conv_id from conversations) k
+left join counted on k.conv_id is not distinct from counted.conv_id
+left join steps on k.conv_id is not distinct from steps.conv_id and steps.n = 0
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_robust_outliers": _robust(), "op6_source_mix": _MIX, "op11_streamed_repair": _CONVERSATIONS,
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parapet.llm import langid, mixing, neighbours, packing, passages, pseudonyms, quality, sharding, simhash, wrappers
+from parapet.llm import langid, mixing, neighbours, packing, passages, pseudonyms, quality, sharding, simhash, turns, wrappers
 from parapet.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -69,11 +69,16 @@ def op9_repeated_passages(spark, folder):
     return passages.deduplicated(table(spark, folder, "documents"))
 
 
+def op11_streamed_repair(spark, folder):
+    given = table(spark, folder, "conversations")
+    return turns.repaired_conversations(turns.damaged(given), of=given)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hyperdimensional_languages, op2_wrapper_text, op3_ring_shards, op4_robust_outliers,
         op5_simhash_groups, op6_source_mix, op7_projected_neighbours, op8_best_fit_packing,
-        op9_repeated_passages, op10_feistel_pseudonyms,
+        op9_repeated_passages, op10_feistel_pseudonyms, op11_streamed_repair,
     )
 }

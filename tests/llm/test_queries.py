@@ -7,7 +7,7 @@ import __spark_entry__ as entry_points
 from parapet.llm.oracles import ORACLES
 from parapet.llm.queries import QUERIES
 
-TABLES = "documents embeddings pages benchmark labels".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +32,7 @@ def test_query_equals_sql(spark, data, sql, name):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry_points.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 COLUMNS = {

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parapet.llm import langid, mixing, neighbours, packing, passages, pseudonyms, quality, sharding, simhash, turns, wrappers
+from parapet.llm import byte_bpe, langid, mixing, neighbours, packing, passages, pseudonyms, quality, sharding, simhash, turns, wrappers
 from parapet.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -74,11 +75,24 @@ def op11_streamed_repair(spark, folder):
     return turns.repaired_conversations(turns.damaged(given), of=given)
 
 
+def op12_prefix_byte_bpe(spark, folder):
+    from public_tokenizers import PATTERN
+
+    path = tokenizer_path(RANKS)
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, folder, "documents"), path, PATTERN), path)
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hyperdimensional_languages, op2_wrapper_text, op3_ring_shards, op4_robust_outliers,
         op5_simhash_groups, op6_source_mix, op7_projected_neighbours, op8_best_fit_packing,
         op9_repeated_passages, op10_feistel_pseudonyms, op11_streamed_repair,
+        op12_prefix_byte_bpe,
     )
 }

@@ -230,6 +230,46 @@ left join counted on k.conv_id is not distinct from counted.conv_id
 left join steps on k.conv_id is not distinct from steps.conv_id and steps.n = 0
 """
 
+def _nearest(number: int) -> str:
+    """Squared distances to the centroids of a round, and the nearest of each vector."""
+    return f"""near{number} as (
+  select v.rid, arg_min(c.i, d * 64 + c.i) as cluster, min(d) as distance
+  from cells v, centroids{number} c, lateral (
+    select list_sum(list_transform(range(1, 65), lambda j: (v.x[j] - c.x[j]) * (v.x[j] - c.x[j])))::bigint as d
+  )
+  group by v.rid
+)"""
+
+
+def _lloyd(rounds: int = 3) -> str:
+    parts = []
+    for i in range(rounds):
+        parts.append(_nearest(i))
+        parts.append(f"""centroids{i + 1} as (
+  select c.i, coalesce(m.x, c.x) as x from centroids{i} c left join (
+    select cluster, list(mean order by j) as x from (
+      select cluster, j, case when sum(x[j]) >= 0 then sum(x[j])::bigint // count(*) else -((count(*) - 1 - sum(x[j])::bigint) // count(*)) end as mean
+      from near{i} join cells using (rid), range(1, 65) r(j) group by cluster, j
+    ) group by cluster
+  ) m on m.cluster = c.i
+)""")
+    parts.append(_nearest(rounds))
+    return f"""
+with numbered as (select row_number() over () as rid, vec_id, embedding from embeddings), cells as (
+  select rid, vec_id, list_transform(embedding, lambda e: floor(e::double * 64)::bigint) as x from numbered
+  where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is not null and isfinite(e::double))) = 64
+), centroids0 as (
+  select row_number() over (order by sha256('1:' || coalesce(vec_id::varchar, '')), x) - 1 as i, x from cells
+  qualify i < 16
+), {", ".join(parts)}
+select vec_id, cluster::int as cluster, distance,
+  (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia,
+  sha256(array_to_string(centroids{rounds}.x, ',')) as centroid_sha256
+from near{rounds} join cells using (rid) join centroids{rounds} on centroids{rounds}.i = cluster
+"""
+
+
 ORACLES: dict[str, str] = {
     "op4_robust_outliers": _robust(), "op6_source_mix": _MIX, "op11_streamed_repair": _CONVERSATIONS,
+    "op13_sharded_lloyd": _lloyd(),
 }

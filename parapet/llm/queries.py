@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parapet.llm import byte_bpe, langid, mixing, neighbours, packing, passages, pseudonyms, quality, sharding, simhash, turns, wrappers
+from parapet.llm import byte_bpe, langid, lloyd, mixing, neighbours, packing, passages, pseudonyms, quality, sharding, simhash, turns, wrappers
 from parapet.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -87,12 +87,17 @@ def op12_prefix_byte_bpe(spark, folder):
     )
 
 
+def op13_sharded_lloyd(spark, folder):
+    found, centroids = lloyd.cluster(table(spark, folder, "embeddings"), dimension=64)
+    return lloyd.report(found, centroids)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hyperdimensional_languages, op2_wrapper_text, op3_ring_shards, op4_robust_outliers,
         op5_simhash_groups, op6_source_mix, op7_projected_neighbours, op8_best_fit_packing,
         op9_repeated_passages, op10_feistel_pseudonyms, op11_streamed_repair,
-        op12_prefix_byte_bpe,
+        op12_prefix_byte_bpe, op13_sharded_lloyd,
     )
 }

@@ -44,6 +44,11 @@ COLUMNS = {
     "op8_best_fit_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
     "op9_repeated_passages": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op10_feistel_pseudonyms": ["doc_id", "text", "n_values"],
+    "op11_streamed_repair": [
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256",
+    ],
+    "op12_prefix_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op13_sharded_lloyd": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
 }
 
 
@@ -52,7 +57,9 @@ def test_columns(spark, data, name):
     df = QUERIES[name](spark, data)
     assert df.columns == COLUMNS[name]
     table = "pages" if "page_id" in df.columns else "embeddings" if "vec_id" in df.columns else "documents"
-    if name not in ("op7_projected_neighbours", "op8_best_fit_packing"):
+    if name == "op11_streamed_repair":
+        assert df.count() == spark.read.parquet(f"{data}/conversations.parquet").select("conv_id").distinct().count()
+    elif name not in ("op7_projected_neighbours", "op8_best_fit_packing"):
         assert df.count() == spark.read.parquet(f"{data}/{table}.parquet").count()
 
 
@@ -65,6 +72,27 @@ def test_passages_of_given_documents(spark, data):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found} == wanted
 
 
+def test_tokens_of_given_documents(spark, data):
+    """Every document against the tokenizer library."""
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    from parapet.llm.byte_bpe import read_vocabulary
+
+    ranks = read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).ranks
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    wanted = {}
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        text = r["text"] or ""
+        ids = library.encode_ordinary(text)
+        digest = [hashlib.sha256(b).hexdigest() for b in (",".join(map(str, ids)).encode(), text.encode())]
+        wanted[r["doc_id"]] = (len(ids), *digest)
+    found = QUERIES["op12_prefix_byte_bpe"](spark, data).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in found} == wanted
+
+
 def test_recall_of_given_vectors(spark):
     """Whole table at 0.01: at least 0.9 of the true neighbours."""
     import numpy as np

@@ -23,11 +23,12 @@ def test_query_equals_sql(spark, data, sql, name):
     df = QUERIES[name](spark, data)
     result = sql.execute(ORACLES[name])
     names = [c[0] for c in result.description]
-    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "string": "VARCHAR", "int": "INTEGER"}
     assert {n: kinds[k] for n, k in df.dtypes} == {c[0]: str(c[1]) for c in result.description}
     order = sorted(names)
     found = sorted(tuple(r[n] for n in order) for r in df.collect())
-    assert found == sorted(tuple(r[names.index(n)] for n in order) for r in result.fetchall())
+    wanted = sorted(tuple(r[names.index(n)] for n in order) for r in result.fetchall())
+    assert found == wanted
 
 
 def test_all_are_registered():

@@ -1,8 +1,10 @@
+import ahocorasick
 import pytest
 from pyspark.sql import functions as F
 
 from parapet.operators.audit import detect
-from parapet.operators.lexicon_match import builtin_lexicon, match_lexicon
+from parapet.operators import lexicon_match
+from parapet.operators.lexicon_match import GRAM, builtin_lexicon, candidate_grams, match_lexicon
 from parapet.plans.corpus import prompted_turns
 
 
@@ -67,3 +69,97 @@ def test_every_reply_has_its_last_prompt(spark, block):
     for r in rows:
         before = [t for t, role in said if role == "user" and t < r["turn"]]
         assert r["prompt"] == (f"{r['conv_id']}-{before[-1]}" if before else None)
+
+
+def operators(plan):
+    """Every operator of an executed plan, through adaptive stages."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        yield from operators(plan.executedPlan())
+    elif "QueryStage" in name:
+        yield from operators(plan.plan())
+    else:
+        yield plan
+        for i in range(plan.children().size()):
+            yield from operators(plan.children().apply(i))
+
+
+def rows_out(df, name):
+    """Rows that operators of a name gave, largest first, after the frame was run."""
+    found = []
+    for plan in operators(df._jdf.queryExecution().executedPlan()):
+        metrics = plan.metrics()
+        if name in plan.nodeName() and metrics.contains("numOutputRows"):
+            found.append(metrics.apply("numOutputRows").value())
+    return sorted(found, reverse=True)
+
+
+def large_lexicon(spark, many):
+    """Distinct phrases of 3 to 14 letters, few of which occur anywhere."""
+    number = F.md5(F.col("id").cast("string"))
+    phrase = F.lower(F.left(number, (F.col("id") % 12 + 3).cast("int")))
+    rows = spark.range(many).select(F.lit("s").alias("signal"), F.col("id").alias("ord"), phrase.alias("phrase"))
+    return rows.groupBy("signal", "phrase").agg(F.min("ord").alias("ord")).filter(F.length("phrase") >= 5)
+
+
+def test_only_candidates_leave_the_task(spark, data):
+    documents = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    rows = documents.withColumn("_row", F.col("doc_id"))
+    words = F.explode(F.split(F.lower("text"), "[^\\p{L}]+"))
+    rare = documents.filter("doc_id < 40").select(words.alias("phrase")).filter("length(phrase) >= 9").distinct()
+    lexicon = rare.withColumn("_gram", F.left("phrase", F.lit(GRAM)))
+    found = candidate_grams(rows, lexicon, "text")
+    kept = [tuple(r) for r in found.collect()]
+    grams = {r["_gram"] for r in lexicon.collect()}
+    true = [(i, g) for i, g in kept if g in grams]
+    texts = {r["doc_id"]: (r["text"] or "").lower() for r in documents.collect()}
+    wanted = {(i, t[j : j + GRAM]) for i, t in texts.items() for j in range(len(t)) if t[j : j + GRAM] in grams}
+    assert set(true) == wanted and len(true) == len(wanted)
+    letters = sum(len(t) for t in texts.values())
+    assert rows_out(found, "Generate")[0] > 0.9 * letters  # all grams are made
+    shuffled = sum(p.metrics().apply("shuffleRecordsWritten").value() for p in operators(found._jdf.queryExecution().executedPlan()) if p.nodeName() == "Exchange")
+    assert shuffled < 1.5 * len(wanted) + 0.03 * letters  # a bit in 64 is set
+
+
+def test_hundred_thousand_phrases(spark):
+    lexicon = large_lexicon(spark, 140_000)
+    phrases = {r["phrase"]: r["ord"] for r in lexicon.collect()}
+    assert len(phrases) > 100_000
+    some = sorted(phrases)[::900]
+    texts = [f"... {p[:4]} {p} {p[1:]}x".upper() for p in some] + ["nothing here", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = matches(match_lexicon(df, lexicon))
+    automaton = ahocorasick.Automaton()
+    for phrase, place in phrases.items():
+        automaton.add_word(phrase, (place, phrase))
+    automaton.make_automaton()
+    for i, text in enumerate(texts):
+        best = min((hit for _, hit in automaton.iter((text or "").lower())), default=None)
+        assert got[i] == ([("s", *best)] if best else [])
+
+
+def test_long_text_is_cut_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(lexicon_match, "PIECE", 16)
+    lexicon = spark.createDataFrame([("s", i, p) for i, p in enumerate(["needle in hay", "ende", "ßtraß"])], "signal string, ord bigint, phrase string")
+    texts = [("x" * i + p + "y" * (i % 7)) for i in range(40) for p in ("Needle in Hay", "needle inhay", "ßtraß")]
+    got = matches(match_lexicon(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), lexicon, compiled=0))
+    for i, text in enumerate(texts):
+        assert [m[2] for m in got[i]] == [p for p in ("needle in hay", "ßtraß") if p in text.lower()]
+
+
+def test_empty_lexicon(spark):
+    lexicon = spark.createDataFrame([("s", 1, "")], "signal string, ord bigint, phrase string")
+    df = spark.createDataFrame([(1, "a"), (2, None)], "i int, text string")
+    assert matches(match_lexicon(df, lexicon, compiled=0)) == matches(match_lexicon(df, lexicon)) == {1: [], 2: []}
+
+
+def test_searches_are_not_copied_into_filters(spark, data):
+    """No search below the projection that lowers the text, and each only once."""
+    documents = spark.read.parquet(f"{data}/documents.parquet")
+    matched = match_lexicon(documents, builtin_lexicon(spark)).select("doc_id", F.inline("matches"))
+    plan = matched._jdf.queryExecution().optimizedPlan().toString()
+    before = plan.split("Generate explode(array(_matches")[-1]
+    assert plan.count("Contains(") == before.count("Contains(") or "Contains(" not in plan
+    searches = len(builtin_lexicon(spark).collect())
+    assert plan.count("Contains") <= searches
+    assert not any("Filter" in line and "Contains" in line for line in plan.splitlines())

@@ -76,18 +76,55 @@ def latency_percentiles(
     The sample is a per-task top-k, so only ``sample`` rows ever meet in one task.
     The rank is ``(n - 1) * ratio`` rounded half to even.
     """
-    ratios = ratios or {"latency_ms_p50": 0.50, "latency_ms_p95": 0.95}
     newest = log.orderBy(F.desc(time), F.desc(order)).limit(sample).select(value)
-    ranked = newest.agg(F.sort_array(F.collect_list(value)).alias("v"))
+    return _picked(newest.agg(F.sort_array(F.collect_list(value)).alias("v")), ratios, [])
+
+
+def _picked(ranked: DataFrame, ratios: dict[str, float] | None, keys: list[str]) -> DataFrame:
+    ratios = ratios or {"latency_ms_p50": 0.50, "latency_ms_p95": 0.95}
 
     def at(ratio: float) -> Column:
         return F.get("v", F.rint((F.size("v") - 1) * F.lit(ratio)).cast("int"))
 
     # picked first, as the rounding mentions its argument many times
-    picked = ranked.select(*[at(r).alias(n) for n, r in ratios.items()])
+    picked = ranked.select(*keys, *[at(r).alias(n) for n, r in ratios.items()])
     return picked.select(
-        *[F.coalesce(fixed(F.col(n), 2).cast("double"), F.lit(0.0)).alias(n) for n in ratios]
+        *keys, *[F.coalesce(fixed(F.col(n), 2).cast("double"), F.lit(0.0)).alias(n) for n in ratios]
+    )
+
+
+# Tasks' shares of one key's newest rows meet in so many groups first.
+_SHARES = 256
+
+
+def latency_percentiles_by(
+    log: DataFrame,
+    keys: tuple[str, ...] = ("path",),
+    ratios: dict[str, float] | None = None,
+    sample: int = LATENCY_SAMPLE,
+    time: str = "ts",
+    order: str = "event_id",
+    value: str = "latency_ms",
+) -> DataFrame:
+    """``latency_percentiles`` of each service or path: over its own newest ``sample`` requests.
+
+    A task gives at most ``sample`` rows of a key to the shuffle (the group limit below the exchange). As a key
+    with a third of all rows sends that many from every task, the shares of some tasks meet
+    before those of all: no group grows with the number of rows, and only by ``_SHARES`` with that of tasks.
+    """
+    conf = log.sparkSession.conf
+    limit = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(conf.get(limit)) < sample:  # above it Spark would cut groups behind the shuffle only
+        conf.set(limit, sample)
+    rows = log.select(
+        *keys, F.col(time).alias("_time"), F.col(order).alias("_order"), F.col(value).alias("_value"),
+        (F.spark_partition_id() % _SHARES).alias("_share"),
     )
+    for group in ([*keys, "_share"], list(keys)):
+        newest = Window.partitionBy(*group).orderBy(F.desc("_time"), F.desc("_order"))
+        rows = rows.withColumn("_place", F.row_number().over(newest)).filter(F.col("_place") <= sample).drop("_place")
+    known = F.when(~F.isnan(F.col("_value").cast("double")), F.col("_value"))
+    return _picked(rows.groupBy(*keys).agg(F.sort_array(F.collect_list(known)).alias("v")), ratios, list(keys))
 
 
 def percentiles_of_all(

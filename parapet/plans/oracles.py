@@ -538,15 +538,15 @@ _add(
 
 
 
-def _quota(condition: str = "true") -> str:
+def _quota(condition: str = "true", seconds: int = 86400) -> str:
     """CTE ``w``: every request that meets the condition with its window start and position."""
     return f"""WITH RECURSIVE r AS (SELECT user_id, event_id, ts,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
     WHERE {condition}),
   w AS (SELECT user_id, event_id, ts, i, ts AS start, 1::BIGINT AS n FROM r WHERE i = 1
     UNION ALL SELECT r.user_id, r.event_id, r.ts, r.i,
-      CASE WHEN r.ts - w.start >= INTERVAL 86400 SECONDS THEN r.ts ELSE w.start END,
-      CASE WHEN r.ts - w.start >= INTERVAL 86400 SECONDS THEN 1 ELSE w.n + 1 END
+      CASE WHEN r.ts - w.start >= INTERVAL {seconds} SECONDS THEN r.ts ELSE w.start END,
+      CASE WHEN r.ts - w.start >= INTERVAL {seconds} SECONDS THEN 1 ELSE w.n + 1 END
     FROM w JOIN r ON r.user_id = w.user_id AND r.i = w.i + 1)"""
 
 
@@ -693,3 +693,34 @@ _add(
       count(*) AS count, count(*) FILTER (flagged) AS flagged,
       round(avg(toxicity_score), 6) AS avg_toxicity FROM audited GROUP BY audit_date""",
 )
+
+_PATHS = """paths AS (SELECT '/' || event_type AS path, value AS v FROM events
+  QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 2000),
+ranks AS (SELECT path, v, row_number() OVER (PARTITION BY path ORDER BY v) - 1 AS i,
+  count(*) OVER (PARTITION BY path) AS n FROM paths)"""
+
+
+def _at(ratio: float) -> str:
+    place = f"round_even((n - 1)::DOUBLE * {ratio}, 0)::BIGINT"
+    return f"printf('%.2f', max(v) FILTER (i = {place}))::DOUBLE"
+
+
+_BY_PATH = f"""WITH {_PATHS} SELECT path, {_at(0.50)} AS latency_ms_p50, {_at(0.95)} AS latency_ms_p95
+  FROM ranks GROUP BY path"""
+_add(
+    latency_percentiles_by_path=_BY_PATH,
+    stream_latency=_BY_PATH,
+    stream_jobs=ORACLES["job_latest"],
+    stream_job_counts=f"""{_JOBS}, left_ AS (SELECT status FROM jobs WHERE finished_at IS NULL
+        OR epoch_ms(finished_at) + 1 + 86400000 > (SELECT epoch_ms(max(ts)) - 60000 FROM updates))
+      SELECT count(*) FILTER (status = 'queued') AS queued,
+      count(*) FILTER (status = 'processing') AS processing,
+      count(*) FILTER (status = 'completed') AS completed,
+      count(*) FILTER (status = 'failed') AS failed FROM left_""",
+    stream_quota_live=f"""{_quota(seconds=3600)}, last AS (SELECT user_id, max(i) AS i FROM w GROUP BY user_id)
+      SELECT user_id::VARCHAR AS identity, strftime(start, {_STAMP}) AS start, n AS seen
+      FROM w JOIN last USING (user_id, i)
+      WHERE start + INTERVAL 3 HOURS > (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 MINUTE""",
+    stream_overview=ORACLES["metrics_overview"],
+    stream_risk_counts=ORACLES["risk_counts"],
+)

@@ -39,6 +39,10 @@ from parapet.session import cut_lineage, shared_folder
 from parapet.sources import readers as rd
 from parapet.sources import writers as wr
 from parapet.streaming import ingest as si
+from parapet.streaming import jobs as sj
+from parapet.streaming import latency as sl
+from parapet.streaming import totals as st
+from parapet.streaming.quota import live_windows
 from parapet.streaming.quota import stream_quota as quota_stream
 from parapet.streaming.volume import daily_totals
 
@@ -832,6 +836,11 @@ def latency_percentiles(spark, folder):
     return rq.latency_percentiles(cp.requests(spark, folder))
 
 
+@query
+def latency_percentiles_by_path(spark, folder):
+    return rq.latency_percentiles_by(cp.requests(spark, folder))
+
+
 @query
 def latency_percentiles_all(spark, folder):
     return rq.percentiles_of_all(cp.requests(spark, folder))
@@ -1177,3 +1186,77 @@ def stream_daily(spark, folder):
     )
     final = newest.select(day_text("day"), "u.count", "u.flagged", "u.avg_toxicity")
     return rounded(final, "avg_toxicity")
+
+
+def drained(rows: DataFrame, state: str, mode: str) -> None:
+    """Run a stream whose answer is its state."""
+    writer = rows.writeStream.format("noop").option("checkpointLocation", state).outputMode(mode)
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+@query
+def stream_latency(spark, folder):
+    state = shared_folder(spark, "state")
+    drained(sl.stream_latencies(event_stream(spark, folder)), state, "update")
+    return sl.read_latencies(spark, state)
+
+
+def job_ledger(spark, folder, **options) -> DataFrame:
+    """The ledger after a replay of all updates in three parts, from one checkpoint, in order of time."""
+    state, source = shared_folder(spark, "state"), shared_folder(spark, "updates")
+    updates = cp.job_updates(spark, folder)
+    for low, high in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2025-01-01")):
+        part = updates.filter((F.col("ts") >= F.lit(low).cast("timestamp")) & (F.col("ts") < F.lit(high).cast("timestamp")))
+        part.write.mode("append").parquet(source)
+        stream = si.read_parquet_stream(spark, source, updates.schema)
+        drained(sj.stream_jobs(stream, **options), state, "update")
+    return sj.read_ledger(spark, state)
+
+
+@query
+def stream_jobs(spark, folder):
+    """Equal to ``job_latest``: no job ends long enough ago to be forgotten."""
+    jobs = job_ledger(spark, folder, ttl_seconds=100 * DAY_SECONDS)
+    times = ("submitted_at", "started_at", "finished_at", "updated_at")
+    return jobs.select("job_id", "status", *[stamp(c) for c in times], "error")
+
+
+@query
+def stream_job_counts(spark, folder):
+    """Jobs by status that are left of one pass, a day after they ended."""
+    state = shared_folder(spark, "state")
+    updates = cp.job_updates(spark, folder)
+    path = shared_folder(spark, "updates")
+    updates.write.parquet(path)
+    stream = si.read_parquet_stream(spark, path, updates.schema)
+    drained(sj.stream_jobs(stream, ttl_seconds=DAY_SECONDS), state, "update")
+    return rq.job_status_counts(sj.read_ledger(spark, state))
+
+
+@query
+def stream_quota_live(spark, folder):
+    """The clients whose windows are left after the log was replayed."""
+    state = shared_folder(spark, "state")
+    verdicts = quota_stream(event_stream(spark, folder), QUOTA_LIMIT, 3600, evict=True)
+    drained(verdicts, state, "append")
+    return live_windows(spark, state).select("identity", stamp("start"), "seen")
+
+
+def running_totals(spark, folder) -> DataFrame:
+    path, state = shared_folder(spark, "totals"), shared_folder(spark, "state")
+    st.keep_totals(cp.audit_seeded(document_stream(spark, folder)), path, state).awaitTermination()
+    return st.read_totals(spark, path)
+
+
+@query
+def stream_overview(spark, folder):
+    row = st.running_overview(running_totals(spark, folder), cp.audited(spark, folder), cp.AS_OF)
+    return rounded(
+        row, "avg_toxicity", "refusal_rate", "self_harm_rate", "jailbreak_rate", "bias_rate",
+        "pii_rate", "flagged_rate",
+    )
+
+
+@query
+def stream_risk_counts(spark, folder):
+    return st.running_counts(running_totals(spark, folder))

@@ -6,6 +6,7 @@ from parapet.operators.audit import detect
 from parapet.operators import lexicon_match
 from parapet.operators.lexicon_match import GRAM, builtin_lexicon, candidate_grams, match_lexicon
 from parapet.plans.corpus import prompted_turns
+from tests.plans import metric_values, total_of
 
 
 def matches(df):
@@ -71,29 +72,6 @@ def test_every_reply_has_its_last_prompt(spark, block):
         assert r["prompt"] == (f"{r['conv_id']}-{before[-1]}" if before else None)
 
 
-def operators(plan):
-    """Every operator of an executed plan, through adaptive stages."""
-    name = plan.getClass().getSimpleName()
-    if name == "AdaptiveSparkPlanExec":
-        yield from operators(plan.executedPlan())
-    elif "QueryStage" in name:
-        yield from operators(plan.plan())
-    else:
-        yield plan
-        for i in range(plan.children().size()):
-            yield from operators(plan.children().apply(i))
-
-
-def rows_out(df, name):
-    """Rows that operators of a name gave, largest first, after the frame was run."""
-    found = []
-    for plan in operators(df._jdf.queryExecution().executedPlan()):
-        metrics = plan.metrics()
-        if name in plan.nodeName() and metrics.contains("numOutputRows"):
-            found.append(metrics.apply("numOutputRows").value())
-    return sorted(found, reverse=True)
-
-
 def large_lexicon(spark, many):
     """Distinct phrases of 3 to 14 letters, few of which occur anywhere."""
     number = F.md5(F.col("id").cast("string"))
@@ -116,8 +94,8 @@ def test_only_candidates_leave_the_task(spark, data):
     wanted = {(i, t[j : j + GRAM]) for i, t in texts.items() for j in range(len(t)) if t[j : j + GRAM] in grams}
     assert set(true) == wanted and len(true) == len(wanted)
     letters = sum(len(t) for t in texts.values())
-    assert rows_out(found, "Generate")[0] > 0.9 * letters  # all grams are made
-    shuffled = sum(p.metrics().apply("shuffleRecordsWritten").value() for p in operators(found._jdf.queryExecution().executedPlan()) if p.nodeName() == "Exchange")
+    assert max(metric_values(found, "Generate", "numOutputRows")) > 0.9 * letters  # all grams are made
+    shuffled = total_of(found, "Exchange", "shuffleRecordsWritten")
     assert shuffled < 1.5 * len(wanted) + 0.03 * letters  # a bit in 64 is set
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -126,6 +128,19 @@ def audited(spark: SparkSession, folder: str) -> DataFrame:
     return read_audit_table(spark, _tables[key])
 
 
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def index_of(spark: SparkSession, folder: str, write: Callable[[DataFrame, str], None]) -> str:
+    """The folder of an index over the stored audit table, written once per application."""
+    key = (spark.sparkContext.applicationId, folder, write.__name__)
+    if key not in _indexes:
+        path = shared_folder(spark, "index")
+        write(audited(spark, folder), path)
+        _indexes[key] = path
+    return _indexes[key]
+
+
 def with_labels(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """Add evaluation labels by ``id``: the prefix rule, and ``labels.toxic``."""
     toxic = table(spark, folder, "labels").select(F.col("doc_id").alias("id"), "toxic")

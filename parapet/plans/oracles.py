@@ -724,3 +724,19 @@ _add(
     stream_overview=ORACLES["metrics_overview"],
     stream_risk_counts=ORACLES["risk_counts"],
 )
+
+
+def _last_page(condition: str) -> str:
+    return f"""{AUDITED}, chosen AS (SELECT id, timestamp FROM audited WHERE {condition})
+      SELECT id, timestamp FROM chosen {_NEWEST}
+      LIMIT 25 OFFSET (SELECT greatest(0, (count(*) // 25 - 1) * 25) FROM chosen)"""
+
+
+_add(
+    list_page_deep=_last_page("true"),
+    list_page_deep_flagged=_last_page("flagged"),
+    search_indexed=f"""{AUDITED} SELECT id FROM audited
+      WHERE lower(input_text) LIKE '%or else [redacted_phone]%keys%'
+      OR lower(output_text) LIKE '%or else [redacted_phone]%keys%'""",
+    search_regex_indexed=ORACLES["board_regex"],
+)

@@ -20,7 +20,9 @@ from parapet.operators import incidents as inc
 from parapet.operators import listing as ls
 from parapet.operators import metrics as mt
 from parapet.operators import normalize as nz
+from parapet.operators import paging as pg
 from parapet.operators import requests as rq
+from parapet.operators import text_index as ti
 from parapet.operators.filters import (
     AuditFilter,
     BoardFilter,
@@ -504,6 +506,24 @@ def filter_search(spark, folder):
         spark, folder, redact_pii=False)).select("id")
 
 
+def signature_index(spark, folder) -> DataFrame:
+    return ti.read_signatures(spark, cp.index_of(spark, folder, ti.write_signatures))
+
+
+@query
+def search_indexed(spark, folder):
+    table = cp.audited(spark, folder)
+    found = ti.find_like(table, signature_index(spark, folder), "or ELSE [redacted_phone]%keys")
+    return found.select("id")
+
+
+@query
+def search_regex_indexed(spark, folder):
+    table = cp.audited(spark, folder)
+    found = ti.find_regex(table, signature_index(spark, folder), "(REDACTED_PHONE|lazy and)")
+    return found.select("id")
+
+
 @query
 def filter_all_tags(spark, folder):
     return AuditFilter(tag=" en , demo").apply(cp.audited(spark, folder)).select(
@@ -713,6 +733,23 @@ def list_page_after(spark, folder):
     return rows.select("id", "timestamp")
 
 
+def last_full_page(spark, folder, flagged: bool) -> DataFrame:
+    """The last page of 25 rows, found by the index of row counts."""
+    index = pg.read_page_index(spark, cp.index_of(spark, folder, pg.write_page_index))
+    number = max(1, pg.page_total(index, flagged) // 25)
+    return pg.page_at(cp.audited(spark, folder), index, number, 25, flagged).select("id", "timestamp")
+
+
+@query
+def list_page_deep(spark, folder):
+    return last_full_page(spark, folder, False)
+
+
+@query
+def list_page_deep_flagged(spark, folder):
+    return last_full_page(spark, folder, True)
+
+
 @query
 def list_page_rows(spark, folder):
     table = cp.audited(spark, folder)

@@ -13,6 +13,14 @@ from parapet.session import cut_lineage
 from parapet.sources.readers import read_audit_table
 
 
+#: Columns that rows are looked up by; each row group says by a Bloom filter which of their values it may hold.
+LOOKUP_COLUMNS = ("id", "request_id", "user_id")
+_BLOOM = {
+    "parquet.bloom.filter.adaptive.enabled": "true",  # as small as the values of a row group allow
+    **{f"parquet.bloom.filter.enabled#{name}": "true" for name in LOOKUP_COLUMNS},
+}
+
+
 def write_audit_table(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append audited rows to the table, partitioned by day.
 
@@ -24,6 +32,7 @@ def write_audit_table(df: DataFrame, path: str, mode: str = "append") -> None:
         df.hint("rebalance", F.col("audit_date"))
         .sortWithinPartitions("audit_date", "timestamp")
         .write.mode(mode)
+        .options(**_BLOOM)
         .partitionBy("audit_date")
         .parquet(path)
     )
@@ -54,6 +63,7 @@ def write_day_batches(rows: DataFrame, path: str, batch: int) -> None:
         .sortWithinPartitions("audit_date", "timestamp")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .options(**_BLOOM)
         .partitionBy("audit_date", "batch_id")
         .parquet(path)
     )

@@ -739,4 +739,5 @@ _add(
       WHERE lower(input_text) LIKE '%or else [redacted_phone]%keys%'
       OR lower(output_text) LIKE '%or else [redacted_phone]%keys%'""",
     search_regex_indexed=ORACLES["board_regex"],
+    model_scores_staged=ORACLES["model_scores"],
 )

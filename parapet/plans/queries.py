@@ -173,6 +173,16 @@ def model_scores(spark, folder):
     )
 
 
+@query
+def model_scores_staged(spark, folder):
+    """The same scores from a stage of their own, texts batched by length."""
+    documents = cp.spread(cp.table(spark, folder, "documents")).select("doc_id", "text")
+    found = scoring.scored_table(documents, letter_model, "text")
+    return found.select(
+        "doc_id", F.round("score", 6).alias("toxicity_score"), F.col("failed").alias("score_failed")
+    )
+
+
 @query
 def analyze_output(spark, folder):
     documents = cp.spread(cp.table(spark, folder, "documents"))
@@ -1156,7 +1166,7 @@ def stream_audit(spark, folder):
     return rows.select("id", "timestamp", digest("output_text"), "flagged", joined("risk_labels"))
 
 
-def ingested(spark, folder) -> tuple[str, str, str]:
+def ingested(spark, folder) -> tuple[str, str, str, str]:
     source, table = shared_folder(spark, "source"), shared_folder(spark, "table")
     bad, state = shared_folder(spark, "bad"), shared_folder(spark, "state")
     rows = blanked(spark, folder).select("id", *rd.CONVERSATION_FIELDS)
@@ -1165,30 +1175,30 @@ def ingested(spark, folder) -> tuple[str, str, str]:
     cut = F.when(F.col("id") % 11 == 0, F.expr("left(value, length(value) - 2)"))
     lines.select(F.coalesce(cut, F.col("value")).alias("value")).write.text(source)
     stream = si.read_json_stream(spark, source, glob="part-*", quarantine=True)
-    jobs = shared_folder(spark, "jobs")
-    si.ingest(stream, table, bad, state, jobs=jobs).awaitTermination()
-    return table, bad, jobs
+    jobs, commits = shared_folder(spark, "jobs"), shared_folder(spark, "commits")
+    si.ingest(stream, table, bad, state, jobs=jobs, commits=commits).awaitTermination()
+    return table, bad, jobs, commits
 
 
 @query
 def stream_ingest(spark, folder):
-    table, _, _ = ingested(spark, folder)
-    rows = si.read_ingested(spark, table)
+    table, _, _, commits = ingested(spark, folder)
+    rows = si.read_ingested(spark, table, commits)
     return rows.select("request_id", "input_text", digest("output_text"), joined("risk_labels"))
 
 
 @query
 def stream_quarantine(spark, folder):
-    _, bad, _ = ingested(spark, folder)
-    rows = spark.read.schema("reject_reason string").json(bad)
+    _, bad, _, commits = ingested(spark, folder)
+    rows = si.read_rejected(spark, bad, commits)
     return rows.groupBy("reject_reason").agg(F.count("*").alias("count"))
 
 
 @query
 def ingest_jobs(spark, folder):
     """The last state of each ingested row's job."""
-    _, _, jobs = ingested(spark, folder)
-    updates = si.read_jobs(spark, jobs)
+    _, _, jobs, commits = ingested(spark, folder)
+    updates = si.read_jobs(spark, jobs, commits)
     last = updates.groupBy("job_id").agg(F.max_by(F.struct("status", "error"), "seq").alias("u"))
     return last.groupBy("u.status", "u.error").agg(F.count("*").alias("count"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from parapet.functions.scoring import Scorer, no_score
 from parapet.lexicon import TOXICITY_THRESHOLD
 from parapet.operators.audit import audit
 from parapet.operators.normalize import dense_numbers, to_conversations, with_reject_reason
-from parapet.schemas import RAW_CONVERSATION_SCHEMA
+from parapet.schemas import AUDIT_SCHEMA, RAW_CONVERSATION_SCHEMA
 from parapet.session import cut_lineage
 from parapet.sources.readers import read_audit_table
 from parapet.sources.writers import write_day_batches
@@ -98,6 +99,7 @@ def ingest(
     redact_pii: bool = True,
     once: bool = True,
     jobs: str | None = None,
+    commits: str | None = None,
 ) -> StreamingQuery:
     """Audit valid rows into ``table`` and append rejected ones, with reason, to ``quarantine``.
 
@@ -107,9 +109,15 @@ def ingest(
     their place. With ``jobs``, each row leaves job updates there: ``processing``, then
     ``completed`` with the audit id, or ``failed`` with the reason; the job is the request id,
     or else the row's id.
+
+    With ``commits``, a folder, the three places are one commit: a batch counts once its number stands there, which
+    is written last. Readers that are given the folder see all of a batch or nothing of it, whatever was
+    written before a crash; a batch that was committed is not written again.
     """
 
     def run(batch: DataFrame, number: int) -> None:
+        if commits and number <= last_commit(batch.sparkSession, commits):
+            return  # Spark repeats a batch whose end it had not noted
         shaped = to_conversations(batch).withColumn("_row", F.monotonically_increasing_id())
         # shaped rows are stored once: ids and both sinks must see the same ones
         stored = cut_lineage(with_reject_reason(by_day(shaped)), "ingest")
@@ -125,6 +133,8 @@ def ingest(
         rejected.write.mode("overwrite").json(os.path.join(quarantine, folder))
         if jobs:
             job_updates(stored, number).write.mode("overwrite").parquet(os.path.join(jobs, folder))
+        if commits:
+            commit(batch.sparkSession, commits, number)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -153,11 +163,49 @@ def job_updates(rows: DataFrame, batch: int) -> DataFrame:
     )
 
 
-def read_ingested(spark: SparkSession, table: str) -> DataFrame:
-    """The table that ``ingest`` wrote."""
-    return read_audit_table(spark, table)
+_COMMIT = "batch_id bigint"
+
+
+def commit(spark: SparkSession, commits: str, number: int) -> None:
+    """Note that a batch is complete; a folder of its own, so that a repeat leaves one note."""
+    one = spark.range(1).select(F.lit(number).cast("bigint").alias("batch"))
+    one.write.mode("overwrite").parquet(os.path.join(commits, f"batch_id={number}"))
+
+
+def last_commit(spark: SparkSession, commits: str) -> int:
+    """The number of the last complete batch, -1 for none. Batches are taken in turn: all up to it are complete."""
+    try:
+        found = spark.read.schema(f"batch bigint, {_COMMIT}").parquet(commits)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return -1
+        raise
+    last = found.agg(F.max("batch")).first()[0]
+    return -1 if last is None else last
+
 
+def _complete(rows: DataFrame, commits: str | None) -> DataFrame:
+    """Rows of complete batches; the others' folders are not read."""
+    return rows.filter(F.col("batch_id") <= last_commit(rows.sparkSession, commits)) if commits else rows
 
-def read_jobs(spark: SparkSession, jobs: str) -> DataFrame:
+
+def read_ingested(spark: SparkSession, table: str, commits: str | None = None) -> DataFrame:
+    """The table that ``ingest`` wrote; with ``commits``, its complete batches."""
+    if commits is None:
+        return read_audit_table(spark, table)
+    rows = spark.read.schema(T.StructType([*AUDIT_SCHEMA.fields, T.StructField("batch_id", T.LongType())])).parquet(table)
+    return _complete(rows, commits).drop("batch_id")
+
+
+def read_jobs(spark: SparkSession, jobs: str, commits: str | None = None) -> DataFrame:
     """The job updates that ``ingest`` wrote."""
-    return spark.read.schema(JOB_SCHEMA).parquet(jobs)
+    if commits is None:
+        return spark.read.schema(JOB_SCHEMA).parquet(jobs)
+    return _complete(spark.read.schema(f"{JOB_SCHEMA}, {_COMMIT}").parquet(jobs), commits).drop("batch_id")
+
+
+def read_rejected(spark: SparkSession, quarantine: str, commits: str | None = None) -> DataFrame:
+    """The rows that ``ingest`` set aside, with ``reject_reason``."""
+    fields = [*RAW_CONVERSATION_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())]
+    schema = T.StructType([*fields, T.StructField("reject_reason", T.StringType()), T.StructField("batch_id", T.LongType())])
+    return _complete(spark.read.schema(schema).json(quarantine), commits).drop("batch_id")

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from parapet.functions import scoring
 from parapet.functions.scoring import model_result, model_score, stored_score
 from parapet.functions.text import fixed
 from parapet.operators import audit as au
@@ -154,3 +155,57 @@ def test_small_scans_are_spread(spark, data):
 def test_result_view(spark):
     view = au.result_view(au.audit(numbered(spark, [("x", "hi")])))
     assert len(view.columns) == 14 and view.first()["record_id"] == 0
+
+
+def test_batches_by_length_are_bounded():
+    lengths = [5, 1, 300, 7, 7, 2, 0, 90, 3, 1000]
+    batches = list(scoring.length_batches(lengths, most_chars=100, most_texts=4))
+    assert sorted(i for b in batches for i in b) == list(range(10))
+    for batch in batches:
+        padded = max(lengths[i] for i in batch) * len(batch)
+        assert len(batch) <= 4 and (padded <= 100 or len(batch) == 1)
+    assert list(scoring.length_batches([])) == []
+
+
+@pytest.mark.parametrize("held", [1, 500, 10**7])
+def test_staged_scores_are_bounded_and_load_once(spark, tmp_path, held):
+    """One load a task, batches within their letters, rows in their old order, results as from the expression."""
+    log = str(tmp_path / "log")
+
+    def load():
+        import os
+        import uuid
+
+        name = os.path.join(log, uuid.uuid4().hex)
+        os.makedirs(log, exist_ok=True)
+        open(name, "a").close()
+
+        def score(texts):
+            with open(name, "a") as out:
+                out.write(f"{len(texts)} {max(map(len, texts))} {sum(map(len, texts))}\n")
+            if any("bad" in t for t in texts):
+                raise ValueError("bad")
+            return [len(t) / 1000 for t in texts]
+
+        return score
+
+    rows = [(i, None if i % 17 == 0 else " " if i % 13 == 0 else ("bad " if i % 11 == 0 else "") + "x" * (i * 37 % 400)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, `a.b` string").selectExpr("*", "1 as c0", "2 as score").repartition(3).cache()
+    found = scoring.scored_table(df, load, "a.b", most_chars=900, held_chars=held).withColumn("part", F.spark_partition_id())
+    got = found.collect()
+    files = list((tmp_path / "log").iterdir())
+    assert len(files) == len({r["part"] for r in got})
+    for name in files:
+        for n, longest, total in (map(int, line.split()) for line in name.read_text().splitlines()):
+            assert n == 1 or n * longest <= 900
+    plain = df.select("id", scoring.model_result(load)(F.col("`a.b`")).alias("r")).collect()
+    assert {r["id"]: (r["score"], r["failed"]) for r in got} == {r["id"]: tuple(r["r"]) for r in plain}
+    order = df.withColumn("part", F.spark_partition_id()).collect()
+    assert [r["id"] for r in got] == [r["id"] for r in order]
+    assert found.columns == ["id", "a.b", "c0", "score", "failed", "part"]
+    df.unpersist()
+
+
+def test_profile_of_another_kind_of_executor():
+    profile = scoring.accelerators(gpus=2, cores=8)
+    assert profile.executorResources["gpu"].amount == 2 and profile.taskResources["gpu"].amount == 1

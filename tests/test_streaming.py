@@ -329,3 +329,40 @@ def test_totals_of_nothing(spark, tmp_path):
     totals = st.read_totals(spark, str(tmp_path / "t"))
     assert st.running_overview(totals, rows, "2024-01-01T00:00:00").first() == mt.overview(rows, "2024-01-01T00:00:00").first()
     assert st.running_counts(totals).collect() == []
+
+
+@pytest.mark.parametrize("place", ["table", "quarantine", "jobs", "commit"])
+def test_a_crash_leaves_all_of_a_batch_or_nothing(spark, tmp_path, monkeypatch, place):
+    """Readers see the first batch alone after a crash within the second, wherever it strikes, then both."""
+    source, state = tmp_path / "in", str(tmp_path / "state")
+    table, bad, jobs, commits = (str(tmp_path / n) for n in ("t", "q", "j", "c"))
+    write_lines(source, "1.json", records(0, 10) + ['{"input_text": "x", "output_text": " "}'])
+
+    def run():
+        stream = si.read_json_stream(spark, str(source), max_files=1, quarantine=True)
+        si.ingest(stream, table, bad, state, jobs=jobs, commits=commits).awaitTermination()
+
+    def seen():
+        last = si.read_jobs(spark, jobs, commits).select("job_id").distinct().count()
+        return si.read_ingested(spark, table, commits).count(), si.read_rejected(spark, bad, commits).count(), last
+
+    assert si.last_commit(spark, commits) == -1
+    run()
+    assert seen() == (10, 1, 11)
+    write_lines(source, "2.json", records(10, 15) + ['{"broken', '{"output_text": "y"}'])
+    name = {"table": "write_day_batches", "quarantine": "job_updates", "jobs": "commit", "commit": "commit"}[place]
+    real = getattr(si, name)
+
+    def crash(*args):
+        if place in ("table", "commit"):
+            real(*args)  # strikes behind the write
+        raise RuntimeError("crash")
+
+    monkeypatch.setattr(si, name, crash)
+    with pytest.raises(Exception, match="crash"):
+        run()
+    assert seen() == ((15, 3, 18) if place == "commit" else (10, 1, 11))
+    monkeypatch.setattr(si, name, real)
+    run()
+    assert seen() == (15, 3, 18)
+    assert si.read_ingested(spark, table, commits).columns == si.read_ingested(spark, table).columns

@@ -741,3 +741,18 @@ _add(
     search_regex_indexed=ORACLES["board_regex"],
     model_scores_staged=ORACLES["model_scores"],
 )
+_add(
+    incident_documents_written=f"""{AUDITED}, picked AS (SELECT * FROM audited WHERE flagged {_NEWEST}
+      LIMIT 100) SELECT 'summary' AS kind, NULL::BIGINT AS id, count(*)::VARCHAR AS count,
+      NULL::VARCHAR AS output_text_md5, '100' AS limit FROM picked
+      UNION ALL SELECT 'record', id, NULL, md5(output_text), NULL FROM picked""",
+    missing_fields="""SELECT CASE WHEN doc_id % 11 = 0 THEN 'input_text|output_text'
+      ELSE concat_ws('|', CASE WHEN doc_id % 5 = 0 THEN 'input_text' END,
+        CASE WHEN doc_id % 7 = 0 OR text IS NULL THEN 'output_text' END) END AS missing,
+      count(*) AS count FROM documents GROUP BY 1""",
+    rows_in_memory=f"""{AUDITED}, held AS (SELECT * FROM audited {_NEWEST} LIMIT 400)
+      SELECT input_text, {_BODY}, CASE WHEN id % 2 = 1 THEN project_name END AS project_name,
+      CASE WHEN id % 2 = 1 THEN request_id END AS request_id,
+      CASE WHEN id % 2 = 1 THEN array_to_string(tags, '|') ELSE '' END AS tags,
+      CASE WHEN id % 2 = 1 THEN timestamp END AS timestamp FROM held""",
+)

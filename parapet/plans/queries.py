@@ -819,6 +819,19 @@ def incident_documents(spark, folder):
     )
 
 
+@query
+def incident_documents_written(spark, folder):
+    """The JSON report written and read back; texts with line breaks stay one document."""
+    path = shared_folder(spark, "report")
+    wr.write_documents(inc.report_documents(cp.audited(spark, folder), cp.AS_OF, limit=100), path)
+    read = rd.read_documents(spark, path)
+    part = lambda name: F.get_json_object("document", f"$.{name}")
+    return read.select(
+        "kind", part("id").cast("bigint").alias("id"), part("count").alias("count"),
+        F.md5(part("output_text")).alias("output_text_md5"), part("filters.limit").alias("limit"),
+    )
+
+
 # --- evaluation ------------------------------------------------------------------
 
 
@@ -996,6 +1009,28 @@ def jsonl_roundtrip(spark, folder):
     return round_trip(rd.read_jsonl(spark, path))
 
 
+@query
+def missing_fields(spark, folder):
+    """Required fields that JSON records lack: every fifth has no input, every seventh no output."""
+    rows = raw_text_rows(spark, folder).withColumn("n", F.regexp_extract("request_id", "[0-9]+", 0).cast("bigint"))
+    lacking = {c: F.when(F.col("n") % k != 0, F.col(c)) for c, k in (("input_text", 5), ("output_text", 7))}
+    record = F.to_json(F.struct(*rows.columns))
+    cut = F.when(F.col("n") % 11 == 0, F.expr("left(record, length(record) - 2)")).otherwise(F.col("record"))
+    records = rows.withColumns(lacking).select(record.alias("record"), "n").select(cut.alias("record"))
+    absent = F.array_join(rd.missing_fields(F.col("record")), "|").alias("missing")
+    return records.groupBy(absent).agg(F.count("*").alias("count"))
+
+
+@query
+def rows_in_memory(spark, folder):
+    """A page of the newest rows, held by the caller, as conversations again: mappings and pairs by turns."""
+    held = ls.latest(cp.audited(spark, folder), limit=400).collect()
+    rows = [r.asDict() if r["id"] % 2 else (r["input_text"], r["output_text"]) for r in held]
+    return rd.from_rows(spark, rows).select(
+        "input_text", digest("output_text"), "project_name", "request_id", joined("tags"), "timestamp"
+    )
+
+
 @query
 def payload_batch(spark, folder):
     rows = raw_text_rows(spark, folder).withColumn("tags", F.split("tags", ","))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,12 @@ def missing_columns(present: list[str]) -> list[str]:
     return sorted(set(REQUIRED_FIELDS) - set(present))
 
 
+def missing_fields(record: Column) -> Column:
+    """The required fields that a JSON record lacks, sorted; all of them for text that is no object."""
+    present = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    return F.array_sort(F.array_except(F.array(*[F.lit(c) for c in REQUIRED_FIELDS]), present))
+
+
 def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """Conversations from CSV with a header, columns matched by name.
 
@@ -198,3 +204,10 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.schema(METRICS_DOCUMENT_SCHEMA).options(multiLine=True, mode="FAILFAST")
     document = reader.json(path)
     return document.select(F.explode("signals").alias("signal", "m")).select("signal", "m.*")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The JSON report that ``write_documents`` wrote: one document a line, the summary among them."""
+    lines = spark.read.text(path).withColumnRenamed("value", "document")
+    summary = F.get_json_object("document", "$.generated_at").isNotNull()
+    return lines.select(F.when(summary, "summary").otherwise("record").alias("kind"), "document")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parapet.operators import audit as au
+from parapet.operators import incidents as inc
 from parapet.operators.filters import AuditFilter
 from parapet.sources import readers as rd
 from parapet.sources import writers as wr
@@ -176,3 +177,24 @@ def test_csv_export(spark, audited, tmp_path):
     texts = ["id", "output_text", "flagged", "risk_labels", "tags", "ts"]
     want = audited.filter("flagged").select(*texts).collect()
     assert sorted(map(str, again.select(*texts).collect())) == sorted(map(str, want))
+
+
+def test_missing_fields_of_records(spark):
+    lines = ['{"input_text": null, "output_text": "a"}', '{"output_text": {"input_text": 1}}', "{}", "[1]", "junk", None, '{"input_text": "a']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
+    found = {r["i"]: r["m"] for r in df.select("i", rd.missing_fields(F.col("t")).alias("m")).collect()}
+    both = ["input_text", "output_text"]
+    assert found == {0: [], 1: ["input_text"], 2: both, 3: both, 4: both, 5: both, 6: both}
+
+
+def test_json_report_is_written_and_read_back(spark, tmp_path):
+    rows = rd.from_rows(spark, [("q\n\u2028", "I cannot\r\nhelp"), ("q", "mail a@b.com"), ("q", "fine")])
+    table = au.audit(rows.withColumn("id", F.monotonically_increasing_id()), batch_time="2024-01-01T00:00:00")
+    documents = inc.report_documents(table, "2024-01-02T00:00:00")
+    path = str(tmp_path / "report")
+    wr.write_documents(documents, path)
+    found = sorted((r["kind"], r["document"]) for r in rd.read_documents(spark, path).collect())
+    assert found == sorted((r["kind"], r["document"]) for r in documents.collect())
+    assert [k for k, _ in found].count("summary") == 1
+    with pytest.raises(Exception, match="already exists"):
+        wr.write_documents(documents, path)

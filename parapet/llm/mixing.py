@@ -162,19 +162,21 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int =
     A text taken in part, at the end of its source's last block, is cut after the words taken;
     ``n_chars`` follows the text, if there is such a column.
     """
-    stored = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix")
-    rows = stored.select(F.col("_row").alias("row"), "doc_id", "source", n_words("text").alias("size"))
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # out of the way of names used here
+    stored = cut_lineage(docs.select(F.monotonically_increasing_id().alias("row"), given.alias("given")), "mix")
+    rows = stored.select("row", "given.doc_id", "given.source", n_words("given.text").alias("size"))
     rows = cut_lineage(rows, "sizes")
     _, pieces = schedule(rows, weights, share, passes)
-    taken = pieces.groupBy("row", "epoch").agg(F.sum("length").alias("_taken"))
+    taken = pieces.groupBy("row", "epoch").agg(F.sum("length").alias("taken"))
     taken = taken.join(rows.select("row", "size"), "row").select(
-        F.col("row").alias("_row"), "_taken", (F.col("_taken") < F.col("size")).alias("_cut")
+        "row", "taken", (F.col("taken") < F.col("size")).alias("cut")
     )
     # Cut behind each word, so that a part is a word with the separators before it.
-    marks = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.array_join(F.slice(marks, 1, F.col("_taken").cast("int")), "")
-    out = stored.join(taken, "_row").withColumn("text", F.when(F.col("_cut"), text).otherwise(F.col("text")))
+    marks = F.split("given.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    part = F.array_join(F.slice(marks, 1, F.col("taken").cast("int")), "")
+    out = stored.join(taken, "row").withColumn("new", F.when(F.col("cut"), part).otherwise(F.col("given.text")))
+    changes = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), length).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        length = F.length("new").cast(docs.schema["n_chars"].dataType)
+        changes["n_chars"] = F.when(F.col("cut"), length).otherwise(F.col("given.n_chars"))
+    return out.select(*[changes.get(c, F.col("given").getField(c)).alias(c) for c in docs.columns])

@@ -17,6 +17,9 @@ ROUNDS = 8
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
 
+#: Characters that are permuted as one number.
+LONGEST = 512
+
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 DIGITS = "0123456789"
 HEX = "0123456789abcdef"
@@ -57,8 +60,12 @@ class Permutation:
     def characters(self, text: str, tweak: str, alphabets: tuple[str, ...]) -> str:
         """Permute the characters of each alphabet among texts of the same shape.
 
-        Letters keep their case if only the lower-case alphabet is given; others stay.
+        Letters keep their case if only the lower-case alphabet is given; others stay. Long texts are permuted in
+        parts, each with a tweak of its own.
         """
+        if len(text) > LONGEST:
+            parts = [text[at : at + LONGEST] for at in range(0, len(text), LONGEST)]
+            return "".join(self.characters(part, f"{tweak} part {i}", alphabets) for i, part in enumerate(parts))
         places, value, size, shape = [], 0, 1, []
         for i, c in enumerate(text):
             own = next((a for a in alphabets if c in a), None)
@@ -156,14 +163,17 @@ def _date(text: str, permute: Permutation) -> str | None:
         except ValueError:
             continue
         if 0 <= day < DAYS:
+            width = dict(zip(form, map(len, (a, b, c))))
+
             # Among dates of one layout; of slashed ones only the first that fits is read back.
             def valid(value: int) -> bool:
                 found = datetime.date.fromordinal(FIRST_DAY + value)
-                return form != "dmy" or mark == "." or found.day > 12
+                short = (width["m"] > 1 or found.month < 10) and (width["d"] > 1 or found.day < 10)
+                return short and (form != "dmy" or mark == "." or found.day > 12)
 
             new = datetime.date.fromordinal(FIRST_DAY + permute(day, DAYS, "date", valid))
-            named = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-            return mark.join(named[f] for f in form)
+            named = {"y": new.year, "m": new.month, "d": new.day}
+            return mark.join(f"{named[f]:0{width[f]}d}" for f in form)
     return None
 
 
@@ -189,18 +199,18 @@ def _secret(text: str, permute: Permutation) -> str:
 #: The forms of values looked for, in order of preference at one place.
 FORMS = {
     "email": (
-        r"(?<![\w.%+-])[\w.%+-]{1,256}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![\w-])",
+        r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![\w-])",
         _email,
     ),
     "cloud_key": (r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)", _cloud_key),
     "secret": (
         r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4})"
-        r"(?:\"[^\s\"']{6,512}(?=\")|'[^\s\"']{6,512}(?=')|[^\s\"']{6,512})",
+        r"(?:\"[^\s\"']{6,}+(?=\")|'[^\s\"']{6,}+(?=')|[^\s\"']{6,}+)",
         _secret,
     ),
     "account": (r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)", _account),
     "date": (
-        r"(?<![\w.,/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
+        r"(?<![\w.,/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})"
         r"(?![0-9]|[/-][0-9])",
         _date,
     ),
@@ -272,6 +282,8 @@ def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, count: str | None =
         return pd.DataFrame(rows, columns=["text", "found"])
 
     mark = "_pseudonyms"
+    while mark in docs.columns:
+        mark += "_"
     out = docs.withColumn(mark, run("text"))
     changes = {"text": F.col(f"{mark}.text")}
     if "n_chars" in docs.columns:

@@ -5,20 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm.common import mixed, sent_if_few
 from parapet.llm.components import components
 from parapet.session import cut_lineage
 
 SEED = 42
 HALF = 32
-#: Text hashes that are sent to all tasks, 16 megabytes at most; more are joined by shuffle.
-BROADCAST_TEXTS = 1_000_000
 
 
 def _split(text: str | None) -> list[bytes]:
@@ -37,19 +33,12 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(over).tobytes(), "big", signed=True)
 
 
-def fingerprint(text: str | None, shingle: int = 3, tables: int = 1) -> int | list[int]:
-    """The 64-bit fingerprint of a text, as a signed number; 0 without words.
-
-    With several ``tables``, a list: the first and others from the same hashes, mixed anew.
-    """
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The 64-bit fingerprint of a text, as a signed number; 0 without words."""
     parts = _shingles(_split(text), shingle)
     if not parts:
-        return 0 if tables == 1 else [0] * tables
-    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(part, SEED) for part in parts]), ">u8")
-    if tables == 1:
-        return _majority(hashes)
-    found = [hashes] + [mixed(hashes.astype(np.uint64) + np.uint64(i)) for i in range(1, tables)]
-    return [_majority(own) for own in found]
+        return 0
+    return _majority(np.frombuffer(b"".join([xxhash.xxh64_digest(part, SEED) for part in parts]), ">u8"))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -86,7 +75,7 @@ def _ball(segment: int, value: Column, width: int) -> Column:
 
 
 def links(
-    prints: DataFrame, most: int = 3, within: tuple[str, ...] = (), apart: str | None = None
+    prints: DataFrame, most: int = 3, within: tuple[str, ...] = (), apart: str | None = None, once: bool = True
 ) -> DataFrame:
     """Pairs ``(a, b)``, ``a < b``, of distinct fingerprints at most ``most`` bits apart.
 
@@ -95,7 +84,7 @@ def links(
     table under all its segments (two at least), and looks up the ball of radius one around each. Matches are
     verified by their complete distance inside the join, so only true links leave it. Pairs have equal values
     in the columns ``within`` and keep them; with ``apart``, a column fixed for each fingerprint, only those that
-    differ in it are given.
+    differ in it are given. A pair met under several segments is given ``once``, or each time.
     """
     extra = [apart] if apart else []
     fp = prints.select(*within, *extra, "fp").distinct()
@@ -112,7 +101,8 @@ def links(
     if apart:
         match = match & (F.col(apart) != F.col(f"_{apart}"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most
-    return probe.join(table, match & near).select(*within, "a", "b").distinct()
+    found = probe.join(table, match & near).select(*within, "a", "b")
+    return found.distinct() if once else found
 
 
 def stars(prints: DataFrame, most: int, within: tuple[str, ...] = ()) -> DataFrame:
@@ -129,19 +119,54 @@ def stars(prints: DataFrame, most: int, within: tuple[str, ...] = ()) -> DataFra
     return found.filter((F.col("a") != F.col("b")) & near).distinct()
 
 
+def forest(pairs: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` that connect what ``pairs`` connects: those of each task that join two of its trees.
+
+    However many pairs a task meets, it holds and gives no more than its nodes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def root(node: int) -> int:
+            while (up := above.setdefault(node, node)) != node:
+                above[node] = node = above[up]
+            return node
+
+        for batch in batches:
+            kept = []
+            for at, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+                a, b = root(a), root(b)
+                if a != b:
+                    above[a] = b
+                    kept.append(at)
+            if kept:
+                yield batch.take(pa.array(kept))
+
+    return pairs.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
     """``(doc_id, text_hash, fp, label, component_id)``: documents by groups of linked fingerprints.
 
     Fingerprints ``most`` bits apart or less link; ``component_id`` is the smallest
     ``doc_id`` reachable over links, ``label`` the smallest fingerprint. Equal fingerprints are one node of the graph, so a
-    group of copies counts once. Null texts and texts without words have fingerprint 0
+    group of copies counts once. Groups of many near copies join up by ``stars`` first, in linear work; then the
+    multi-index looks for links between groups, and each task passes on those that connect what it has met, so
+    links grow with the fingerprints, not with the square of a group.
+
+    Null texts and texts without words have fingerprint 0
     and link like others; null ids count as larger than all others (a group of null ids only
     has a null component); repeated rows fall in one group; an empty table gives
     no rows; further columns are ignored.
     """
     rows = cut_lineage(fingerprints(docs, shingle), "fingerprints")
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    labels = components(links(nodes, most)).withColumnRenamed("node", "fp")
+    near = cut_lineage(stars(nodes, most), "stars")
+    grouped = nodes.select("fp").join(components(near).withColumnRenamed("node", "fp"), "fp", "left")
+    grouped = cut_lineage(grouped.withColumn("label", F.coalesce("label", "fp")), "grouped")
+    between = cut_lineage(forest(links(grouped, most, apart="label", once=False)), "between")
+    labels = components(near.union(between)).withColumnRenamed("node", "fp")
     members = nodes.join(labels, "fp", "left")
     members = members.withColumn("label", F.coalesce("label", "fp"))
     members = cut_lineage(members, "members")
@@ -150,93 +175,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFra
     return rows.join(cut_lineage(groups, "groups"), "fp")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs of text hashes ``(a, b)`` whose texts share enough of their word shingles."""
-
-    @F.pandas_udf("boolean")
-    def alike(one: pd.Series, two: pd.Series) -> pd.Series:
-        def check(x: str | None, y: str | None) -> bool:
-            x, y = (set(_shingles(_split(t), words)) for t in (x, y))
-            return len(x & y) >= similarity * max(1, len(x | y)) or not (x or y)
-
-        return pd.Series([check(x, y) for x, y in zip(one, two)], dtype=bool)
-
-    left = texts.select(F.col("text_hash").alias("a"), F.col("text").alias("_a"))
-    right = texts.select(F.col("text_hash").alias("b"), F.col("text").alias("_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.filter(alike("_a", "_b")).select("a", "b")
-
-
-def similar_texts(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, shingle: int = 3, tables: int = 6, most: int = 5
-) -> DataFrame:
-    """Verified links ``(a, b)`` between hashes of different texts that are near copies.
-
-    One fingerprint of 64 bits meets few copies with edits all over; several, from hashes mixed anew, meet most. Links
-    count if the texts share ``similarity`` (Jaccard) of their shingles of ``words`` words; texts with fewer words
-    are one shingle.
-
-    First, texts of one fingerprint link to the least of them, and fingerprints to the ends of their half's
-    table entry (``stars``); groups of many copies mostly join up by that, in linear work. Then the multi-index
-    looks for links between texts that are not in one group yet. Links inside a group change nothing, so
-    they are not listed, however many there are.
-    """
+def deduplicated(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
+    """``docs`` with one row of each group of ``near_duplicates``: its smallest ``doc_id``, then text hash.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [fingerprint(text.as_py(), shingle, tables) for text in batch.column("text")]
-            columns = [pa.array(own, pa.int64()) for own in zip(*found)] or [pa.array([], pa.int64())] * tables
-            yield pa.RecordBatch.from_arrays([batch.column("text_hash"), *columns], names)
-
-    names = ["text_hash", *[f"fp{i}" for i in range(tables)]]
-    rows = docs.select(F.xxhash64("text").alias("text_hash"), "text")
-    prints = cut_lineage(rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names)), "prints")
-    once = prints.dropDuplicates(["text_hash"])  # a text of many copies is one row from here on
-    own = once.select("text_hash", F.posexplode(F.array(*names[1:])).alias("t", "fp"))
-    least = cut_lineage(own.groupBy("t", "fp").agg(F.min("text_hash").alias("least")), "least")
-    same = own.join(least, ["t", "fp"]).filter("text_hash <> least")
-    same = same.select(F.col("least").alias("a"), F.col("text_hash").alias("b"))
-
-    def between(found: DataFrame) -> DataFrame:
-        """Pairs of texts for pairs of fingerprints: the least text of each."""
-        found = found.join(least.withColumnsRenamed({"fp": "a", "least": "x"}), ["t", "a"])
-        found = found.join(least.withColumnsRenamed({"fp": "b", "least": "y"}), ["t", "b"])
-        return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut_lineage(pairs.filter("a <> b").distinct(), "pairs")
-        named = pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()
-        named = sent_if_few(cut_lineage(named, "named"), BROADCAST_TEXTS)
-        texts = rows.join(named, "text_hash").dropDuplicates(["text_hash"])
-        return cut_lineage(_similar(pairs, cut_lineage(texts, "texts"), words, similarity), "links")
-
-    first = verified(same.union(between(stars(least, most, ("t",)))))
-    groups = cut_lineage(components(first), "groups").withColumnRenamed("node", "least")
-    grouped = least.join(groups, "least", "left").withColumn("label", F.coalesce("label", "least"))
-    return first.union(verified(between(links(cut_lineage(grouped, "grouped"), most, ("t",), "label"))))
-
-
-def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 6) -> DataFrame:
-    """``docs`` with one row of each group of near copies: its smallest ``doc_id``, then text hash.
-
-    Copies are equal texts and verified links (see ``similar_texts``), over any number of steps. All columns are
-    kept. A null text is a copy of other null and wordless ones; null ids count as larger than all others; of rows equal in
-    id and text one stays; an empty table gives no rows.
+    All columns are kept, whatever their names. A null text is a copy of other null and wordless ones; null ids count as
+    larger than all others; of rows equal in id and text one stays; an empty table gives no rows. Whole
+    texts are moved once, to meet the ids that stay.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
-    edges = similar_texts(docs, words, similarity, tables=tables)
-    labels = components(edges).withColumnsRenamed({"node": "text_hash"})
+    found = near_duplicates(docs, shingle, most)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    # The first row of each text, then of each group of texts: a text of many copies is one row by then.
-    first = cut_lineage(rows.groupBy("text_hash").agg(F.min(order).alias("k")), "first")
-    first = first.join(labels, "text_hash", "left")
-    keep = first.groupBy(F.coalesce("label", "text_hash").alias("label")).agg(F.min("k").alias("k"))
-    keep = keep.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    own = docs.withColumn("_own", F.xxhash64("text"))
-    keep = sent_if_few(cut_lineage(keep, "keep"), BROADCAST_TEXTS)
-    same = own["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))
-    kept = own.join(keep, same, "left_semi")
+    keep = cut_lineage(found.groupBy("label").agg(F.min(order).alias("k")), "keep")
+    keep = keep.select(F.col("k.doc_id").alias("id"), F.col("k.text_hash").alias("hash"))
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(given.alias("given"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    kept = own.join(keep, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_semi")
     # Only where rows repeat in id and text do texts have to meet to leave one.
-    if not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_own"])
-    return kept.drop("_own")
+    if not found.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text_hash"])
+    return kept.select(*[F.col("given").getField(c).alias(c) for c in docs.columns])

@@ -91,3 +91,20 @@ def test_packs_without_gaps(spark, documents):
 
 def test_empty_table(spark, documents):
     assert packing.pack(documents([]), tokenizer_path()).collect() == []
+
+
+def test_random_texts_equal_the_tokenizer():
+    """Words of any script and case with what may stand behind them, letters that become two among them."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    path = tokenizer_path()
+    plain, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    letters = "abzAZÄößẞİıſKéÉΣςσДж漢字ا̇́…—'’\"().,;:!?0123456789-_/"
+    texts = ["TARİHİ: 1923", "İ.", "ẞ!", "Σ.", "KK;"]
+    texts += [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 6))) for _ in range(20_000)]
+    for text in texts:
+        wanted = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode(text), "<u4").tolist() == wanted, text

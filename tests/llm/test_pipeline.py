@@ -7,12 +7,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parapet.llm import mixing, quality
 from parapet.llm.pseudonyms import EXAMPLE_KEY, Permutation, pseudonymised
 from .test_mixing import targets_by_rounds
 from .test_quality import brute as base_counts
+from .test_simhash import brute_components, brute_print
 
 COLUMNS = corpus_pipeline.COLUMNS
 
@@ -60,16 +62,9 @@ def plain_quality(rows):
 
 
 def plain_near_duplicates(rows):
-    sets = [{tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for _, t, *_ in rows]
-    label = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if rows[i][1] == rows[j][1] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                label = [label[j] if x == label[i] else x for x in label]
-    first = {}
-    for row, x in sorted(zip(rows, label), key=lambda p: p[0][0]):
-        first.setdefault(x, row)
-    return list(first.values())
+    """The smallest id of each group of fingerprints at most three bits apart."""
+    groups = brute_components([r[0] for r in rows], [brute_print(r[1]) for r in rows])
+    return [row for row, group in zip(rows, groups) if row[0] == group]
 
 
 def plain_mix(rows):
@@ -162,8 +157,21 @@ def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+NAMES = "key row fp size label _id _own _row _hash a.b given text_hash cut taken new _pseudonyms found statistics".split()
+
+
 def test_further_columns_pass(spark, rows, tmp_path):
+    """Columns of any name come through the first four stages as they are."""
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    df = spark.createDataFrame(rows[:40], schema).selectExpr("*", "'x' as key", "1 as row", "2 as fp", "3 as size", "4 as label")
+    df = spark.createDataFrame(rows[:40], schema)
+    df = df.withColumns({name: F.concat(F.lit(f"{name} of "), F.col("doc_id")) for name in NAMES})
     df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns, name
+        docs.write.parquet(str(tmp_path / f"{i}"))
+        docs = spark.read.parquet(str(tmp_path / f"{i}"))
+        found = docs.collect()
+        assert found and all(r[n] == f"{n} of {r['doc_id']}" for r in found for n in NAMES), name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

@@ -103,3 +103,36 @@ def test_table(spark, documents):
     assert pseudonymise(documents([])).collect() == []
     other = pseudonymise(docs, b"another key").filter("doc_id = 1").first()["text"]
     assert other != found[1]["text"]
+
+
+def test_long_secrets_and_names_are_found_whole():
+    permute = Permutation(EXAMPLE_KEY)
+    for n in (6, 511, 512, 513, 700, 50_000):
+        secret = "".join("abc123XYZ_"[i * 7 % 10] for i in range(n))
+        for text in (f'token="{secret}" end', f"token='{secret}' end", f"token={secret} end"):
+            new, many = pseudonymised(text, permute)
+            assert many == 1 and len(new) == len(text) and secret not in new
+            assert new.startswith(text[: text.index(secret)]) and new.endswith(text[text.index(secret) + n :])
+            for at in range(0, n - 40, 97):  # no part stays
+                assert secret[at : at + 40] not in new
+            assert pseudonymised(text, permute)[0] == new
+    name = "a.long_name" * 40
+    new, many = pseudonymised(f"to {name}@post.example now", permute)
+    assert many == 1 and len(new) == len(f"to {name}@post.example now") and name not in new
+
+
+def test_dates_of_one_digit_keep_their_layout():
+    import re
+
+    permute = Permutation(EXAMPLE_KEY)
+    for text in ("3/7/2021", "3/17/2021", "17/3/2021", "7.3.2021", "17.3.2021", "03/07/2021", "31.12.1999"):
+        new, many = pseudonymised(f"on {text} at", permute)
+        own = new[3:-3]
+        assert many == 1 and own != text and re.sub("[0-9]", "9", own) == re.sub("[0-9]", "9", text)
+    seen = set()
+    for month in range(1, 10):
+        for day in range(1, 10):
+            seen.add(pseudonymised(f"{month}/{day}/2021", permute)[0])
+    assert len(seen) == 81
+    for text in ("3/47/2021", "47/3/2021", "1/2/3/2021", "v3.7.2021"):
+        assert pseudonymised(text, permute)[1] == 0

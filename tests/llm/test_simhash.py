@@ -94,30 +94,46 @@ def test_keeps_one_of_each_group(spark, documents):
     assert simhash.deduplicated(documents([])).collect() == []
 
 
-def jaccard(x, y, words=5):
-    x, y = ({tuple(t.split()[i : i + words]) for i in range(len(t.split()) - words + 1)} for t in (x, y))
-    return len(x & y) / len(x | y)
-
-
 def test_near_copies_go_and_others_stay(spark, documents):
+    """Of each brute-force group the smallest id stays, with its whole row."""
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(500)]
-    rows, near, apart = [], set(), set()
+    rows = []
     for i in range(60):
         base = [rng.choice(vocabulary) for _ in range(300)]
-        rows.append((10 * i, " ".join(base), "en", "s"))
-        copy = list(base)
-        for at in rng.sample(range(300), 3):
-            copy[at] = "edited"
-        near.add(10 * i + 1)
-        rows.append((10 * i + 1, " ".join(copy), "en", "s"))
-        other = base[:200] + [rng.choice(vocabulary) for _ in range(100)]
-        apart.add(10 * i + 2)
-        rows.append((10 * i + 2, " ".join(other), "en", "s"))
-        assert jaccard(rows[-3][1], rows[-2][1]) > 0.8 > jaccard(rows[-3][1], rows[-1][1])
-    kept = {r["doc_id"] for r in simhash.deduplicated(documents(rows)).collect()}
-    assert {10 * i for i in range(60)} | apart <= kept
-    assert len(kept & near) <= 3
+        for j in range(3):
+            copy = list(base)
+            if j:
+                copy[rng.randrange(300)] = "edited"
+            rows.append((1000 - 10 * i - j, " ".join(copy), "en", "s"))
+        rows.append((2000 + i, " ".join(base[:200] + [rng.choice(vocabulary) for _ in range(100)]), "en", "s"))
+    groups = brute_components([r[0] for r in rows], [brute_print(r[1]) for r in rows])
+    wanted = sorted(r for r, g in zip(rows, groups) if r[0] == g)
+    assert len(wanted) < len(rows) - 60
+    docs = documents(rows, "_id _own _row _hash fp label text_hash given hash id")
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"], r["lang"], r["source"]) for r in kept.collect()) == wanted
+
+
+def test_large_group_lists_few_links(spark):
+    """The links that leave the tasks grow with a group, not with its square, and connect it all the same."""
+    rng = random.Random(1)
+    base = rng.getrandbits(32)
+    prints = {(base << 32) | rng.getrandbits(32) for _ in range(4)}
+    prints |= {p ^ (1 << i) ^ (1 << j) for p in prints for i in range(64) for j in range(i)}
+    signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    nodes = spark.createDataFrame([(p,) for p in signed], "fp bigint")
+    near = simhash.stars(nodes, 3)
+    labels = components(near).withColumnRenamed("node", "fp")
+    grouped = nodes.join(labels, "fp", "left").selectExpr("fp", "coalesce(label, fp) as label")
+    pairs = simhash.links(grouped, 3, apart="label", once=False)
+    between = simhash.forest(pairs)
+    assert pairs.count() > 20 * len(signed)
+    assert near.count() + between.count() < 6 * len(signed)
+    found = {r["node"]: r["label"] for r in components(near.union(between)).collect()}
+    plain = {r["node"]: r["label"] for r in components(simhash.links(nodes, 3)).collect()}
+    assert found == plain
 
 
 def test_empty_table_and_long_text(spark, documents):

@@ -72,7 +72,7 @@ def _compiled(df: DataFrame, rows: list, text: str) -> DataFrame:
 # Letters of a text that are cut into grams at a time.
 PIECE = 1 << 18
 # Bits of a bitmap for each of its grams, and the least and the most in all (eight megabytes).
-BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 15, 1 << 26
+BITS_EACH, LEAST_BITS, MOST_BITS = 1024, 1 << 15, 1 << 26
 _BUCKET_BYTES = 4096
 
 

@@ -47,9 +47,9 @@ class Ranges:
     powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     inverses = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, kinds: int = 2):
         self.sums = []
-        for i, base in enumerate(_BASES):
+        for i, base in enumerate(_BASES[:kinds]):
             if len(self.powers[i]) < len(hashes) + 1:
                 many = 2 * len(hashes) + 1024
                 for table, factor in ((self.powers, base), (self.inverses, pow(base, -1, 1 << 64))):
@@ -104,7 +104,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
             found, of = [], []
             for i, text in enumerate(_texts(batch)):
                 hashes = words(text.split())
-                own = phrases(Ranges(hashes), len(hashes))
+                own = phrases(Ranges(hashes, 1), len(hashes))
                 own = own[anchors(own)]
                 found.append(own)
                 of.append(np.full(len(own), i))
@@ -120,6 +120,8 @@ def locate(texts: list[bytes], listed: list[np.ndarray]) -> list[tuple[list[byte
 
     ``listed`` has for each text hashes of phrases to look for; their words are taken from the text they are listed
     with. An automaton over word numbers is compiled from all phrases of the shard, and every text is streamed through it.
+    A number is written as three letters or more, with some of their own for each place: a node of the automaton looks through its
+    children one by one, so they have to be few, and no phrase can be met between two words.
     Gives for each text its words, ranges, and places and hashes of phrases.
     """
     words = Words()
@@ -127,27 +129,33 @@ def locate(texts: list[bytes], listed: list[np.ndarray]) -> list[tuple[list[byte
     hashes = [words(own) for own in split]
     ranges = [Ranges(own) for own in hashes]
     every = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-    numbers = np.split(np.unique(every, return_inverse=True)[1], np.cumsum([len(h) for h in hashes])[:-1])
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    known_words, numbers = np.unique(every, return_inverse=True)
+    many = next(m for m in range(3, 8) if (256 // m) ** m >= len(known_words))
+    base = 256 // many
+    letters = np.stack([numbers // base**i % base + base * i for i in range(many)], axis=1).astype(np.uint8)
+    spelled = letters.tobytes().decode("latin-1")
+    edges = many * np.cumsum([0, *map(len, hashes)])
+    spellings = [spelled[low:high] for low, high in zip(edges.tolist(), edges[1:].tolist())]
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     names: list[int] = []
     known: set[int] = set()
-    for own, own_ranges, wanted in zip(numbers, ranges, listed):
+    for own, own_hashes, own_ranges, wanted in zip(spellings, hashes, ranges, listed):
         if len(wanted):
-            here = phrases(own_ranges, len(own))
+            here = phrases(own_ranges, len(own_hashes))
             for at in np.flatnonzero(np.isin(here, wanted)).tolist():
                 name = int(here[at])
                 if name not in known:
                     known.add(name)
-                    automaton.add_word(tuple(own[at : at + PHRASE].tolist()), len(names))
+                    automaton.add_word(own[many * at : many * (at + PHRASE)], len(names))
                     names.append(name)
     found = []
     if names:
         automaton.make_automaton()
     named = np.array(names, np.uint64)
-    for own_words, own, own_ranges in zip(split, numbers, ranges):
-        hits = list(automaton.iter(tuple(own.tolist()))) if names and len(own) >= WINDOW else []
+    for own_words, own, own_ranges in zip(split, spellings, ranges):
+        hits = list(automaton.iter(own)) if names and len(own_words) >= WINDOW else []
         ends, which = np.array(hits, np.int64).reshape(-1, 2).T
-        found.append((own_words, own_ranges, ends - PHRASE + 1, named[which]))
+        found.append((own_words, own_ranges, (ends + 1) // many - PHRASE, named[which]))
     return found
 
 

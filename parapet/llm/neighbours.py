@@ -142,6 +142,14 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
+def _once(rows: pd.DataFrame, name: str, vector: str, one: bool) -> pd.DataFrame:
+    """Rows without repeats of name and vector; with ``one``, just the least vector of each name."""
+    if not rows[name].duplicated().any():
+        return rows
+    rows = rows.assign(_key=rows[vector].map(tuple)).sort_values([name, "_key"])
+    return rows.drop_duplicates([name] if one else [name, "_key"])
+
+
 def search(
     vectors: DataFrame, queries: Column, many: int = NEAREST, shard_rows: int = SHARD_ROWS,
     certainty: float = CERTAINTY,
@@ -154,7 +162,8 @@ def search(
 
     Vectors that are null, zero, or hold null or non-finite components take no part. A query is compared with vectors of
     its own length only. Its own row is left out, by id (null ids take no part); other rows of equal vectors are
-    found, and ties go to the smaller id. Repeated rows count once; fewer than ``many`` candidates give all;
+    found, and ties go to the smaller id. Repeated rows count once; different vectors of one id are candidates each, and the
+    least of them, component by component, asks for that id; fewer than ``many`` candidates give all;
     an empty table gives no rows; further columns are ignored.
     """
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), queries.alias("asks"))
@@ -182,7 +191,7 @@ def search(
     def run(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(wanted):
-            own, wanted = own.drop_duplicates("p_vec_id"), wanted.drop_duplicates("vec_id")
+            own, wanted = _once(own, "p_vec_id", "p_v", False), _once(wanted, "vec_id", "v", True)
             index = Index(own["p_vec_id"].to_numpy(), np.stack(own["p_v"].to_list()), own["p_longest"].iloc[0])
             asked, names = np.stack(wanted["v"].to_list()), wanted["vec_id"].to_numpy()
             for at in range(0, len(names), TOGETHER):

@@ -61,6 +61,15 @@ def test_few_rows_ties_and_unusable(spark):
     assert found == {20: [(9, 2.0), (3, 1.0), (7, 1.0), (40, 0.5)], 40: [(9, 1.0), (3, 0.5), (7, 0.5), (20, 0.5)]}
 
 
+def test_different_vectors_of_one_id(spark):
+    """Each is a candidate, in any order of rows; the least of them asks."""
+    vectors = [[1, 0], [0, 1], [3, 3], [2, 1], [2, 1], [0, 2], [5, 0], [1, 0]]
+    names = [20, 20, 4, 4, 4, 7, 40, 20]
+    wanted = {20: [(4, 3.0), (7, 2.0), (4, 1.0), (40, 0.0)], 40: [(4, 15.0), (4, 10.0), (20, 5.0), (7, 0.0), (20, 0.0)]}
+    for order in (1, -1):
+        assert run(table(spark, vectors[::order], names[::order])) == wanted
+
+
 def test_a_hot_vector(spark):
     vectors = [[1.0, 2.0, 3.0]] * 800 + [[3.0, 2.0, 1.0]] * 100
     found = run(table(spark, vectors), shard_rows=200)

@@ -59,7 +59,8 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     folder is refused, as each machine has its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    local = spark.sparkContext.master.startswith("local")
+    # local[n] runs in one process; local-cluster[..] has executors with folders of their own
+    local = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
     if not local and (not root or re.match(r"(file:/*|/)(var/)?tmp(/|$)", root)):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if not root:

@@ -120,9 +120,10 @@ def stars(prints: DataFrame, most: int, within: tuple[str, ...] = ()) -> DataFra
 
 
 def forest(pairs: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` that connect what ``pairs`` connects: those of each task that join two of its trees.
+    """Pairs ``(a, b)`` that connect what ``pairs`` connects: in each task, every node with the least it is connected to.
 
-    However many pairs a task meets, it holds and gives no more than its nodes.
+    However many pairs a task meets, it holds and gives no more than its nodes, and no two of a tree are
+    more than two steps apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,14 +135,16 @@ def forest(pairs: DataFrame) -> DataFrame:
             return node
 
         for batch in batches:
-            kept = []
-            for at, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
                 a, b = root(a), root(b)
                 if a != b:
-                    above[a] = b
-                    kept.append(at)
-            if kept:
-                yield batch.take(pa.array(kept))
+                    above[max(a, b)] = min(a, b)
+        nodes = list(above)
+        for start in range(0, len(nodes), 1 << 16):
+            part = [(top, node) for node in nodes[start : start + (1 << 16)] if (top := root(node)) != node]
+            if part:
+                least, own = zip(*part)
+                yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array(own, pa.int64())], ["a", "b"])
 
     return pairs.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 

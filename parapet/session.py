@@ -55,13 +55,13 @@ def cluster_settings(cores: int, shuffle_bytes: int) -> dict[str, str]:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of this machine; on a cluster a temporary
-    folder is refused, as each machine has its own.
+    Only a local master may fall back to a folder of this machine; on a cluster, where each machine has
+    its own, the setting is asked for.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     # local[n] runs in one process; local-cluster[..] has executors with folders of their own
     local = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
-    if not local and (not root or re.match(r"(file:/*|/)(var/)?tmp(/|$)", root)):
+    if not local and not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="parapet-")

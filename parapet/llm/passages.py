@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -78,8 +79,11 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
     """
     if len(hashes) < _SIDE + 1:
         return np.zeros(0, np.int64)
-    inside = np.lib.stride_tricks.sliding_window_view(hashes, _SIDE + 1)
-    return np.unique(inside.argmin(axis=1) + np.arange(len(inside)))
+    windows = len(hashes) - _SIDE
+    hashes = np.ascontiguousarray(hashes)
+    inside = np.ndarray((windows, _SIDE + 1), hashes.dtype, hashes, 0, (hashes.itemsize, hashes.itemsize))
+    least = inside.argmin(axis=1) + np.arange(windows)  # the first of equal ones, so places only grow
+    return least[np.append(True, least[1:] != least[:-1])]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -302,7 +306,7 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 text = None
                 if packed.is_valid:
                     words = zstandard.decompress(packed.as_py()).split()
-                    text = b" ".join([w for w, out in zip(words, gone.tolist()) if not out])
+                    text = b" ".join(compress(words, (~gone).tolist()) if own.is_valid else words)
                 digests.append(hashlib.sha256(text).hexdigest() if packed.is_valid else sha.as_py())
                 texts.append(text)
             out = [batch.column("doc_id"), batch.column("n_words"), pa.array(counts, pa.int64()), pa.array(digests, pa.string())]

@@ -35,8 +35,9 @@ class Encoder(dict):
 
     def __missing__(self, part: bytes) -> bytes:
         text = part.decode()
-        if len(part) > 1 and text[-1] in ".,;:!?" and text[:-1].isalpha() and text[:-1].lower().isalpha():
-            found = self[text[:-1].encode()] + self[text[-1].encode()]  # letters and marks never join
+        if len(part) > 1 and text[-1] in ".,;:!?" and text[:-1].isalpha() and "\u0130" not in text:
+            # letters and marks never join, but that letter is two characters in lower case
+            found = self[text[:-1].encode()] + self[text[-1].encode()]
         elif text.isalpha() and text != text.lower() and max(text) < "\u0130":
             found = self[text.lower().encode()]  # up to there case depends on no neighbour
         else:

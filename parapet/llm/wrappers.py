@@ -250,10 +250,10 @@ def _bare(node: list) -> str:
     return " ".join(map(_shape, inner))
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, rest: dict[str, list] | None = None) -> list:
     """The wrapper of two wrappers: aligned nodes merge, others become optional.
 
-    A repeated group and a single instance of it agree and stay repeated.
+    A repeated group and a single instance of it agree and stay repeated. ``rest`` takes what ``bounded`` leaves out.
     """
     out = []
     steps = SequenceMatcher(None, [_bare(n) for n in a], [_bare(n) for n in b], autojunk=False).get_opcodes()
@@ -270,7 +270,7 @@ def align(a: list, b: list) -> list:
                     out += inner
         else:
             out += [n if n[0] in "?*" else ["?", [n]] for n in [*a[i:j], *b[k:m]]]
-    return bounded(fold(out))
+    return bounded(fold(out), rest=rest)
 
 
 def _content(text: str) -> str:
@@ -286,12 +286,12 @@ def _pages(node: list) -> int:
     return node[4] if node[0] == "t" else max(map(_pages, node[1]))
 
 
-def bounded(nodes: list, most: int = 512) -> list:
+def bounded(nodes: list, most: int = 512, rest: dict[str, list] | None = None) -> list:
     """The wrapper, made smaller if it has more than ``most`` nodes.
 
     Optional nodes of one shape become one, at the place of the first, with all their pages and characters. Of those
-    that are left, the ones seen on the fewest pages go. So the wrapper of a host stays as it is
-    in size however many pages follow, and what most pages have stays exact.
+    that are left, the ones seen on the fewest pages leave the wrapper for ``rest``, by shape and with all that they
+    count. So what is aligned stays as it is in size however many pages follow, and ``settled`` counts every node.
     """
     if len(nodes) <= most:
         return nodes
@@ -306,6 +306,10 @@ def bounded(nodes: list, most: int = 512) -> list:
         out.append(node)
     spare = sorted((_pages(n), -i) for i, n in enumerate(out) if n[0] == "?")[: max(0, len(out) - most)]
     gone = {-i for _, i in spare}
+    if rest is not None:
+        for i in gone:
+            shape = _bare(out[i])
+            rest[shape] = _merge(rest[shape], out[i]) if shape in rest else out[i]
     return [node for i, node in enumerate(out) if i not in gone]
 
 
@@ -317,6 +321,11 @@ def constants(wrapper: list, least: int = 3) -> list[str]:
     return [f"{n[1]} {n[2]}" for n in single if n[2] is not None and n[4] >= least and 2 * n[4] >= pages]
 
 
+def _leaves(nodes: list) -> list[list]:
+    """The slots of nodes and of the groups in them, in order."""
+    return [slot for node in nodes for slot in ([node] if node[0] == "t" else _leaves(node[1]))]
+
+
 def container(wrapper: list) -> str:
     """The path of the element that holds the main text.
 
@@ -324,16 +333,7 @@ def container(wrapper: list) -> str:
     that holds at least two thirds of it. Constant texts are the template's; only where nothing varies
     all text counts.
     """
-    slots: list[list] = []
-
-    def walk(nodes: list) -> None:
-        for node in nodes:
-            if node[0] == "t":
-                slots.append(node)
-            else:
-                walk(node[1])
-
-    walk(wrapper)
+    slots = _leaves(wrapper)
     slots = [s for s in slots if s[2] is None] or slots
     total, path = sum(s[3] for s in slots), ""
     while total:
@@ -372,36 +372,106 @@ def main_text(page: str, path: str | None, fixed: frozenset[str] | None = None)
     return "\n".join(text for _, text, *_ in inside or below)
 
 
+_PART = "host string, shape string, wrapper string"
+
+
+def _parts(own: dict[str, list], rests: dict[str, dict[str, list]]) -> pd.DataFrame:
+    """Wrappers of hosts (``shape`` null) and the nodes that left them, as rows."""
+    rows = [(name, None, json.dumps(wrapper)) for name, wrapper in own.items()]
+    rows += [(name, shape, json.dumps(node)) for name, rest in rests.items() for shape, node in rest.items()]
+    return pd.DataFrame(rows, columns=["host", "shape", "wrapper"], dtype=object)
+
+
+def settled(found: DataFrame) -> DataFrame:
+    """``(host, path, fixed)`` of wrappers and of the nodes that left them (``shape`` not null), over all slots.
+
+    The same as ``container`` and ``constants`` of the unbounded wrapper, whose optional nodes of one shape are one: slots
+    are added up by shape, characters by each element they stand in. The container is the deepest
+    element with two thirds of them, which is one at each depth.
+    """
+    names = ("node", "alone", "place", "own", "text", "chars", "pages")
+
+    @F.pandas_udf(
+        "array<struct<node: string, alone: boolean, place: int, own: string, text: string, chars: bigint, pages: bigint>>"
+    )
+    def slots(shapes: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for shape, text in zip(shapes, texts):
+            read, own = json.loads(text), []
+            for i, node in enumerate(read if shape is None else [read]):
+                # only optional nodes are known by their shape; others by their place in the wrapper
+                name = _bare(node) if node[0] == "?" else f"={i}"
+                leaves = _leaves([node])
+                alone = node[0] == "t" or (node[0] == "?" and len(node[1]) == 1 and node[1][0][0] == "t")
+                own += [(name, alone, j, *leaf[1:]) for j, leaf in enumerate(leaves)]
+            out.append([dict(zip(names, row)) for row in own])
+        return pd.Series(out, dtype=object)
+
+    each = found.select("host", F.explode(slots("shape", "wrapper")).alias("s")).select("host", "s.*")
+    same = (F.count("text") == F.count(F.lit(1))) & (F.min("text") == F.max("text"))
+    each = each.groupBy("host", "node", "alone", "place", "own").agg(
+        F.when(same, F.min("text")).alias("text"), F.sum("chars").alias("chars"), F.sum("pages").alias("pages")
+    )
+    each = cut_lineage(each, "slots")
+    is_open = F.col("text").isNull()
+    hosts = each.groupBy("host").agg(
+        F.max(F.when(F.col("alone"), F.col("pages"))).alias("most"),
+        F.max(is_open).alias("varies"),
+        F.sum("chars").alias("all"),
+        F.sum(F.when(is_open, F.col("chars"))).alias("open"),
+    )
+    hosts = hosts.withColumn("total", F.when(F.col("varies"), F.col("open")).otherwise(F.col("all"))).drop("all", "open")
+    each = each.join(hosts, "host")
+    enough = F.col("alone") & ~is_open & (F.col("pages") >= 3) & (2 * F.col("pages") >= F.col("most"))
+    fixed = each.filter(enough).groupBy("host").agg(F.collect_set(F.concat("own", F.lit(" "), "text")).alias("fixed"))
+    steps = F.split("own", "/")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.concat(F.array_join(F.slice(steps, 1, n), "/"), F.lit("/"))
+    )
+    inside = each.filter((is_open | ~F.col("varies")) & F.col("own").contains("/"))
+    inside = inside.select("host", "total", "chars", F.explode(above).alias("path"))
+    inside = inside.groupBy("host", "total", "path").agg(F.sum("chars").alias("chars"))
+    paths = inside.filter((3 * F.col("chars") >= 2 * F.col("total")) & (F.col("total") > 0))
+    paths = paths.groupBy("host").agg(F.max_by("path", F.length("path")).alias("path"))
+    rows = hosts.select("host").join(paths, "host", "left").join(fixed, "host", "left")
+    none = F.array().cast("array<string>")
+    return rows.select("host", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("fixed", none).alias("fixed"))
+
+
 def wrappers(pages: DataFrame, fan: int = 32) -> DataFrame:
     """``(host, path, fixed, wrapper)``: the wrapper of each host over all its pages, as JSON, its container and constants.
 
     Each task folds its pages into one wrapper per host; wrappers then meet in rounds, at most ``fan`` of a host in one
-    group, until each host has one. So a host with any share of the pages is spread over all tasks.
+    group, until each host has one. So a host with any share of the pages is spread over all tasks. Nodes that leave
+    a wrapper on the way (see ``bounded``) are rows of their own; the container and the constants of their
+    hosts are added up from all rows.
     """
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: dict[str, list] = {}
+        rests: dict[str, dict[str, list]] = {}
         for batch in batches:
             for name, page in zip(batch["host"], batch["html"]):
                 new = page_wrapper(blocks_of(page or ""))
-                own[name] = align(own[name], new) if name in own else new
-            if len(own) > 4096:
-                yield rows(own)
-                own = {}
-        yield rows(own)
-
-    def rows(own: dict[str, list]) -> pd.DataFrame:
-        return pd.DataFrame({"host": list(own), "wrapper": [json.dumps(w) for w in own.values()]}, dtype=object)
+                rest = rests.setdefault(name, {})
+                own[name] = align(own[name], new, rest) if name in own else new
+                if len(rest) > 4096:
+                    yield _parts({}, {name: rests.pop(name)})
+            if len(own) > 4096 or sum(map(len, rests.values())) > 65536:
+                yield _parts(own, rests)
+                own, rests = {}, {}
+        yield _parts(own, rests)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        own = None
+        own, rest = None, {}
         for text in sorted(group["wrapper"]):
-            own = json.loads(text) if own is None else align(own, json.loads(text))
-        return pd.DataFrame({
-            "host": group["host"][:1], "wrapper": [json.dumps(own)], "part": [int(group["part"].iloc[0])],
-        })
+            own = json.loads(text) if own is None else align(own, json.loads(text), rest)
+        name = group["host"].iloc[0]
+        return _parts({name: own}, {name: rest}).assign(part=int(group["part"].iloc[0]))
 
-    found = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(first, "host string, wrapper string")
+    found = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(first, _PART)
     found = cut_lineage(found.withColumn("part", F.monotonically_increasing_id()), "wrappers")
+    left = found.filter("shape is not null")
+    found = found.filter("shape is null")
     # Numbers of one host's parts, gapless: parts of a host are at most one for each task or flush.
     most = found.groupBy("host").count().agg(F.max("count")).first()[0] or 1
     while most > 1:
@@ -409,8 +479,10 @@ def wrappers(pages: DataFrame, fan: int = 32) -> DataFrame:
         groups = -(-most * 2 // fan) if most > fan else 1
         part = F.pmod(F.xxhash64("host", "part"), F.lit(groups)).cast("long")
         found = found.withColumn("part", part)
-        found = found.groupBy("host", "part").applyInPandas(meet, "host string, wrapper string, part bigint")
+        found = found.groupBy("host", "part").applyInPandas(meet, _PART + ", part bigint")
         found = cut_lineage(found, "wrappers")
+        left = left.unionByName(found.filter("shape is not null"))
+        found = found.filter("shape is null")
         most = groups
 
     @F.pandas_udf("path string, fixed array<string>")
@@ -418,7 +490,15 @@ def wrappers(pages: DataFrame, fan: int = 32) -> DataFrame:
         read = [json.loads(text) for text in texts]
         return pd.DataFrame({"path": [container(own) for own in read], "fixed": [constants(own) for own in read]})
 
-    return found.select("host", told("wrapper").alias("told"), "wrapper").select("host", "told.*", "wrapper")
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.select("host", told("wrapper").alias("told"), "wrapper").select("host", "told.*", "wrapper")
+
+    if left.isEmpty():
+        return whole(found)
+    hosts = cut_lineage(left.select("host").distinct(), "hosts")
+    some = found.join(hosts, "host", "left_semi")
+    counted = settled(some.unionByName(left).select("host", "shape", "wrapper"))
+    return whole(found.join(hosts, "host", "left_anti")).unionByName(counted.join(some.select("host", "wrapper"), "host"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -192,3 +192,49 @@ def test_a_wrapper_stays_bounded():
     assert max(sizes) <= 512 and sizes[-1] <= 512
     assert wrappers.container(own) == "body/div.post/"
     assert wrappers.constants(own) == ["body/div.top/p Constant"]
+
+
+def test_what_a_full_wrapper_leaves_out_still_counts(spark):
+    """More shapes than a wrapper holds: the text, and a constant that comes when it is full, stand in what left it."""
+    letters = "abcdefghijklmnop"
+    names = ["k" + "".join(letters[i >> s & 15] for s in (8, 4, 0)) for i in range(900)]
+    rows = []
+    for n in range(150):
+        parts = [f"<p class='{names[i]}'>text {n} {i} of its own</p>" for i in range(n % 30 * 30, n % 30 * 30 + 30)]
+        notice = "<p class='note'>Read us in print</p>" if n >= 50 else ""
+        side = f"<div class='more'><p>{f'{n} other words ' * 20}</p></div>"
+        rows.append((n, "https://m.example/", f"<body>{side}<div class='post'>{''.join(parts)}{notice}</div></body>"))
+    df = spark.createDataFrame(rows + [(1000, "https://n.example/", page(1, "<p>alone</p>"))], SCHEMA)
+    whole = None
+    for *_, text in rows:
+        new = wrappers.page_wrapper(wrappers.blocks_of(text))
+        whole = new if whole is None else wrappers.align(whole, new)
+    assert wrappers.container(whole) != "body/div.post/"  # the bounded wrapper alone cannot tell
+    for parts in (1, 40):
+        found = {r["host"]: r for r in wrappers.wrappers(df.repartition(parts), fan=4).collect()}
+        assert found["m.example"]["path"] == "body/div.post/", parts
+        assert found["m.example"]["fixed"] == ["body/div.post/p.note Read us in print"], parts
+        assert len(found) == 2
+
+
+def test_settled_agrees_with_the_wrapper(spark):
+    """Counted by rows, or told by one whole wrapper: the same container and constants."""
+    sets = {
+        "a": [template(n) for n in range(30)],
+        "b": [page(n, f"<h2>Head {n}</h2>" + "<p>x</p>" * n) for n in range(9)],
+        "c": ["<body><p>the same</p></body>"] * 5,
+        "d": ["", "plain"],
+        "e": [""],
+    }
+    rows, wanted = [], {}
+    for name, pages in sets.items():
+        own = None
+        for text in pages:
+            new = wrappers.page_wrapper(wrappers.blocks_of(text))
+            own = new if own is None else wrappers.align(own, new)
+        wanted[name] = (wrappers.container(own), sorted(wrappers.constants(own)))
+        rows.append((name, None, wrappers.json.dumps(own)))
+    df = spark.createDataFrame(rows, "host string, shape string, wrapper string")
+    found = {r["host"]: (r["path"], sorted(r["fixed"])) for r in wrappers.settled(df).collect()}
+    wanted.pop("e")  # an empty wrapper has no slot
+    assert found == wanted

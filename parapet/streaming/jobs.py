@@ -1,10 +1,9 @@
-"""A live ledger of jobs: one small state per job, dropped some time after it has finished."""
+"""A live ledger of jobs: ten values a job, dropped some time after it has finished."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,92 +14,109 @@ from parapet.streaming.state import keep_in_rocksdb, state_rows
 
 # The latest update, and the latest of each kind, as (time, sequence number); null for none.
 _STATE = (
-    "status string, us bigint, seq bigint, error string, queued_us bigint, queued_seq bigint,"
+    "job_id string, status string, us bigint, seq bigint, error string, queued_us bigint, queued_seq bigint,"
     " started_us bigint, started_seq bigint, finished_us bigint, finished_seq bigint"
 )
-_OUTPUT = (
-    "job_id string, status string, submitted_at timestamp, started_at timestamp, finished_at timestamp,"
-    " updated_at timestamp, error string, live boolean"
-)
-_KINDS = (("queued",), ("processing",), ("completed", "failed"))
+_TIMES = ("submitted_at", "started_at", "finished_at", "updated_at")
+#: Times in microseconds.
+_OUTPUT = f"job_id string, status string, {', '.join(f'{name} bigint' for name in _TIMES)}, error string, live boolean"
+#: Lists that the jobs are dealt out to by a hash. Each call into Python has its price, so jobs share them.
+BUCKETS = 1024
+#: Where the state holds the latest update of a kind.
+_PLACES = {"queued": 4, "processing": 6, "completed": 8, "failed": 8}
 
 
 def _after(kind: tuple, queued: tuple) -> bool:
     return kind[0] is not None and queued[0] is not None and kind > queued
 
 
+def _deadline(job: tuple, ttl_ms: int) -> int | None:
+    """When the job may go, in milliseconds: some time after its end, or after updates of a job that never began."""
+    queued, finished = job[4:6], job[8:10]
+    if queued[0] is None:
+        return job[1] // 1000 + 1 + ttl_ms
+    return finished[0] // 1000 + 1 + ttl_ms if _after(finished, queued) else None
+
+
+def _updated(job: tuple, status: str, us: int, seq: int, error: str | None) -> tuple:
+    at = us, seq
+    if job[1] is None or at > job[1:3]:
+        job = (status, *at, error, *job[4:])
+    place = _PLACES.get(status)
+    if place and (job[place] is None or at > job[place : place + 2]):
+        job = (*job[:place], *at, *job[place + 2 :])
+    return job
+
+
 class _Ledger(StatefulProcessor):
     def __init__(self, ttl_ms: int):
         self._ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._job = handle.getValueState("job", _STATE)
-
-    def _deadline(self, job: tuple) -> int | None:
-        """When the job may go, in milliseconds: some time after its end, or after updates of a job that never began."""
-        queued, finished = job[4:6], job[8:10]
-        if queued[0] is None:
-            return job[1] // 1000 + 1 + self._ttl_ms
-        return finished[0] // 1000 + 1 + self._ttl_ms if _after(finished, queued) else None
-
-    def _row(self, key, job: tuple, live: bool) -> pd.DataFrame:
-        queued, started, finished = job[4:6], job[6:8], job[8:10]
-        times = [queued[0], *(k[0] if _after(k, queued) else None for k in (started, finished)), job[1]]
-        columns = dict(zip(("submitted_at", "started_at", "finished_at", "updated_at"), times))
-        moments = {n: pd.to_datetime(pd.Series([us], dtype="Int64"), unit="us") for n, us in columns.items()}
-        return pd.DataFrame({"job_id": key[0], "status": job[0], **moments, "error": [job[3]], "live": live})
+        self._jobs = handle.getListState("jobs", _STATE)
+
+    def _held(self, watermark: int) -> tuple[dict[str, tuple], dict[str, tuple]]:
+        """The jobs of the list, and those of them that are due by now."""
+        held = {name: tuple(job) for name, *job in self._jobs.get()}
+        ends = {name: _deadline(job, self._ttl_ms) for name, job in held.items()}
+        due = {name: held.pop(name) for name, end in ends.items() if end is not None and end <= watermark}
+        return held, due
+
+    def _hold(self, jobs: dict[str, tuple]) -> None:
+        if jobs:
+            self._jobs.put([(name, *job) for name, job in jobs.items()])
+        else:
+            self._jobs.clear()
+        # One timer is enough: it looks for the next end when it fires.
+        ends = [end for job in jobs.values() if (end := _deadline(job, self._ttl_ms)) is not None]
+        if ends:
+            self._handle.registerTimer(min(ends))
+
+    def _told(self, jobs: dict[str, tuple], live: bool) -> Iterator[pd.DataFrame]:
+        rows = []
+        for name, job in jobs.items():
+            queued, started, finished = job[4:6], job[6:8], job[8:10]
+            if queued[0] is not None:
+                later = (kind[0] if _after(kind, queued) else None for kind in (started, finished))
+                rows.append((name, job[0], queued[0], *later, job[1], job[3], live))
+        if rows:
+            found = pd.DataFrame(rows, columns=["job_id", "status", *_TIMES, "error", "live"], dtype=object)
+            yield found.astype(dict.fromkeys(_TIMES, "Int64") | {"live": bool})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        job = tuple(self._job.get()) if self._job.exists() else (None,) * 10
-        before = self._deadline(job) if job[0] else None
-        if before is not None and before <= timerValues.getCurrentWatermarkInMs():
-            # due by now: its timer fires only behind the rows of this micro-batch
-            if job[4] is not None:
-                yield self._row(key, job, False)
-            job, before = (None,) * 10, None
+        # the timers of this micro-batch fire only behind its rows
+        jobs, due = self._held(timerValues.getCurrentWatermarkInMs())
+        yield from self._told(due, False)
+        touched = set()
         for batch in rows:
-            us, seq = batch["us"].to_numpy(np.int64), batch["seq"].to_numpy(np.int64)
-            order = np.lexsort((seq, us))
-            status = batch["status"].to_numpy(object)[order]
-            at = int(us[order[-1]]), int(seq[order[-1]])
-            if job[1] is None or at > job[1:3]:
-                error = batch["error"].iloc[order[-1]]
-                job = (status[-1], *at, None if pd.isna(error) else error, *job[4:])
-            for place, kind in zip((4, 6, 8), _KINDS):
-                own = np.flatnonzero(np.isin(status, kind))
-                if len(own):
-                    last = order[own[-1]]
-                    at = int(us[last]), int(seq[last])
-                    if job[place] is None or at > job[place : place + 2]:
-                        job = (*job[:place], *at, *job[place + 2 :])
-        self._job.update(job)
-        deadline = self._deadline(job)
-        if deadline is not None and deadline != before:
-            self._handle.registerTimer(deadline)
-        if job[4] is not None:
-            yield self._row(key, job, True)
+            error = batch["error"].astype(object).where(batch["error"].notna(), None)
+            for name, *update in zip(batch["job_id"], batch["status"], batch["us"].tolist(), batch["seq"].tolist(), error):
+                jobs[name] = _updated(jobs.get(name, (None,) * 10), *update)
+                touched.add(name)
+        self._hold(jobs)
+        yield from self._told({name: jobs[name] for name in touched}, True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        job = tuple(self._job.get()) if self._job.exists() else None
-        deadline = self._deadline(job) if job else None
-        # a job that was taken up again since has another deadline, or none
-        if deadline is not None and deadline <= expiredTimerInfo.getExpiryTimeInMs():
-            self._job.clear()
-            if job[4] is not None:
-                yield self._row(key, job, False)
+        # jobs that were taken up again since have another end, or none
+        jobs, due = self._held(timerValues.getCurrentWatermarkInMs())
+        self._hold(jobs)
+        yield from self._told(due, False)
 
     def close(self) -> None:
         pass
 
 
-def stream_jobs(updates: DataFrame, ttl_seconds: int = JOB_TTL_SECONDS, late: str = "1 minute") -> DataFrame:
+def stream_jobs(
+    updates: DataFrame, ttl_seconds: int = JOB_TTL_SECONDS, late: str = "1 minute", buckets: int = BUCKETS
+) -> DataFrame:
     """Follow jobs over a stream of updates ``(job_id, status, ts, seq, error)``, as ``latest_jobs`` does.
 
     Each micro-batch gives the present state of the jobs it touches. A job is forgotten ``ttl_seconds`` after its
     end in event time, and told once more with ``live`` false; so are updates of jobs that never were queued, in
     silence. Only the time of the updates counts, so a replay forgets what live traffic would. Updates
     more than ``late`` behind the newest may be dropped; those without a time, status or job are.
+    The state is ``buckets`` lists of jobs, and a micro-batch rewrites the lists it touches; a checkpoint keeps its number.
     """
     keep_in_rocksdb(updates.sparkSession)
     timed = updates.select(
@@ -108,14 +124,16 @@ def stream_jobs(updates: DataFrame, ttl_seconds: int = JOB_TTL_SECONDS, late: st
         F.col("seq").cast("bigint").alias("seq"), F.col("error").cast("string").alias("error"),
     ).dropna(subset=["job_id", "status", "ts", "seq"])
     keyed = timed.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    return keyed.groupBy("job_id").transformWithStateInPandas(
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
+    told = keyed.groupBy("bucket").transformWithStateInPandas(
         _Ledger(ttl_seconds * 1000), outputStructType=_OUTPUT, outputMode="Update", timeMode="EventTime"
     )
+    return told.withColumns({name: F.timestamp_micros(name) for name in _TIMES})
 
 
 def read_ledger(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The jobs that ``stream_jobs`` now knows, from its state, with the columns of ``latest_jobs``."""
-    jobs = state_rows(spark, checkpoint, "job").select("key.job_id", "value.*")
+    jobs = state_rows(spark, checkpoint, "jobs").select("list_element.*")
     queued = F.struct("queued_us", "queued_seq")
 
     def moment(us: Column) -> Column:

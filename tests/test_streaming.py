@@ -241,6 +241,21 @@ def test_job_updates_out_of_order_and_incomplete(spark, tmp_path):
     assert ledger_rows(read_ledger(spark, state)) == plain_ledger([updates], 10**15, 10**15)
 
 
+@pytest.mark.parametrize("ttl", [100, 10**7])
+def test_jobs_share_lists(spark, tmp_path, ttl):
+    """Calls into Python depend on the number of lists and not on that of jobs; the ledger is the same."""
+    updates = random_updates(3, 900, 300)
+    df = spark.createDataFrame(updates, "job_id string, status string, us long, seq long, error string")
+    df = df.withColumn("ts", F.timestamp_micros("us")).drop("us")
+    cuts = (0, 400, 401, 900)
+    stream = replay(spark, df, str(tmp_path / "in"), cuts, "seq")
+    state, _ = drained(stream_jobs(stream, ttl_seconds=ttl, late="5 seconds", buckets=4), tmp_path, "update")
+    wanted = plain_ledger([updates[a:b] for a, b in zip(cuts, cuts[1:])], ttl * 1_000_000, 5_000_000)
+    assert ledger_rows(read_ledger(spark, state)) == wanted
+    held = spark.read.format("statestore").option("path", state).option("stateVarName", "jobs").load()
+    assert held.select("key").distinct().count() <= 4
+
+
 @pytest.mark.parametrize("salts", [1, 3])
 def test_latencies_by_path(spark, tmp_path, salts):
     rng = random.Random(salts)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +21,8 @@ WORDS = 32
 TEXTS = ("input_text", "output_text")
 #: Letters of other scripts that a search in any case takes for these; all else outside ASCII is left to the exact test.
 _LIKE_ASCII = {"İ": "i", "ı": "i", "ſ": "s", "K": "k"}
-_PIECE = 1 << 16
+#: Bytes of text that a task works on at a time; a longer text is cut.
+_PIECE = 1 << 18
 #: Alternatives that a pattern may have before it is searched by a scan.
 _MOST_ALTERNATIVES = 64
 
@@ -32,33 +36,67 @@ def _folded(text: Column) -> Column:
     return F.lower(F.translate(text, letters, "".join(_LIKE_ASCII.values())))
 
 
-def _place(trigram: Column) -> Column:
-    return F.pmod(F.xxhash64(trigram), F.lit(64 * WORDS))
+def _place(trigram: str) -> int:
+    """The bit of an ASCII trigram in a signature."""
+    return xxhash.xxh64_intdigest(trigram.encode(), 42) % (64 * WORDS)
 
 
-def _pieces(text: Column) -> Column:
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(_PIECE))
-    cut = F.transform(starts, lambda at: F.substring(text, at + 1, F.lit(_PIECE + 2)))
-    return F.when(F.length(text) <= _PIECE, F.array(text)).otherwise(cut)
+class _Places:
+    """Bits of trigrams by their number, of 21 bits; worked out when first met."""
+
+    def __init__(self):
+        self._known = np.full(1 << 21, -1, np.int16)
+
+    def __call__(self, numbers: np.ndarray) -> np.ndarray:
+        found = self._known[numbers]
+        if (found < 0).any():
+            for number in np.unique(numbers[found < 0]).tolist():
+                self._known[number] = _place("".join(chr(number >> shift & 127) for shift in (14, 7, 0)))
+            found = self._known[numbers]
+        return found
+
+
+def _add(bits: np.ndarray, texts: pa.Array, places: _Places) -> None:
+    """Set the bits ``(row, place)`` of the ASCII trigrams in texts, a column of UTF-8."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if not len(texts) or ends[-1] - ends[0] < 3:
+        return
+    data = np.frombuffer(texts.buffers()[2], np.uint8)
+    row_of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends))
+    for low in range(ends[0], ends[-1] - 2, _PIECE):
+        own = data[low : min(low + _PIECE + 2, ends[-1])].astype(np.int32)
+        row = row_of[low - ends[0] :][: len(own)]
+        inside = (own[:-2] | own[1:-1] | own[2:]) < 128
+        inside &= row[:-2] == row[2:]
+        numbers = (own[:-2] << 14 | own[1:-1] << 7 | own[2:])[inside]
+        bits.reshape(-1)[row[:-2][inside] * (64 * WORDS) + places(numbers)] = True
 
 
 def signatures(df: DataFrame, columns: tuple[str, ...] = TEXTS) -> DataFrame:
     """``(id, timestamp, audit_date, s0, .. )``: for each row a bit for each ASCII trigram of its texts, in lower case.
 
-    Texts are cut into pieces that share two letters, and trigrams are combined to one narrow row in the task
-    that makes them. Rows with one id, time and day share a signature. No text is left out and none shortened.
+    Bits are set in the task that reads the texts, for many rows at once, and only signatures leave it. Rows
+    with one id, time and day share a signature. No text is left out and none shortened.
     """
-    cut = [_pieces(_folded(F.coalesce(name, F.lit("")))) for name in columns]
-    pieces = df.select("id", "timestamp", "audit_date", F.explode(F.concat(*cut)).alias("_piece"))
-    found = F.array_distinct(F.regexp_extract_all("_piece", F.lit(r"(?s)(?=([\x00-\x7f]{3}))"), F.lit(1)))
-    # a row without trigrams still has a signature, of no bits
-    places = pieces.select("id", "timestamp", "audit_date", F.explode_outer(found).alias("_t")).select(
-        "id", "timestamp", "audit_date", F.when(F.col("_t").isNotNull(), _place(F.col("_t"))).alias("_p")
-    )
-    bit = F.expr("shiftleft(1L, cast(_p & 63 as int))")
-    word = F.shiftright("_p", 6)
-    bits = [F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("bigint")).alias(n) for i, n in enumerate(_words())]
-    return places.groupBy("id", "timestamp", "audit_date").agg(*bits)
+    names = [f"_t{i}" for i in range(len(columns))]
+    key = ["id", "timestamp", "audit_date"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _Places()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                bits = np.zeros((batch.num_rows, 64 * WORDS), bool)
+                for name in names:
+                    _add(bits, batch.column(name), places)
+                words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+                columns = [pa.array(np.ascontiguousarray(words[:, i]), pa.int64()) for i in range(WORDS)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), *columns], [*key, *_words()])
+
+    texts = [_folded(F.coalesce(name, F.lit(""))).alias(n) for name, n in zip(columns, names)]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*key).schema)
+    found = df.select(*key, *texts).mapInArrow(run, f"{kinds}, {', '.join(f'{w} bigint' for w in _words())}")
+    return found.groupBy(*key).agg(*[F.bit_or(w).alias(w) for w in _words()])
 
 
 def write_signatures(df: DataFrame, path: str, columns: tuple[str, ...] = TEXTS) -> None:
@@ -172,15 +210,12 @@ def _alternatives(pattern: str, at: int) -> tuple[list[list[str]], int]:
     return done + current, at
 
 
-def may_hold(alternatives: Iterable[set[str]], spark: SparkSession) -> Column:
+def may_hold(alternatives: Iterable[set[str]]) -> Column:
     """Whether a signature has the bits of all trigrams of some alternative."""
-    every = sorted(set().union(*alternatives))
-    places = spark.createDataFrame([(t,) for t in every], "t string").select("t", _place(F.col("t")).alias("p")).collect()
-    place = {r["t"]: r["p"] for r in places}
     options = []
     for trigrams in alternatives:
         masks: dict[int, int] = {}
-        for p in (place[t] for t in trigrams):
+        for p in map(_place, trigrams):
             masks[p >> 6] = masks.get(p >> 6, 0) | 1 << (p & 63)
         signed = {i: m - (1 << 64) if m >> 63 else m for i, m in masks.items()}
         tests = [F.col(f"s{i}").bitwiseAND(F.lit(m).cast("bigint")) == F.lit(m).cast("bigint") for i, m in sorted(signed.items())]
@@ -191,7 +226,7 @@ def may_hold(alternatives: Iterable[set[str]], spark: SparkSession) -> Column:
 def _searched(df: DataFrame, index: DataFrame, alternatives: list[set[str]] | None, exact: Column, few: int) -> DataFrame:
     if alternatives is None:
         return df.filter(exact)
-    found = index.filter(may_hold(alternatives, df.sparkSession)).select("id", "timestamp", "audit_date")
+    found = index.filter(may_hold(alternatives)).select("id", "timestamp", "audit_date")
     chosen = found.limit(few + 1).collect()
     if len(chosen) <= few:
         rows = df.sparkSession.createDataFrame(chosen, found.schema) if chosen else found.limit(0)

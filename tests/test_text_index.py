@@ -116,3 +116,18 @@ def test_empty(spark, table):
     assert ids(ti.find_like(df, index.limit(0), "refund")) == []
     nothing = ti.signatures(spark.createDataFrame([(1, None, None, None, None)], SCHEMA)).first()
     assert nothing["id"] == 1 and not any(nothing[f"s{i}"] for i in range(ti.WORDS))
+
+
+def test_signatures_are_made_in_the_task(spark, table):
+    """A row leaves its task as a signature, not as one row for each trigram; its bits are those of its texts."""
+    df, index = table
+    plan = ti.signatures(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    lower = F.lower(F.translate(F.concat_ws("é", "input_text", "output_text"), "İıſK", "iisk"))
+    texts = {r[0]: r[1] for r in df.select("id", lower).collect()}
+    assert index.count() == len(texts)
+    for r in index.collect():
+        bits = {64 * i + j for i in range(ti.WORDS) for j in range(64) if r[f"s{i}"] >> j & 1}
+        text = texts[r["id"]]
+        wanted = {text[i : i + 3] for i in range(len(text) - 2)}
+        assert bits == {ti._place(t) for t in wanted if t.isascii()}, r["id"]

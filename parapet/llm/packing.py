@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,12 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.encode().split()))
 
 
+@lru_cache(maxsize=1)
+def kept_encoder(path: str) -> Encoder:
+    """The worker's encoder, which tasks that follow each other in one worker share with the parts it has met."""
+    return Encoder(path)
+
+
 def pieces(
     docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
     with_ids: bool = False,
@@ -66,7 +73,7 @@ def pieces(
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = kept_encoder(tokenizer)
         for batch in batches:
             texts = [text or "" for text in batch.column("text").to_pylist()]
             names = batch.column("doc_id")

@@ -108,3 +108,12 @@ def test_random_texts_equal_the_tokenizer():
     for text in texts:
         wanted = plain.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encode(text), "<u4").tolist() == wanted, text
+
+
+def test_tasks_of_a_worker_share_the_encoder(spark, documents):
+    """Parts met by one task need no tokenizer in the next."""
+    path = tokenizer_path()
+    first = packing.kept_encoder(path)
+    first("wholly unusual wordings")
+    again = packing.kept_encoder(path)
+    assert again is first and b"wordings" in again

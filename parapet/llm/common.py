@@ -45,6 +45,21 @@ def sent_if_few(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def among(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key``, a 64-bit hash, may be among ``keys``; few of the others pass.
+
+    For what goes to a join without rows that find nothing there. The leading bits of the keys are marked in at most 2**20
+    words of 64 bits, sixteen bits a key up to four million keys; beyond, more rows pass, and the join drops them as ever.
+    """
+    bits = min(20, max(4, math.ceil(math.log2(max(1, keys.count()) / 4))))
+    word = F.shiftrightunsigned(F.col(key), 64 - bits)
+    bit = F.shiftrightunsigned(F.col(key), 58 - bits).bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    marks = keys.groupBy(word.alias("_word")).agg(F.bit_or(one).alias("_marks"))
+    marked = F.call_function("shiftrightunsigned", F.col("_marks"), bit).bitwiseAND(F.lit(1)) == 1
+    return df.withColumn("_word", word).join(F.broadcast(marks), "_word").filter(marked).drop("_word", "_marks")
+
+
 def order_hash(*columns: Column) -> Column:
     """A number of ``ORDER_BITS`` bits that puts rows into an even, repeatable order."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 64 - ORDER_BITS)

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm.common import blocks, mixed
+from parapet.llm.common import SPACES, among, blocks, mixed
 from parapet.session import cut_lineage
 
 WINDOW = 20
@@ -25,21 +25,48 @@ _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _MASK = (1 << 64) - 1
 
 
-class Words(dict):
-    """64-bit hashes of words (as bytes), remembered up to a bound."""
+def _powers(base: int, many: int) -> np.ndarray:
+    steps = np.full(many, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
-    def __init__(self, keep: int = 500_000):
-        super().__init__()
-        self.keep = keep
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
+class Words:
+    """64-bit hashes of words: their bytes' numbers times powers, summed by numpy, so no word costs a call.
+
+    Words of more than ``LONG`` bytes, among which such sums may be equal by design, are hashed by XXH64.
+    """
+
+    STEP, LONG = 1 << 16, 256
+    space = np.isin(np.arange(256), list(SPACES.encode()))
+    numbers = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASES[0]))
+    powers, inverses = _powers(_BASES[1], STEP + LONG + 1), _powers(pow(_BASES[1], -1, 1 << 64), STEP + LONG + 1)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.keep:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return self.of([b" ".join(words)])[0]
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The hashes of the words of each text."""
+        whole = b" ".join([b"", *texts, b""])
+        letters = np.frombuffer(whole, np.uint8)
+        blank = self.space[letters]
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1  # a blank is first and last
+        starts, ends = edges[::2], edges[1::2]
+        short = np.minimum(ends, starts + self.LONG)
+        found = np.empty(len(starts), np.uint64)
+        cuts = np.searchsorted(starts, np.arange(0, len(letters) + self.STEP, self.STEP))
+        for low, high in zip(cuts.tolist(), cuts[1:].tolist()):
+            if low < high:
+                first, last = int(starts[low]), int(short[high - 1])
+                sums = np.zeros(last - first + 1, np.uint64)
+                np.cumsum(self.numbers[letters[first:last]] * self.powers[: last - first], out=sums[1:])
+                at = starts[low:high] - first
+                found[low:high] = (sums[short[low:high] - first] - sums[at]) * self.inverses[at]
+        found = mixed(found + (ends - starts).astype(np.uint64))
+        for i in np.flatnonzero(ends - starts > self.LONG).tolist():
+            found[i] = xxhash.xxh64_intdigest(whole[starts[i] : ends[i]])
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        return np.split(found, np.searchsorted(starts, 1 + np.cumsum(lengths + 1)[:-1])) if texts else []
 
 
 class Ranges:
@@ -54,9 +81,7 @@ class Ranges:
             if len(self.powers[i]) < len(hashes) + 1:
                 many = 2 * len(hashes) + 1024
                 for table, factor in ((self.powers, base), (self.inverses, pow(base, -1, 1 << 64))):
-                    steps = np.full(many, factor, np.uint64)
-                    steps[0] = 1
-                    table[i] = np.multiply.accumulate(steps)
+                    table[i] = _powers(factor, many)
             own = hashes * self.powers[i][: len(hashes)]
             self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)]))
 
@@ -71,10 +96,10 @@ def phrases(ranges: Ranges, n: int) -> np.ndarray:
     return ranges(at, at + PHRASE)
 
 
-def anchors(hashes: np.ndarray) -> np.ndarray:
-    """Positions of the phrases that stand for their windows.
+def leading(hashes: np.ndarray) -> np.ndarray:
+    """For each window of ``WINDOW`` words the position of the phrase that stands for it.
 
-    Each window of ``WINDOW`` words has the phrase of least hash among those inside it. So equal windows have equal
+    That is the one of least hash among those inside the window. So equal windows have equal
     anchors at equal offsets, wherever they stand, and few words start one.
     """
     if len(hashes) < _SIDE + 1:
@@ -82,8 +107,13 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
     windows = len(hashes) - _SIDE
     hashes = np.ascontiguousarray(hashes)
     inside = np.ndarray((windows, _SIDE + 1), hashes.dtype, hashes, 0, (hashes.itemsize, hashes.itemsize))
-    least = inside.argmin(axis=1) + np.arange(windows)  # the first of equal ones, so places only grow
-    return least[np.append(True, least[1:] != least[:-1])]
+    return inside.argmin(axis=1) + np.arange(windows)  # the first of equal ones, so places only grow
+
+
+def anchors(hashes: np.ndarray) -> np.ndarray:
+    """Positions of the phrases that stand for some window."""
+    least = leading(hashes)
+    return least[np.append(True, least[1:] != least[:-1])] if len(least) else least
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -101,36 +131,43 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
+def _documents(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """Each document with its number of words, the digest of all of them, and its ``anchors``; packed with ``keep``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, squeeze = Words(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            found, of = [], []
-            for i, text in enumerate(_texts(batch)):
-                hashes = words(text.split())
-                own = phrases(Ranges(hashes, 1), len(hashes))
-                own = own[anchors(own)]
-                found.append(own)
-                of.append(np.full(len(own), i))
-            if found:
-                keys = batch.column("k1").take(pa.array(np.concatenate(of)))
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), keys], ["phrase", "k1"])
+            texts = _texts(batch)
+            for part in blocks([len(t) for t in texts]):
+                counts, digests, found, starts = [], [], [], [0]
+                for text, hashes in zip(texts[part], words.of(texts[part])):
+                    own = phrases(Ranges(hashes, 1), len(hashes))
+                    found.append(own[anchors(own)])
+                    starts.append(starts[-1] + len(found[-1]))
+                    counts.append(len(hashes))
+                    digests.append(hashlib.sha256(b" ".join(text.split())).digest())
+                packed = [squeeze.compress(t) if keep else None for t in texts[part]]
+                kept = [batch.column(c).slice(part.start, part.stop - part.start) for c in ("doc_id", "k1", "k2")]
+                lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), _signed(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary()), lists],
+                    ["doc_id", "k1", "k2", "n_words", "sha", "packed", "anchors"],
+                )
 
-    return docs.select("k1", "text").mapInArrow(run, "phrase bigint, k1 bigint")
+    schema = "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, sha binary, packed binary, anchors array<bigint>"
+    return docs.mapInArrow(run, schema)
 
 
-def locate(texts: list[bytes], listed: list[np.ndarray]) -> list[tuple[list[bytes], Ranges, np.ndarray, np.ndarray]]:
+def locate(texts: list[bytes], listed: list[np.ndarray]) -> list[tuple[np.ndarray, Ranges, np.ndarray, np.ndarray]]:
     """Every occurrence of the listed phrases in the texts of one shard.
 
     ``listed`` has for each text hashes of phrases to look for; their words are taken from the text they are listed
     with. An automaton over word numbers is compiled from all phrases of the shard, and every text is streamed through it.
     A number is written as three letters or more, with some of their own for each place: a node of the automaton looks through its
     children one by one, so they have to be few, and no phrase can be met between two words.
-    Gives for each text its words, ranges, and places and hashes of phrases.
+    Gives for each text the hashes of its words, ranges, and places and hashes of phrases.
     """
-    words = Words()
-    split = [text.split() for text in texts]
-    hashes = [words(own) for own in split]
+    hashes = Words().of(texts)
     ranges = [Ranges(own) for own in hashes]
     every = np.concatenate([*hashes, np.zeros(0, np.uint64)])
     known_words, numbers = np.unique(every, return_inverse=True)
@@ -156,41 +193,37 @@ def locate(texts: list[bytes], listed: list[np.ndarray]) -> list[tuple[list[byte
     if names:
         automaton.make_automaton()
     named = np.array(names, np.uint64)
-    for own_words, own, own_ranges in zip(split, spellings, ranges):
-        hits = list(automaton.iter(own)) if names and len(own_words) >= WINDOW else []
+    for own_hashes, own, own_ranges in zip(hashes, spellings, ranges):
+        hits = list(automaton.iter(own)) if names and len(own_hashes) >= WINDOW else []
         ends, which = np.array(hits, np.int64).reshape(-1, 2).T
-        found.append((own_words, own_ranges, (ends + 1) // many - PHRASE, named[which]))
+        found.append((own_hashes, own_ranges, (ends + 1) // many - PHRASE, named[which]))
     return found
 
 
-def _occurrences(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """Documents with ``occurrences`` of recurring phrases, and the packed text where there are some.
-
-    With ``keep`` all texts are packed.
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """Packed documents with ``occurrences`` of recurring phrases.
 
-    ``docs`` has ``listed``, the recurring phrases among a document's anchors (null: none). An occurrence has the phrase,
+    ``docs`` has ``listed``, the recurring phrases among a document's anchors. An occurrence has the phrase,
     a hash of the words up to ``_SIDE`` before and behind it (the context), its place, and the place and
-    length of the context.
+    length of the context. Those that stand for no window are left out: equal windows have their anchors at equal offsets.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = _texts(batch)
-            lists = [np.array(x or [], np.int64).view(np.uint64) for x in batch.column("listed").to_pylist()]
+            lists = [np.array(x, np.int64).view(np.uint64) for x in batch.column("listed").to_pylist()]
             for part in blocks([len(t) for t in texts]):
-                rows: list[list] = [[], [], [], []]
                 parts, starts = [], [0]
-                for text, (words, ranges, at, name) in zip(texts[part], locate(texts[part], lists[part])):
+                for hashes, ranges, at, name in locate(texts[part], lists[part]):
+                    n = len(hashes)
+                    stands = np.zeros(n, bool)
+                    stands[anchors(phrases(ranges, n))] = True
+                    at, name = at[stands[at]], name[stands[at]]
                     low = np.maximum(at - _SIDE, 0)
-                    high = np.minimum(at + PHRASE + _SIDE, len(words))
-                    wide = high - low >= WINDOW
-                    low, high, at, name = low[wide], high[wide], at[wide], name[wide]
+                    high = np.minimum(at + PHRASE + _SIDE, n)
                     context = mixed(ranges(low, high, 1) + ((at - low) * 64 + high - low).astype(np.uint64))
                     parts.append((name, context, at, low, high - low))
                     starts.append(starts[-1] + len(at))
-                    rows[0].append(len(words))
-                    rows[1].append(squeeze.compress(text) if keep or len(at) else None)
-                    rows[2].append(None if len(at) else hashlib.sha256(b" ".join(words)).hexdigest())
                 fields = [np.concatenate(x) for x in zip(*parts)]
                 items = pa.StructArray.from_arrays(
                     [_signed(fields[0]), _signed(fields[1]), *[pa.array(f, pa.int64()) for f in fields[2:]]],
@@ -198,30 +231,31 @@ def _occurrences(docs: DataFrame, keep: bool = False) -> DataFrame:
                 )
                 kept = [batch.column(c).slice(part.start, part.stop - part.start) for c in ("doc_id", "k1", "k2")]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.string()),
+                    [*kept, pa.array(map(squeeze.compress, texts[part]), pa.binary()),
                      pa.ListArray.from_arrays(pa.array(starts, pa.int32()), items)],
-                    ["doc_id", "k1", "k2", "n_words", "packed", "sha", "occurrences"],
+                    ["doc_id", "k1", "k2", "packed", "occurrences"],
                 )
 
     return docs.mapInArrow(
         run,
-        "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, packed binary, sha string, occurrences"
+        "doc_id bigint, k1 bigint, k2 bigint, packed binary, occurrences"
         " array<struct<phrase: bigint, context: bigint, at: bigint, low: bigint, size: bigint>>",
     )
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """The windows around the listed places ``at`` of phrases, two hashes each."""
+    """The windows that the phrases at the listed ``places`` stand for, two hashes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             out, of = [], []
             for i, (packed, places) in enumerate(zip(batch.column("packed"), batch.column("places").to_pylist())):
-                hashes = words(zstandard.decompress(packed.as_py()).split())
-                at = np.unique((np.array(places)[:, None] - np.arange(_SIDE + 1)).ravel())
-                at = at[(at >= 0) & (at + WINDOW <= len(hashes))]
+                hashes = words.of([zstandard.decompress(packed.as_py())])[0]
                 ranges = Ranges(hashes)
+                asked = np.zeros(len(hashes), bool)
+                asked[places] = True
+                at = np.flatnonzero(asked[leading(phrases(ranges, len(hashes)))])
                 out.append((ranges(at, at + WINDOW), ranges(at, at + WINDOW, 1), at))
                 of.append(np.full(len(at), i))
             if out:
@@ -241,20 +275,23 @@ def _place(at: str = "at"):
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k2", "k1", F.col(at).alias("at"))
 
 
-def repeated(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Documents (see ``_occurrences``), and their spans ``(k1, k2, spans)`` of words to remove.
+def repeated(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents (see ``_documents``), those of recurring phrases (see ``_occurrences``), and spans
+    ``(k1, k2, spans)`` of words to remove.
 
     Equal windows share an anchor, and anchors that occur once in the corpus drop out by counting. Documents get the list
-    of their recurring phrases, and automata locate all occurrences. Occurrences with equal phrase and equal context
+    of their recurring phrases, and automata locate all occurrences; a document without a list holds no repeated window,
+    and its text moves nowhere. Occurrences with equal phrase and equal context
     are copies as a whole: all but the first are removed with their context. Only phrases in several contexts
     need their windows compared, one occurrence for each context.
     """
     named = _keyed(docs)
-    rows = cut_lineage(_anchor_rows(named), "anchors")
+    every = cut_lineage(_documents(named, keep), "documents")
+    rows = every.select("k1", F.explode("anchors").alias("phrase"))
     often = rows.groupBy("phrase").count().filter("count > 1").select("phrase")
     listed = rows.join(cut_lineage(often, "phrases"), "phrase")
     listed = cut_lineage(listed.groupBy("k1").agg(F.collect_set("phrase").alias("listed")), "listed")
-    located = cut_lineage(_occurrences(named.join(listed, "k1", "left"), keep), "occurrences")
+    located = cut_lineage(_occurrences(among(named, listed, "k1").join(listed, "k1")), "occurrences")
 
     found = located.select("doc_id", "k1", "k2", F.explode("occurrences").alias("o")).select(
         "doc_id", "k1", "k2", "o.*"
@@ -269,15 +306,40 @@ def repeated(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]
     places = firsts.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(
         F.collect_set("first.at").alias("places")
     )
-    packed = located.filter("size(occurrences) > 0").dropDuplicates(["k1", "k2"])
-    around = packed.select("doc_id", "k1", "k2", "packed").join(cut_lineage(places, "places"), ["k1", "k2"])
-    around = cut_lineage(_windows(around), "windows")
+    places = cut_lineage(places, "places")
+    # equal rows give equal windows at equal places, which are no copies of each other
+    packed = among(located.select("doc_id", "k1", "k2", "packed"), places, "k1")
+    around = cut_lineage(_windows(packed.join(places, ["k1", "k2"])), "windows")
     earliest = around.groupBy("w1", "w2").agg(F.min(_place()).alias("first"), F.count("*").alias("many"))
     earliest = cut_lineage(earliest.filter("many > 1").drop("many"), "earliest")
     later = around.join(earliest, ["w1", "w2"]).filter(_place() != F.col("first"))
     spans = spans.union(later.select("k1", "k2", F.col("at").alias("low"), F.lit(WINDOW).cast("long").alias("size")))
     spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "size")).alias("spans"))
-    return located, cut_lineage(spans, "spans")
+    return every, located, cut_lineage(spans, "spans")
+
+
+def _without(docs: DataFrame, with_text: bool) -> DataFrame:
+    """What is left of packed documents without their ``spans``: ``(k1, k2, n_removed, left)`` and perhaps ``packed``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            rows: list[list] = [[], [], []]
+            for packed, spans in zip(batch.column("packed"), batch.column("spans")):
+                words = zstandard.decompress(packed.as_py()).split()
+                low, size = (np.asarray(spans.values.field(c)) for c in ("low", "size"))
+                edge = np.bincount(low, minlength=len(words) + 1) - np.bincount(low + size, minlength=len(words) + 1)
+                stays = np.cumsum(edge[:-1]) == 0
+                text = b" ".join(compress(words, stays.tolist()))
+                rows[0].append(len(words) - int(stays.sum()))
+                rows[1].append(hashlib.sha256(text).digest())
+                rows[2].append(squeeze.compress(text) if with_text else None)
+            columns = [pa.array(values, kind) for values, kind in zip(rows, (pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k1"), batch.column("k2"), *columns], ["k1", "k2", "n_removed", "left", "packed_left"]
+            )
+
+    return docs.mapInArrow(run, "k1 bigint, k2 bigint, n_removed bigint, left binary, packed_left binary")
 
 
 def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -288,34 +350,21 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     joined by a space. A null text has no words; texts of fewer than ``WINDOW`` words stay; repeated rows
     are one document and get equal results; an empty table gives no rows; further columns are ignored.
     """
-    located, spans = repeated(docs, with_text)
+    every, located, spans = repeated(docs, with_text)
+    packed = among(located.select("k1", "k2", "packed"), spans, "k1").join(spans, ["k1", "k2"])
+    left = _without(packed, with_text).dropDuplicates(["k1", "k2"])
+    rows = every.drop("anchors").join(left, ["k1", "k2"], "left").select(
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.lower(F.hex(F.coalesce("left", "sha"))).alias("kept_sha256"), *[F.coalesce("packed_left", "packed").alias("packed")] * with_text,
+    )
+    if not with_text:
+        return rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, texts = [], [], []
-            columns = [batch.column(c) for c in ("n_words", "packed", "sha", "spans")]
-            for n, packed, sha, own in zip(*columns):
-                gone = np.zeros(n.as_py(), bool)
-                if own.is_valid:
-                    edge = np.zeros(len(gone) + 1, np.int64)
-                    for span in own.as_py():
-                        edge[span["low"]] += 1
-                        edge[span["low"] + span["size"]] -= 1
-                    gone = np.cumsum(edge[:-1]) > 0
-                counts.append(int(gone.sum()))
-                text = None
-                if packed.is_valid:
-                    words = zstandard.decompress(packed.as_py()).split()
-                    text = b" ".join(compress(words, (~gone).tolist()) if own.is_valid else words)
-                digests.append(hashlib.sha256(text).hexdigest() if packed.is_valid else sha.as_py())
-                texts.append(text)
-            out = [batch.column("doc_id"), batch.column("n_words"), pa.array(counts, pa.int64()), pa.array(digests, pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            if with_text:
-                out.append(pa.array([None if t is None else t.decode() for t in texts], pa.string()))
-                names.append("text")
-            yield pa.RecordBatch.from_arrays(out, names)
-
-    rows = located.drop("occurrences").join(spans, ["k1", "k2"], "left")
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
-    return rows.mapInArrow(run, schema + ", text string" * with_text)
+            texts = [b" ".join(zstandard.decompress(x.as_py()).split()).decode() for x in batch.column("packed")]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "text"]
+            )
+
+    return rows.mapInArrow(unpacked, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, text string")

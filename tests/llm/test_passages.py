@@ -103,3 +103,45 @@ def test_automaton_finds_every_occurrence():
         here = passages.phrases(passages.Ranges(hashes), 200)
         assert at.tolist() == np.flatnonzero(np.isin(here, wanted)).tolist()
         assert (here[at] == name).all()
+
+
+def test_hashes_depend_on_the_word_alone():
+    """Not on its place, on what stands around it or on how texts are cut; also if words are very long."""
+    rng = random.Random(3)
+    morse = b"a"
+    while len(morse) < 4096:
+        morse += morse.translate(bytes.maketrans(b"ab", b"ba"))
+    words = [b"a", b"b", b"ab", b"ba", b"abba", b"baab", "İß漢".encode(), b"\x1c\xc2\x85", morse, morse.translate(bytes.maketrans(b"ab", b"ba"))]
+    words += [b"x" * n for n in (255, 256, 257, 70_000)] + [f"w{i}".encode() for i in range(3000)]
+    alone = {w: int(passages.Words()([w])[0]) for w in words}
+    assert len(set(alone.values())) == len(words)
+    texts = [b"", b" \t\n"]
+    for _ in range(60):
+        texts.append(b"".join(rng.choice(words) + rng.choice((b" ", b"\n", b" \x0b\x0c\r\t")) for _ in range(rng.randrange(900))))
+    found = passages.Words().of(texts)
+    assert [x.tolist() for x in found] == [[alone[w] for w in t.split()] for t in texts]
+    assert passages.Words().of([]) == []
+
+
+def test_only_documents_of_recurring_phrases_are_located(spark, documents):
+    """The text of any other document is read where it lies and goes to no join."""
+    rng = random.Random(9)
+    shared = " ".join(f"s{i}" for i in range(25))
+    rows = [(i, " ".join(f"{rng.random()}" for _ in range(60)), "en", "s") for i in range(200)]
+    rows += [(200 + i, f"{rng.random()} {shared} {rng.random()}", "en", "s") for i in range(5)]
+    every, located, spans = passages.repeated(documents(rows))
+    assert every.count() == 205
+    assert sorted(r["doc_id"] for r in located.select("doc_id").collect()) == list(range(200, 205))
+    assert spans.count() == 4
+
+
+def test_marks_lose_no_key(spark):
+    from pyspark.sql import functions as F
+
+    from parapet.llm.common import among
+
+    every = spark.range(20_000).select("id", F.xxhash64("id").alias("k"))
+    keys = every.filter("id % 10 = 3")
+    passed = {r["id"] for r in among(every, keys, "k").collect()}
+    assert passed >= set(range(3, 20_000, 10)) and len(passed) < 4000
+    assert among(every, keys.limit(0), "k").count() == 0

@@ -25,22 +25,25 @@ class Encoder(dict):
     """Token ids of texts, as little-endian 32-bit numbers.
 
     No token crosses a space, so a text's ids are those of its space-separated parts in a row.
-    Parts met before are looked up; ``keep`` bounds how many are remembered.
+    Parts met before are looked up; ``keep`` bounds how many are remembered. New words of a block go through the
+    tokenizer together: a word of letters alone has one token that ends a word, its last, which tells them apart.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    TOGETHER = 64
+
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        tokens = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends[[i for token, i in tokens.items() if token.endswith("</w>")]] = True
 
     def __missing__(self, part: bytes) -> bytes:
         text = part.decode()
-        if len(part) > 1 and text[-1] in ".,;:!?" and text[:-1].isalpha() and "\u0130" not in text:
-            # letters and marks never join, but that letter is two characters in lower case
-            found = self[text[:-1].encode()] + self[text[-1].encode()]
-        elif text.isalpha() and text != text.lower() and max(text) < "\u0130":
-            found = self[text.lower().encode()]  # up to there case depends on no neighbour
+        if other := self.others(text):
+            found = b"".join([self[x] for x in other])
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             found = array("I", ids).tobytes()
@@ -48,10 +51,49 @@ class Encoder(dict):
             self[part] = found
         return found
 
+    def others(self, text: str) -> tuple[bytes, ...]:
+        """Simpler parts that have the same ids in a row, if there are some."""
+        if len(text) > 1 and text[-1] in ".,;:!?" and text[:-1].isalpha() and "\u0130" not in text:
+            # letters and marks never join, but that letter is two characters in lower case
+            return text[:-1].encode(), text[-1].encode()
+        if text.isalpha() and text != text.lower() and max(text) < "\u0130":
+            return (text.lower().encode(),)  # up to there case depends on no neighbour
+        return ()
+
+    def learn(self, parts: set[bytes]) -> None:
+        """Remember the words of letters that the new ``parts`` come down to."""
+        words: set[str] = set()
+        for part in parts:
+            text = part.decode()
+            while other := self.others(text):
+                text = other[0].decode()
+            if len(text) < 64 and text.isalpha() and text.encode() not in self:
+                words.add(text)
+        new = list(words)
+        for at in range(0, len(new), self.TOGETHER):
+            some = new[at : at + self.TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            edges = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(edges) == len(some):  # else one of them is more than a word to the tokenizer
+                held = ids.tobytes()
+                for word, low, high in zip(some, [0, *edges], edges):
+                    self[word.encode()] = held[low:high]
+
     def __call__(self, text: str) -> bytes:
+        return self.block([text])[0]
+
+    def block(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
         if len(self) > self.keep:
             self.clear()
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        split = [text.encode().split() for text in texts]
+        found = [list(map(self.get, parts)) for parts in split]
+        holes = [[i for i, ids in enumerate(own) if ids is None] for own in found]
+        self.learn({parts[i] for parts, own in zip(split, holes) for i in own})
+        for parts, own, at in zip(split, found, holes):
+            for i in at:
+                own[i] = self[parts[i]]
+        return [b"".join(own) for own in found]
 
 
 @lru_cache(maxsize=1)
@@ -79,8 +121,8 @@ def pieces(
             names = batch.column("doc_id")
             for part in blocks([len(text) for text in texts]):
                 out, of = [], []
-                for at in range(part.start, part.stop):
-                    ids = encode(texts[at]) + end
+                for at, ids in enumerate(encode.block(texts[part]), part.start):
+                    ids += end
                     for i, start in enumerate(range(0, len(ids), step)):
                         own = ids[start : start + step]
                         of.append(at)

@@ -117,3 +117,30 @@ def test_tasks_of_a_worker_share_the_encoder(spark, documents):
     first("wholly unusual wordings")
     again = packing.kept_encoder(path)
     assert again is first and b"wordings" in again
+
+
+def test_new_words_of_a_block_go_together():
+    """One call for many words, with the ids that each has alone, also beside words that are several to the tokenizer."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    plain, encode = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    calls = []
+
+    class Counted:
+        def encode(self, *args, **options):
+            calls.append(args)
+            return plain.encode(*args, **options)
+
+    encode.tokenizer = Counted()
+    words = ["".join(rng.choice("aeinrstÄöéж漢Σ") for _ in range(rng.randrange(1, 12))) for _ in range(2000)]
+    block = [" ".join(rng.choice(words) + rng.choice(("", ".", ",")) for _ in range(50)) for _ in range(60)]
+    found = encode.block(block)
+    assert len(calls) < 200
+    odd = ["ıİi", "İ", "ᄀ ᅡ ᆨ", "ﬁ", "ǅ", "ſ", "o'clock's", "<|endoftext|>", "", "a" * 300, "ªº", "ͅα"]
+    odd = [" ".join(rng.sample(odd + words, 8)) for _ in range(400)] + odd
+    for text, ids in zip(block + odd, found + encode.block(odd)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    vocabulary = plain.get_vocab()
+    letters = {token for token in vocabulary if len(token) == 1}
+    assert len(letters) == 256 and all(x + "</w>" in vocabulary for x in letters)  # so no word is without an end
